@@ -27,7 +27,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def r4(value: Column) -> Column:
-    return F.round(value + F.lit(1e-7), 4)
+    return F.round(value + F.lit(1e-7), 4) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -35,7 +35,7 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def sql_r4(expression: str) -> str:
-    return f"round({expression} + 1e-7, 4)"
+    return f"(round({expression} + 1e-7, 4) + 0.0::DOUBLE)"
 
 
 # --- events as traffic records ---------------------------------------------------------------

@@ -105,7 +105,7 @@ def a6_packets(spark: SparkSession, sf: str) -> DataFrame:
         F.when(kind != "view", k + 1).alias("dport"), F.when(kind == "click", k * 10).alias("window"),
         F.when(kind == "click", "S").when(kind == "purchase", "PA").when(kind == "error", "RU").alias("flags"))
     return packets_to_events(packets).select(
-        r4(F.col("timestamp")).alias("timestamp"), "bytes", "packets", "ttl", "fragment_count", "payload_size", "src_ip",
+        F.round(F.col("timestamp") * 1e6).cast("long").alias("time_us"), "bytes", "packets", "ttl", "fragment_count", "payload_size", "src_ip",
         "dst_ip", "src_port", "dst_port", "tcp_window", "syn_count", "ack_count", "fin_count", "rst_count", "psh_count",
         "urg_count")
 
@@ -114,7 +114,7 @@ A6 = f"""
 WITH raw AS (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k, event_type AS t,
                     CASE event_type WHEN 'click' THEN 'S' WHEN 'purchase' THEN 'PA' WHEN 'error' THEN 'RU' ELSE '' END AS f
              FROM events WHERE event_type <> 'signup')
-SELECT {sql_r4("epoch_us(ts) / 1e6")} AS timestamp, value AS bytes, 1 AS packets, k + 30 AS ttl,
+SELECT epoch_us(ts) AS time_us, value AS bytes, 1 AS packets, k + 30 AS ttl,
        CASE WHEN k % 3 <> 0 AND k % 4 <> 0 THEN 1 ELSE 0 END AS fragment_count, value / 2 AS payload_size,
        '10.0.0.' || user_id AS src_ip, '10.1.1.1' AS dst_ip,
        CASE WHEN t <> 'view' THEN k END AS src_port, CASE WHEN t <> 'view' THEN k + 1 END AS dst_port,

@@ -48,17 +48,30 @@ def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.NumericType, T.BooleanType))
 
 
-def to_number(value: Column, dtype: T.DataType) -> Column:
-    """A finite DOUBLE, or NULL where the cell holds none."""
-    if is_numeric(dtype):
-        return finite(value.cast("double"))
+def number_sql(cell: str, dtype: T.DataType) -> str:
+    """SQL text of a finite DOUBLE, or NULL where the cell holds none."""
+    if isinstance(dtype, (T.IntegralType, T.BooleanType, T.DecimalType)):
+        return f"cast({cell} AS DOUBLE)"
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
+        return "cast(NULL AS DOUBLE)"
+    number = f"try_cast({cell} AS DOUBLE)"
+    kept = f"if(isnan({number}) OR abs({number}) = double('Infinity'), NULL, {number})"
     if isinstance(dtype, T.StringType):
         # A trailing d or f is a number suffix to the cast but not part of a number in text data.
-        suffixed = F.lower(F.right(F.trim(value), F.lit(1))).isin("d", "f")
-        return F.when(~suffixed, finite(value.try_cast("double")))
-    if isinstance(dtype, T.ArrayType):
+        return f"if(lower(right(trim({cell}), 1)) IN ('d', 'f'), NULL, {kept})"
+    return kept
+
+
+def to_number(value: Column, dtype: T.DataType) -> Column:
+    """A finite DOUBLE, or NULL where the cell holds none."""
+    if isinstance(dtype, (T.IntegralType, T.BooleanType, T.DecimalType)):
+        return value.cast("double")
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
         return F.lit(None).cast("double")
-    return finite(value.try_cast("double"))
+    number = finite(value.try_cast("double"))
+    if isinstance(dtype, T.StringType):
+        return F.when(~F.lower(F.right(F.trim(value), F.lit(1))).isin("d", "f"), number)
+    return number
 
 
 def number_list(value: Column, dtype: T.DataType) -> Column:
@@ -72,35 +85,35 @@ def number_list(value: Column, dtype: T.DataType) -> Column:
     return F.filter(items, lambda item: item.isNotNull())
 
 
-def _present(df: DataFrame, aliases: Sequence[str]) -> list[tuple[Column, T.DataType]]:
+def _present(df: DataFrame, aliases: Sequence[str]) -> list[tuple[str, T.DataType]]:
+    """Quoted name and type of every alias the table has."""
     names = column_names(df)
+    types = {field.name: field.dataType for field in df.schema.fields}
     found = [names[plain_name(a)] for a in aliases if plain_name(a) in names]
-    return [(quoted(name), df.schema[name].dataType) for name in found]
+    return [("`" + name.replace("`", "``") + "`", types[name]) for name in found]
 
 
 def first_number(df: DataFrame, *aliases: str, default: float | None = 0.0) -> Column:
     """Per row, the first alias that holds a finite number."""
-    parsed = [to_number(value, dtype) for value, dtype in _present(df, aliases)]
-    return F.coalesce(*parsed, F.lit(default).cast("double"))
+    parsed = [number_sql(cell, dtype) for cell, dtype in _present(df, aliases)]
+    last = "cast(NULL AS DOUBLE)" if default is None else f"double({default!r})"
+    return F.expr(f"coalesce({', '.join([*parsed, last])})")
 
 
 def first_column(df: DataFrame, *aliases: str) -> Column:
     """The first alias that exists as a column; cells without a finite number are 0."""
-    found = _present(df, aliases)[:1]
-    return F.coalesce(*[to_number(value, dtype) for value, dtype in found], F.lit(0.0))
+    parsed = [number_sql(cell, dtype) for cell, dtype in _present(df, aliases)[:1]]
+    return F.expr(f"coalesce({', '.join([*parsed, 'double(0)'])})")
 
 
 def cell_numbers(df: DataFrame, *aliases: str) -> Column:
     """All numbers of the first alias that is not NULL, else the first single number, else 0."""
-    found = _present(df, aliases)
     single = F.array(first_number(df, *aliases))
-    chosen = None
-    for value, dtype in reversed(found):
-        chosen = F.when(value.isNotNull(), number_list(value, dtype)) if chosen is None else \
-            F.when(value.isNotNull(), number_list(value, dtype)).otherwise(chosen)
-    if chosen is None:
-        return single
-    return F.when(F.size(F.coalesce(chosen, F.array().cast("array<double>"))) > 0, chosen).otherwise(single)
+    chosen = F.lit(None).cast("array<double>")
+    for cell, dtype in reversed(_present(df, aliases)):
+        value = F.expr(cell)
+        chosen = F.when(value.isNotNull(), number_list(value, dtype)).otherwise(chosen)
+    return F.when(F.coalesce(F.size(chosen), F.lit(0)) > 0, chosen).otherwise(single)
 
 
 def first_cell(df: DataFrame, *aliases: str) -> Column:
@@ -112,8 +125,8 @@ def first_cell(df: DataFrame, *aliases: str) -> Column:
 
 def port_list(df: DataFrame, *aliases: str) -> Column | None:
     """Positive ports of all the given columns together; None when the table has none of them."""
-    lists = [F.coalesce(number_list(value, dtype), F.array().cast("array<double>"))
-             for value, dtype in _present(df, aliases)]
+    lists = [F.coalesce(number_list(F.expr(cell), dtype), F.array().cast("array<double>"))
+             for cell, dtype in _present(df, aliases)]
     if not lists:
         return None
     joined = F.concat(*lists) if len(lists) > 1 else lists[0]

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.numbers import int_div
-from tidewatch.schema import FEATURES, MEASURES, MOMENTS, ONLINE, FeatureOptions
+from tidewatch.schema import FEATURES, MOMENTS, ONLINE, FeatureOptions
 
 FLAGS = ("syn", "ack", "fin", "rst", "psh", "urg")
 SUMS = ("bytes", "packets", "src_bytes", "dst_bytes", "src_packets", "dst_packets", *FLAGS, "fragments",
@@ -18,43 +17,28 @@ SUMS = ("bytes", "packets", "src_bytes", "dst_bytes", "src_packets", "dst_packet
 BLOCK = 63
 
 
-def port_marks(port: Column) -> Column:
-    """(block, bit) pairs of a port: its own, and the top bit of the block before when it opens a block."""
-    bit = F.pmod(port, F.lit(BLOCK)).cast("int")
-    block = int_div(port, BLOCK)
-    own = F.struct(block.alias("block"), bit.alias("bit"))
-    before = F.struct((block - 1).alias("block"), F.lit(BLOCK).alias("bit"))
-    return F.when((bit == 0) & (block > 0), F.array(own, before)).otherwise(F.array(own))
+# (block, bit) of a port: its own, and the top bit of the block before when the port opens a block.
+PORT_MARKS = f"""inline(flatten(transform(ports, p -> if(p % {BLOCK} = 0 AND p > 0,
+  array(struct(p div {BLOCK} AS block, 0 AS bit), struct(p div {BLOCK} - 1 AS block, {BLOCK} AS bit)),
+  array(struct(p div {BLOCK} AS block, int(p % {BLOCK}) AS bit))))))"""
 
 
 def port_masks(events: DataFrame, by: Sequence[str]) -> DataFrame:
     """One BIGINT of port bits per group and block of 63 ports."""
-    marks = F.flatten(F.transform(F.col("ports"), port_marks))
-    return (
-        events.select(*by, F.inline(marks))
-        .groupBy(*by, "block")
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("mask"))
-    )
+    return events.select(*by, F.expr(PORT_MARKS)).groupBy(*by, "block") \
+        .agg(F.expr("bit_or(shiftleft(1L, bit)) AS mask"))
 
 
 def mask_counts(masks: DataFrame, by: Sequence[str]) -> DataFrame:
     """Distinct ports and directly following port pairs of each block."""
-    mask = F.col("mask")
-    return masks.select(
-        *by,
-        F.bit_count(mask.bitwiseAND(F.lit((1 << BLOCK) - 1))).cast("long").alias("_ports"),
-        F.bit_count(mask.bitwiseAND(F.shiftrightunsigned(mask, 1))).cast("long").alias("_pairs"),
-    )
+    return masks.select(*by, F.expr(f"bigint(bit_count(mask & {(1 << BLOCK) - 1}L)) AS _ports"),
+                        F.expr("bigint(bit_count(mask & shiftrightunsigned(mask, 1))) AS _pairs"))
 
 
-def sequential_score(ports: Column, pairs: Column) -> Column:
-    return F.when(ports > 1, pairs / (ports - 1)).otherwise(0.0)
-
-
-def guarded_ratio(numerator: Column, denominator: Column, guard: str) -> Column:
+def guarded_ratio(numerator: str, denominator: str, guard: str) -> str:
     if guard == "floor1":
-        return numerator / F.greatest(denominator, F.lit(1.0))
-    return F.when(denominator > 0, numerator / denominator).otherwise(0.0)
+        return f"{numerator} / greatest({denominator}, double(1))"
+    return f"if({denominator} > 0, {numerator} / {denominator}, double(0))"
 
 
 def _numbers(events: DataFrame, options: FeatureOptions) -> DataFrame:
@@ -103,54 +87,62 @@ def moment_inputs(events: DataFrame, options: FeatureOptions) -> DataFrame:
 
 
 MERGED = [f"{name}_{part}" for name in MOMENTS for part in "nsqx"]
+PORT_SUMS = ("_ports", "_pairs")
+
+
+def _aggregates(calls: dict[str, str]) -> list[Column]:
+    return [F.expr(f"{call}({name}) AS {name}") for name, call in calls.items()]
 
 
-def merge_aggregates() -> list[Column]:
+def merge_aggregates(ports: bool = False) -> list[Column]:
     """Aggregates that may be applied again to their own results."""
-    return (
-        [F.sum(name).alias(name) for name in SUMS]
-        + [F.max("duration").alias("duration")]
-        + [(F.max(c) if c.endswith("_x") else F.sum(c)).alias(c) for c in MERGED]
-        + [F.sum("_n").alias("_n"), F.max("stage").alias("stage"), F.max("risk").alias("risk")]
-    )
+    calls = dict.fromkeys(SUMS, "sum") | {"duration": "max"}
+    calls |= {c: "max" if c.endswith("_x") else "sum" for c in MERGED}
+    calls |= {"_n": "sum", "stage": "max", "risk": "max"}
+    return _aggregates(calls | (dict.fromkeys(PORT_SUMS, "sum") if ports else {}))
+
+
+def _floor0(value: str) -> str:
+    return f"greatest(coalesce({value}, double(0)), double(0))"
+
 
+def _merged_moments(name: str) -> tuple[str, str, str]:
+    n, s, q, x = (f"{name}_{part}" for part in "nsqx")
+    mean = f"coalesce(try_divide({s}, {n}), double(0))"
+    return mean, _floor0(f"try_divide({q}, {n}) - {mean} * {mean}"), _floor0(x)
 
-def _moments_from_sums(name: str) -> tuple[Column, Column, Column]:
-    n, s, q, x = (F.col(f"{name}_{part}") for part in "nsqx")
-    mean = F.coalesce(F.try_divide(s, n), F.lit(0.0))
-    variance = F.greatest(F.coalesce(F.try_divide(q, n), F.lit(0.0)) - mean * mean, F.lit(0.0))
-    return mean, variance, F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0))
 
+def _direct_moments(name: str) -> tuple[str, str, str]:
+    return f"coalesce({name}_a, double(0))", _floor0(f"{name}_v"), _floor0(f"{name}_x")
 
-def finish(table: DataFrame, by: Sequence[str], options: FeatureOptions,
-           moments: dict[str, tuple[Column, Column, Column]] | None = None) -> DataFrame:
+
+def finish(table: DataFrame, by: Sequence[str], options: FeatureOptions, merged: bool = True) -> DataFrame:
     """Aggregated sums -> the feature columns in their fixed order."""
-    moments = moments or {name: _moments_from_sums(name) for name in MOMENTS}
-    ports = F.coalesce(F.col("_ports"), F.lit(0).cast("long"))
-    pairs = F.coalesce(F.col("_pairs"), F.lit(0).cast("long"))
+    moment = {name: (_merged_moments if merged else _direct_moments)(name) for name in MOMENTS}
+    ported = "_ports" in table.columns
+    ports, pairs = ("coalesce(_ports, 0)", "coalesce(_pairs, 0)") if ported else ("0", "0")
     values = {
-        "flow_bytes": F.col("bytes"),
-        "flow_packets": F.col("packets"),
-        "flow_duration": F.greatest(F.col("duration"), F.lit(0.0)),
-        "iat_mean": moments["iat"][0], "iat_variance": moments["iat"][1], "iat_max": moments["iat"][2],
-        "bidirectional_byte_ratio": guarded_ratio(F.col("src_bytes"), F.col("dst_bytes"), options.ratio_guard),
-        "bidirectional_packet_ratio": guarded_ratio(F.col("src_packets"), F.col("dst_packets"), options.ratio_guard),
-        **{f"{flag}_count": F.col(flag) for flag in FLAGS},
-        "ttl_mean": moments["ttl"][0], "ttl_variance": moments["ttl"][1],
-        "tcp_window_mean": moments["tcp_window"][0], "tcp_window_variance": moments["tcp_window"][1],
-        "fragment_count": F.col("fragments"),
-        "payload_mean": moments["payload"][0], "payload_variance": moments["payload"][1],
-        "port_diversity": ports.cast("double"),
-        "sequential_port_score": sequential_score(ports, pairs),
-        "retransmission_count": F.col("retransmissions"),
+        "flow_bytes": "bytes", "flow_packets": "packets", "flow_duration": _floor0("duration"),
+        "iat_mean": moment["iat"][0], "iat_variance": moment["iat"][1], "iat_max": moment["iat"][2],
+        "bidirectional_byte_ratio": guarded_ratio("src_bytes", "dst_bytes", options.ratio_guard),
+        "bidirectional_packet_ratio": guarded_ratio("src_packets", "dst_packets", options.ratio_guard),
+        **{f"{flag}_count": flag for flag in FLAGS},
+        "ttl_mean": moment["ttl"][0], "ttl_variance": moment["ttl"][1],
+        "tcp_window_mean": moment["tcp_window"][0], "tcp_window_variance": moment["tcp_window"][1],
+        "fragment_count": "fragments",
+        "payload_mean": moment["payload"][0], "payload_variance": moment["payload"][1],
+        "port_diversity": ports,
+        "sequential_port_score": f"if({ports} > 1, {pairs} / ({ports} - 1), double(0))",
+        "retransmission_count": "retransmissions",
     }
-    return table.select(
-        *by,
-        *[values[name].cast("double").alias(name) for name in FEATURES],
-        F.col("_n").alias("event_count"),
-        F.greatest(F.coalesce(F.col("stage"), F.lit(0)), F.lit(0)).alias("stage"),
-        F.greatest(F.coalesce(F.col("risk"), F.lit(0.0)), F.lit(0.0)).alias("risk"),
-    )
+    return table.select(*by, *[F.expr(f"cast({values[name]} AS DOUBLE) AS {name}") for name in FEATURES],
+                        F.expr("_n AS event_count"), F.expr("greatest(coalesce(stage, 0), 0) AS stage"),
+                        F.expr(f"{_floor0('risk')} AS risk"))
+
+
+def with_port_rows(rows: DataFrame, masks: DataFrame | None, by: Sequence[str]) -> DataFrame:
+    """Append one row per group and port block that carries only port counts."""
+    return rows if masks is None else rows.unionByName(mask_counts(masks, by), allowMissingColumns=True)
 
 
 def window_features(events: DataFrame, by: Sequence[str], options: FeatureOptions = ONLINE) -> DataFrame:
@@ -159,29 +151,20 @@ def window_features(events: DataFrame, by: Sequence[str], options: FeatureOption
     Port bits are reduced on their own and appended to the records as extra rows that carry
     nothing else, so one grouped aggregate finishes both without a join.
     """
-    lists = _list_moments(events)
-    base = moment_inputs(events, options) if lists else _numbers(events, options)
-    carried = [name for name in MEASURES if name in base.columns] + ([c for c in MERGED] if lists else [])
-    rows = base.select(*by, *carried, "stage", "risk", F.lit(1).cast("long").alias("_n"))
-    if "ports" in events.columns:
-        rows = rows.unionByName(mask_counts(port_masks(events, by), by), allowMissingColumns=True)
-        port_sums = [F.sum("_ports").alias("_ports"), F.sum("_pairs").alias("_pairs")]
+    merged = bool(_list_moments(events))
+    base = moment_inputs(events, options) if merged else _numbers(events, options)
+    carried = [*SUMS, "duration", *(MERGED if merged else MOMENTS)]
+    rows = base.select(*by, *carried, "stage", "risk", F.expr("1L AS _n"))
+    ported = "ports" in events.columns
+    rows = with_port_rows(rows, port_masks(events, by) if ported else None, by)
+    if merged:
+        aggregates = merge_aggregates(ported)
     else:
-        port_sums = [F.lit(None).cast("long").alias("_ports"), F.lit(None).cast("long").alias("_pairs")]
-    if lists:
-        table = rows.groupBy(*by).agg(*merge_aggregates(), *port_sums)
-        return finish(table, by, options)
-    aggregates = [F.sum(name).alias(name) for name in SUMS] + [F.max("duration").alias("duration")]
-    for name in MOMENTS:
-        aggregates += [F.avg(name).alias(f"{name}_a"), F.var_pop(name).alias(f"{name}_v"),
-                       F.max(name).alias(f"{name}_x")]
-    aggregates += [F.sum("_n").alias("_n"), F.max("stage").alias("stage"), F.max("risk").alias("risk"), *port_sums]
-    table = rows.groupBy(*by).agg(*aggregates)
-    zero = F.lit(0.0)
-    moments = {name: (F.coalesce(F.col(f"{name}_a"), zero),
-                      F.greatest(F.coalesce(F.col(f"{name}_v"), zero), zero),
-                      F.greatest(F.coalesce(F.col(f"{name}_x"), zero), zero)) for name in MOMENTS}
-    return finish(table, by, options, moments)
+        aggregates = _aggregates(dict.fromkeys(SUMS, "sum") | {"duration": "max", "_n": "sum", "stage": "max", "risk": "max"}
+                                 | (dict.fromkeys(PORT_SUMS, "sum") if ported else {}))
+        aggregates += [F.expr(f"{call}({name}) AS {name}_{part}") for name in MOMENTS
+                       for call, part in (("avg", "a"), ("var_pop", "v"), ("max", "x"))]
+    return finish(rows.groupBy(*by).agg(*aggregates), by, options, merged)
 
 
 def features_array(table: DataFrame, name: str = "features") -> DataFrame:

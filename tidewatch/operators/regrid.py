@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.numbers import int_div
 from tidewatch.operators.features import (
-    MERGED, SUMS, finish, mask_counts, merge_aggregates, moment_inputs, port_masks,
+    MERGED, SUMS, finish, merge_aggregates, moment_inputs, port_masks, with_port_rows,
 )
 from tidewatch.operators.windows import to_micros, with_anchor
 from tidewatch.schema import ONLINE, FeatureOptions
@@ -123,14 +123,12 @@ def regrid_features(events: DataFrame, width: float, stride: float, keys: Sequen
     starts = grid_starts(panes.select("series", "cell"), size // unit, step // unit)
     group = [*keys, "_anchor", "start"]
     rows = panes.join(starts, ["series", "cell"]).select(*group, *SUMS, "duration", *MERGED, "_n", "stage", "risk")
+    masks = None
     if "ports" in events.columns:
         masks = port_masks(placed, by).join(starts, ["series", "cell"]) \
             .groupBy(*group, "block").agg(F.bit_or("mask").alias("mask"))
-        rows = rows.unionByName(mask_counts(masks, group), allowMissingColumns=True)
-        ports = [F.sum("_ports").alias("_ports"), F.sum("_pairs").alias("_pairs")]
-    else:
-        ports = [F.lit(None).cast("long").alias("_ports"), F.lit(None).cast("long").alias("_pairs")]
-    table = finish(rows.groupBy(*group).agg(*merge_aggregates(), *ports), group, options)
+    table = with_port_rows(rows, masks, group).groupBy(*group).agg(*merge_aggregates(ports=masks is not None))
+    table = finish(table, group, options)
     start_us = F.col("_anchor") + F.col("start") * F.lit(unit)
     return table.select(
         *keys, int_div(F.col("start") * F.lit(unit), size).alias("win_idx"),

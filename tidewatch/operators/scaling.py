@@ -76,18 +76,23 @@ def _state(scaler: Scaler | DataFrame) -> Column:
     return scaler.select(F.struct("mean", "scale")).scalar()
 
 
+def _with_state(windows: DataFrame, scaler: Scaler | DataFrame) -> tuple[DataFrame, Column]:
+    # Held in a column so that the subquery is planned once, not once per feature.
+    return windows.withColumn("_scaler", _state(scaler)), F.col("_scaler")
+
+
 def scale(windows: DataFrame, scaler: Scaler | DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """(x - mean) / scale for every feature."""
-    state = _state(scaler)
-    return windows.withColumns({f: (F.col(f) - state["mean"][i]) / state["scale"][i]
-                                for i, f in enumerate(features)})
+    rows, state = _with_state(windows, scaler)
+    return rows.withColumns({f: (F.col(f) - state["mean"][i]) / state["scale"][i]
+                             for i, f in enumerate(features)}).drop("_scaler")
 
 
 def unscale(windows: DataFrame, scaler: Scaler | DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Back to source units."""
-    state = _state(scaler)
-    return windows.withColumns({f: F.col(f) * state["scale"][i] + state["mean"][i]
-                                for i, f in enumerate(features)})
+    rows, state = _with_state(windows, scaler)
+    return rows.withColumns({f: F.col(f) * state["scale"][i] + state["mean"][i]
+                             for i, f in enumerate(features)}).drop("_scaler")
 
 
 def rescale(windows: DataFrame, stored: Scaler | DataFrame, wanted: Scaler | DataFrame,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.numbers import int_div
 from tidewatch.operators.features import (
-    MERGED, SUMS, finish, mask_counts, merge_aggregates, moment_inputs, port_masks, window_features,
+    MERGED, SUMS, finish, merge_aggregates, moment_inputs, port_masks, window_features, with_port_rows,
 )
 from tidewatch.schema import ONLINE, ROWS_PER_GROUP, FeatureOptions
 from tidewatch.session import join_small
@@ -112,14 +112,11 @@ def sliding_features(events: DataFrame, width: float, stride: float, keys: Seque
     panes = inputs.groupBy(*cells).agg(*merge_aggregates())
     rows = _explode_windows(panes, size, step, "_pane") \
         .select(*by, *SUMS, "duration", *MERGED, "_n", "stage", "risk")
+    masks = None
     if "ports" in events.columns:
         masks = _explode_windows(port_masks(anchored, cells), size, step, "_pane") \
             .groupBy(*by, "block").agg(F.bit_or("mask").alias("mask"))
-        rows = rows.unionByName(mask_counts(masks, by), allowMissingColumns=True)
-        ports = [F.sum("_ports").alias("_ports"), F.sum("_pairs").alias("_pairs")]
-    else:
-        ports = [F.lit(None).cast("long").alias("_ports"), F.lit(None).cast("long").alias("_pairs")]
-    table = rows.groupBy(*by).agg(*merge_aggregates(), *ports)
+    table = with_port_rows(rows, masks, by).groupBy(*by).agg(*merge_aggregates(ports=masks is not None))
     return _with_bounds(finish(table, by, options), keys, size)
 
 
