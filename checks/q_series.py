@@ -164,15 +164,15 @@ def f1_sort(spark: SparkSession, sf: str) -> DataFrame:
 
 def f2_top_features(spark: SparkSession, sf: str) -> DataFrame:
     days = user_days(spark, sf)
-    parts = F.array(*[F.struct(F.lit(f).alias("name"), F.round(F.col(f), 4).alias("contribution")) for f in FEATURES])
+    parts = F.array(*[F.struct(F.lit(f).alias("name"), r4(F.col(f)).alias("contribution")) for f in FEATURES])
     rows = days.select("user_id", "idx", by_size(parts).alias("contributions"))
-    return top_features(rows, 5).withColumn("contribution", r4(F.col("contribution")))
+    return top_features(rows, 5)
 
 
-F2 = f"""WITH {USER_DAYS}, long AS (UNPIVOT (SELECT user_id, idx, {", ".join(f"round({f}, 4) AS {f}" for f in FEATURES)} FROM days)
+F2 = f"""WITH {USER_DAYS}, long AS (UNPIVOT (SELECT user_id, idx, {", ".join(f"{sql_r4(f)} AS {f}" for f in FEATURES)} FROM days)
   ON {", ".join(FEATURES)} INTO NAME feature VALUE contribution),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, idx ORDER BY abs(contribution) DESC, feature) AS r FROM long)
-SELECT user_id, idx, CAST(r AS INTEGER) AS rank, feature, {sql_r4("contribution")} AS contribution FROM ranked WHERE r <= 5"""
+SELECT user_id, idx, CAST(r AS INTEGER) AS rank, feature, contribution FROM ranked WHERE r <= 5"""
 
 
 def f3_union(spark: SparkSession, sf: str) -> DataFrame:

@@ -23,7 +23,6 @@ from tidewatch.operators.windows import (
 from tidewatch.schema import BATCH, COLUMNAR, FEATURES
 
 HOUR_US = 3_600_000_000
-OUT = f"start_us, end_us, {rounded_sql()}, event_count, stage, risk"
 
 
 def c1_tumbling(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_sources", "q_windows", "q_series", "q_metrics", "q_models", "q_streams")
+MODULES = ("flagship", "q_sources", "q_windows", "q_series", "q_metrics", "q_models", "q_streams")
 
 
 def _entries() -> dict:
