@@ -18,6 +18,7 @@ from tidewatch.operators.series import (
 )
 from tidewatch.operators.windows import assign_windows, tumbling_features
 from tidewatch.schema import FEATURES
+from tidewatch.session import join_small
 from tidewatch.sources.flows import union_sources
 
 L, K = 5, 3
@@ -79,8 +80,8 @@ FROM days o, generate_series(1, {K}) g(k) LEFT JOIN days t ON o.user_id = t.user
 def e3_flagged(spark: SparkSession, sf: str) -> DataFrame:
     days = user_days(spark, sf)
     events = assign_windows(traffic_events(spark, sf, keep=["event_id"]), DAY, ["user_id"])
-    members = events.select("user_id", "event_id", "win_idx").join(
-        days.select("user_id", "win_idx", "idx"), ["user_id", "win_idx"]).select("user_id", "event_id", "idx")
+    members = join_small(events.select("user_id", "event_id", "win_idx"), days.select("user_id", "win_idx", "idx"),
+                         ["user_id", "win_idx"]).select("user_id", "event_id", "idx")
     scores = days.select("user_id", F.col("idx").alias("position"), (F.round("flow_bytes", 2) / 200).alias("score"))
     return flagged_records(scores, members, 0.5, L, ["user_id"]).select("user_id", "flag_position", "idx", "event_id")
 

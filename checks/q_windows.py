@@ -16,7 +16,7 @@ from tidewatch.operators.regrid import regrid_features
 from tidewatch.operators.scaling import (
     collect_scaler, fit_scaler, rescale, scale, scaler_from_json, scaler_to_json, unscale,
 )
-from tidewatch.operators.series import row_time, series_index
+from tidewatch.operators.series import align, row_time, series_index
 from tidewatch.operators.windows import (
     assign_windows, rowgroup_features, sliding_features, tumbling_features, window_sample,
 )
@@ -268,12 +268,16 @@ SELECT user_id, {sql_r4("s")} AS slope, CASE WHEN s > 0.05 THEN 'increasing' WHE
 
 
 def d13_prefix_max(spark: SparkSession, sf: str) -> DataFrame:
-    out = prefix_max(user_days(spark, sf), "flow_bytes", ["user_id"], "idx")
-    return out.select("user_id", "idx", r4(F.col("prefix_max")).alias("prefix_max"))
+    """Most events on any of the next 1..3 days of every origin."""
+    ahead = align(user_days(spark, sf), 3, ["user_id"], stage="event_count").select("user_id", "origin_idx", "step", "label")
+    return prefix_max(ahead, "label", ["user_id", "origin_idx"])
 
 
-D13 = f"""WITH {USER_DAYS}
-SELECT user_id, idx, {sql_r4("max(flow_bytes) OVER (PARTITION BY user_id ORDER BY idx)")} AS prefix_max FROM days"""
+D13 = f"""WITH {USER_DAYS}, size AS (SELECT user_id, max(idx) AS last FROM days GROUP BY user_id)
+SELECT o.user_id, o.idx AS origin_idx, CAST(t.idx - o.idx AS INTEGER) AS step, t.event_count AS label,
+       max(t.event_count) OVER (PARTITION BY o.user_id, o.idx ORDER BY t.idx) AS prefix_max
+FROM days o JOIN days t ON o.user_id = t.user_id AND t.idx BETWEEN o.idx + 1 AND o.idx + 3 JOIN size s ON s.user_id = o.user_id
+WHERE o.idx + 3 <= s.last"""
 
 ROUND_TRIP = f"WITH {USER_DAYS} SELECT user_id, idx, {rounded_sql()} FROM days"
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.heads import LinearScore
+from tidewatch.operators.heads import LinearScore, list_values
 from tidewatch.schema import FEATURE_NOTES, FEATURES
 from tidewatch.session import join_small
 
@@ -41,16 +41,17 @@ def attribute_with(df: DataFrame, predictor: Callable[[np.ndarray], np.ndarray],
     """Add `contributions` for any predictor: how the score falls when one feature takes its background value."""
     base = np.asarray(background, dtype=float)
 
-    @F.pandas_udf("array<double>")
-    def occlude(x: pd.Series) -> pd.Series:
-        values = np.stack(x.to_numpy()).astype(float) if len(x) else np.empty((0, len(base)))
+    @F.arrow_udf("array<double>")
+    def occlude(x: pa.Array) -> pa.Array:
+        values = list_values(x, len(base))
         full = np.asarray(predictor(values), dtype=float)
         parts = np.empty_like(values)
-        for i in range(values.shape[1]):
+        for i in range(len(base)):
             without = values.copy()
             without[:, i] = base[i]
             parts[:, i] = full - np.asarray(predictor(without), dtype=float)
-        return pd.Series(parts.tolist())
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, parts.size + 1, len(base), dtype=np.int32)),
+                                        pa.array(parts.reshape(-1)))
 
     return df.withColumn("contributions", by_size(_named(occlude(features), names)))
 
@@ -94,14 +95,7 @@ def flagged_records(scores: DataFrame, members: DataFrame, threshold: float, len
     """
     last = members.groupBy(*keys).agg(F.max(window).alias("_last"))
     flagged = scores.where(F.col(score) >= F.lit(threshold)).select(*keys, F.col(position).alias("flag_position"))
-    right = last.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_last")
-    on: Column = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    if keys:
-        placed = flagged.join(right, on).drop(*[f"_k_{k}" for k in keys])
-    else:
-        placed = flagged.withColumn("_last", last.scalar())
+    placed = join_small(flagged, last, list(keys)) if keys else flagged.withColumn("_last", last.scalar())
     target = F.least(F.col("flag_position") + (length - 1), F.col("_last"))
     wanted = placed.withColumn(window, target).drop("_last")
     return join_small(members, wanted, [*keys, window])

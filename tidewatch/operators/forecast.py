@@ -6,12 +6,15 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.labels import risk_target, stage_name, stage_target
-from tidewatch.operators.heads import ForecastModel, LinearScore, StageScore, Transition, fit_logistic, fit_stages
+from tidewatch.operators.heads import (
+    ForecastModel, LinearScore, StageScore, Transition, fit_logistic, fit_stages, list_values,
+)
 from tidewatch.operators.scan import drop_halo, with_halo
 from tidewatch.operators.series import latest_context, sequences
 from tidewatch.schema import STAGES
@@ -33,25 +36,31 @@ def step_forward(recent: np.ndarray, transition: Transition, steps: int) -> np.n
     return out
 
 
-def _stack(histories: pd.Series, rows: int, size: int) -> np.ndarray:
-    return np.asarray([np.stack(h) for h in histories.to_numpy()], dtype=float).reshape(len(histories), rows, size)
+def _recent(history: Column, lags: int) -> Column:
+    return F.flatten(F.slice(history, -lags, lags))
 
 
-def _recent(history: Column, lags: int) -> Column:
-    return F.slice(history, -lags, lags)
+def _lists(values: np.ndarray) -> pa.Array:
+    """(rows, n) or (rows, n, m) numbers as list cells."""
+    out = pa.array(values.reshape(-1))
+    for axis in range(values.ndim - 1, 0, -1):
+        length = values.shape[axis]
+        out = pa.ListArray.from_arrays(pa.array(np.arange(0, len(out) + 1, length, dtype=np.int32)), out)
+    return out
 
 
 def rollout(histories: DataFrame, transition: Transition, steps: int, history: str = "history") -> DataFrame:
     """Add `states`, the predicted next `steps` windows of every history."""
     if steps < 1:
         raise ValueError("steps must be at least 1")
+    lags, size = transition.lags, transition.size
 
-    @F.pandas_udf("array<array<double>>")
-    def predict_states(recent: pd.Series) -> pd.Series:
-        states = step_forward(_stack(recent, transition.lags, transition.size), transition, steps)
-        return pd.Series([s.tolist() for s in states])
+    @F.arrow_udf("array<array<double>>")
+    def predict_states(recent: pa.Array) -> pa.Array:
+        seen = list_values(recent, lags * size).reshape(-1, lags, size)
+        return _lists(step_forward(seen, transition, steps))
 
-    return histories.withColumn("states", predict_states(_recent(F.col(history), transition.lags)))
+    return histories.withColumn("states", predict_states(_recent(F.col(history), lags)))
 
 
 def prefix_max(df: DataFrame, value: str, by: Sequence[str], step: str = "step", name: str = "prefix_max") -> DataFrame:
@@ -128,9 +137,11 @@ def score(histories: DataFrame, model: ForecastModel, horizon: int | None = None
         raise ValueError(f"horizon must be between 1 and {model.horizon}")
     transition = model.transition
 
-    @F.pandas_udf(SCORED)
-    def run(recent: pd.Series) -> pd.DataFrame:
-        seen = _stack(recent, transition.lags, transition.size)
+    lags, size = transition.lags, transition.size
+
+    @F.arrow_udf(SCORED)
+    def run(recent: pa.Array) -> pa.Array:
+        seen = list_values(recent, lags * size).reshape(-1, lags, size)
         states = step_forward(seen, transition, steps)
         pooled = np.maximum.accumulate(states, axis=1)
         risk = np.empty((len(seen), steps))
@@ -140,15 +151,14 @@ def score(histories: DataFrame, model: ForecastModel, horizon: int | None = None
             shares[:, k] = _softmax(pooled[:, k] @ np.asarray(model.stage[k].coef).T
                                     + np.asarray(model.stage[k].intercept))
         now = seen[:, -1]
+        now_risk = _sigmoid(now @ np.asarray(model.risk[0].coef) + model.risk[0].intercept)
         now_stage = now @ np.asarray(model.stage[0].coef).T + np.asarray(model.stage[0].intercept)
-        return pd.DataFrame({
-            "current_risk": _sigmoid(now @ np.asarray(model.risk[0].coef) + model.risk[0].intercept),
-            "current_stage": now_stage.argmax(axis=1),
-            "risk": risk.tolist(), "stage": shares.argmax(axis=2).tolist(),
-            "probabilities": shares.tolist(), "states": states.tolist(),
-        })
-
-    return histories.withColumn("scored", run(_recent(F.col(history), transition.lags)))
+        return pa.StructArray.from_arrays([
+            pa.array(now_risk), pa.array(now_stage.argmax(axis=1).astype(np.int32)), _lists(risk),
+            _lists(shares.argmax(axis=2).astype(np.int32)), _lists(shares), _lists(states),
+        ], names=["current_risk", "current_stage", "risk", "stage", "probabilities", "states"])
+
+    return histories.withColumn("scored", run(_recent(F.col(history), lags)))
 
 
 def slope(values: Column, count: int) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -101,6 +101,11 @@ def dot(x: Column, weights: Sequence[float]) -> Column:
                        lambda total, part: total + part)
 
 
+def list_values(lists: pa.Array, size: int) -> np.ndarray:
+    """ARRAY<DOUBLE> cells of equal length as a (rows, size) matrix."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), size)
+
+
 def gram(rows: DataFrame, column: str, size: int) -> np.ndarray:
     """Sum of z·zᵀ over all rows with z = (1, column).
 
@@ -110,15 +115,16 @@ def gram(rows: DataFrame, column: str, size: int) -> np.ndarray:
     width = size + 1
     upper = np.triu_indices(width)
 
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
         for batch in batches:
-            if len(batch):
-                z = np.column_stack([np.ones(len(batch)), np.stack(batch[column].to_numpy())])
-                total += z.T @ z
-        yield pd.DataFrame({"cell": np.arange(len(upper[0])), "value": total[upper]})
+            values = list_values(batch.column(0), size)
+            z = np.column_stack([np.ones(len(values)), values])
+            total += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(upper[0]), dtype=np.int32)), pa.array(total[upper])],
+                                         names=["cell", "value"])
 
-    parts = rows.select(column).mapInPandas(add_up, "cell int, value double")
+    parts = rows.select(column).mapInArrow(add_up, "cell int, value double")
     cells = parts.groupBy("cell").agg(F.sum("value").alias("value")).collect()
     flat = np.zeros(len(upper[0]))
     for row in cells:

@@ -26,7 +26,7 @@ from tidewatch.operators.windows import to_micros, with_anchor
 from tidewatch.schema import ONLINE, FeatureOptions
 
 CELLS = 65_536
-PHASES = 4_096
+PHASES = 1_024
 
 
 def next_phase(phase, cell, width: int, stride: int):
@@ -40,71 +40,71 @@ def window_start(phase: int, cell: int, width: int, stride: int) -> int:
     return cell - ((cell - phase) % stride) % width
 
 
-def _exits(cells: np.ndarray, phases: np.ndarray, width: int, stride: int) -> np.ndarray:
-    for cell in cells:
-        phases = next_phase(phases, cell, width, stride)
-    return phases
+def _walk(width: int, stride: int):
+    """Window starts of sorted cells; the phase starts at `entry` wherever a new (series, chunk) begins."""
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, phase = None, 0
+        for batch in batches:
+            starts = np.empty(len(batch), dtype=np.int64)
+            rows = zip(batch["series"].tolist(), batch["chunk"].tolist(), batch["cell"].tolist(), batch["entry"].tolist())
+            for i, (series, chunk, cell, entry) in enumerate(rows):
+                if (series, chunk) != at:
+                    at, phase = (series, chunk), entry
+                starts[i] = window_start(phase, cell, width, stride)
+                phase = next_phase(phase, cell, width, stride)
+            yield pd.DataFrame({"series": batch["series"], "cell": batch["cell"], "start": starts})
 
+    return walk
 
-def _starts(cells: np.ndarray, phase: int, width: int, stride: int) -> tuple[np.ndarray, int]:
-    starts = np.empty(len(cells), dtype=np.int64)
-    for i, cell in enumerate(cells.tolist()):
-        starts[i] = window_start(phase, cell, width, stride)
-        phase = next_phase(phase, cell, width, stride)
-    return starts, phase
+
+STARTS = "series string, cell long, start long"
 
 
 def grid_starts(cells: DataFrame, width: int, stride: int) -> DataFrame:
-    """Window start (in cells) of every distinct (series, cell); both lengths in cells."""
+    """Window start (in cells) of every distinct (series, cell); both lengths in cells.
+
+    Every step below streams through sorted partitions: no group is ever held as a whole.
+    """
     if stride > PHASES:
-        return _one_pass(cells, width, stride)
+        # Too many phases for tables: walk each series' cells in order, holding one number.
+        whole = cells.withColumns({"chunk": F.lit(0).cast("long"), "entry": F.lit(0)})
+        return whole.repartition("series").sortWithinPartitions("series", "cell").mapInPandas(_walk(width, stride), STARTS)
     chunked = cells.withColumn("chunk", int_div(F.col("cell"), CELLS))
+    start = np.arange(stride)
 
-    def exits(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        phases = _exits(np.sort(part["cell"].to_numpy()), np.arange(stride), width, stride)
-        return pd.DataFrame({"series": [key[0]], "chunk": [key[1]], "exits": [phases.tolist()]})
-
-    tables = chunked.groupBy("series", "chunk").applyInPandas(exits, "series string, chunk long, exits array<int>")
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, phases = None, start
+        for batch in batches:
+            done = []
+            for series, chunk, cell in zip(batch["series"].tolist(), batch["chunk"].tolist(), batch["cell"].tolist()):
+                if (series, chunk) != at:
+                    if at is not None:
+                        done.append((*at, phases.tolist()))
+                    at, phases = (series, chunk), start
+                phases = next_phase(phases, cell, width, stride)
+            yield pd.DataFrame(done, columns=["series", "chunk", "exits"])
+        if at is not None:
+            yield pd.DataFrame([(*at, phases.tolist())], columns=["series", "chunk", "exits"])
+
+    by_chunk = chunked.repartition("series", "chunk")
+    tables = by_chunk.sortWithinPartitions("series", "chunk", "cell") \
+        .mapInPandas(exits, "series string, chunk long, exits array<int>")
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        series, phase = None, 0
+        at, phase = None, 0
         for batch in batches:
             entries = []
-            for name, table in zip(batch["series"], batch["exits"]):
-                if name != series:
-                    series, phase = name, 0
+            for series, table in zip(batch["series"], batch["exits"]):
+                if series != at:
+                    at, phase = series, 0
                 entries.append(phase)
                 phase = int(table[phase])
             yield pd.DataFrame({"series": batch["series"], "chunk": batch["chunk"], "entry": entries})
 
     entries = tables.repartition("series").sortWithinPartitions("series", "chunk") \
         .mapInPandas(chain, "series string, chunk long, entry int")
-
-    def resolve(part: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        ordered = np.sort(part["cell"].to_numpy())
-        starts, _ = _starts(ordered, int(entry["entry"].iloc[0]), width, stride)
-        return pd.DataFrame({"series": part["series"].iloc[0], "cell": ordered, "start": starts})
-
-    return chunked.groupBy("series", "chunk").cogroup(entries.groupBy("series", "chunk")) \
-        .applyInPandas(resolve, "series string, cell long, start long")
-
-
-def _one_pass(cells: DataFrame, width: int, stride: int) -> DataFrame:
-    """With very many phases a series' cells are walked in order, holding one number of state."""
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        series, phase = None, 0
-        for batch in batches:
-            starts = np.empty(len(batch), dtype=np.int64)
-            names, values = batch["series"].to_numpy(), batch["cell"].tolist()
-            for i, cell in enumerate(values):
-                if names[i] != series:
-                    series, phase = names[i], 0
-                starts[i] = window_start(phase, cell, width, stride)
-                phase = next_phase(phase, cell, width, stride)
-            yield pd.DataFrame({"series": names, "cell": batch["cell"], "start": starts})
-
-    return cells.repartition("series").sortWithinPartitions("series", "cell") \
-        .mapInPandas(walk, "series string, cell long, start long")
+    return by_chunk.join(entries, ["series", "chunk"]).repartition("series", "chunk") \
+        .sortWithinPartitions("series", "chunk", "cell").mapInPandas(_walk(width, stride), STARTS)
 
 
 def regrid_features(events: DataFrame, width: float, stride: float, keys: Sequence[str] = (),

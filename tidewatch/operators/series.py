@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.labels import risk_target, stage_target
 from tidewatch.operators.scan import chunk_of, drop_halo, running_by_index, with_halo
+from tidewatch.session import join_small
 
 
 def series_index(windows: DataFrame, keys: Sequence[str] = (), order: str = "win_idx", name: str = "idx") -> DataFrame:
@@ -110,12 +111,9 @@ def require_history(windows: DataFrame, length: int, horizon: int = 0, keys: Seq
             raise ValueError(f"at least {needed} windows are required ({length} of history and {horizon} ahead); "
                              f"found {found}")
         return windows
-    # A long enough series has a window at position needed - 1: no count of whole series is joined back.
-    enough = windows.where(F.col(idx) == needed - 1).select(*[F.col(k).alias(f"_e_{k}") for k in keys])
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_e_{k}"))
-    return windows.join(enough, on, "left_semi")
+    # A long enough series has a window at position needed - 1: no series needs to be counted.
+    enough = windows.where(F.col(idx) == needed - 1).select(*keys)
+    return join_small(windows, enough, list(keys), "left_semi")
 
 
 def latest_context(windows: DataFrame, count: int, keys: Sequence[str] = (), idx: str = "idx") -> DataFrame:
@@ -129,12 +127,14 @@ def sample_origins(windows: DataFrame, most: int | None, length: int, horizon: i
     """Evenly spaced forecast origins of every series: at most `most`, all of them when None."""
     if most is not None and most < 1:
         raise ValueError("the number of origins must be positive or None")
-    size = windows.groupBy(*keys).agg((F.max(idx) + 1).alias("_n"))
     first = length - 1
-    available = size.withColumn("_avail", F.col("_n") - F.lit(horizon) - F.lit(first)).where("_avail > 0")
     if most is None:
-        picked = available.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_avail") - 1)))
-        return picked.select(*keys, (F.col("_p") + first).alias("origin_idx"))
+        rows, order = with_halo(windows.select(*keys, idx), keys, idx, after=horizon)
+        kept = drop_halo(rows.withColumn("_target", F.lead(idx, horizon).over(order)))
+        return kept.where((F.col(idx) >= first) & F.col("_target").isNotNull()) \
+            .select(*keys, F.col(idx).alias("origin_idx"))
+    size = windows.groupBy(*keys).agg((F.max(idx) + 1).alias("_n"))
+    available = size.withColumn("_avail", F.col("_n") - F.lit(horizon) - F.lit(first)).where("_avail > 0")
     count = F.least(F.col("_avail"), F.lit(most).cast("long"))
     step = (F.col("_avail") - 1).cast("double") / F.greatest(count - 1, F.lit(1))
     picked = available.withColumns({"_count": count, "_step": step}) \

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,13 +59,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared checkpoint folder and read it back from there.
+    """Write `df` once as a table in the shared checkpoint folder and read it back from there.
 
-    Used where two branches of a plan need the same reduced table: neither the
-    branches nor a lost executor then go back to the raw records.
+    Used where several branches of a plan need the same reduced table: neither the branches nor a
+    lost executor then go back to the raw records, and each branch reads only its columns. The
+    table stays until the checkpoint folder is cleaned.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 BROADCAST_ROWS = 200_000
@@ -75,14 +78,14 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
                max_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
     """Join a large table to a usually small one, null keys included, whatever their skew.
 
-    `small` is written once and counted. Up to `max_rows` narrow rows it is broadcast and
+    `small` is written once and counted there. Up to `max_rows` narrow rows it is broadcast and
     `big` is not shuffled at all. Beyond that both sides are shuffled by key and salt, so a
     key holding a third of `big` is spread over `salts` tasks.
     """
     small = staged(small)
     right = small.select(*[F.col(c).alias(f"_r_{c}") for c in on],
                          *[c for c in small.columns if c not in on])
-    if small.limit(max_rows + 1).count() <= max_rows:
+    if small.count() <= max_rows:
         return big.join(F.broadcast(right), _same(on), how).drop(*[f"_r_{c}" for c in on])
     flat = [c for c, t in big.dtypes if not t.startswith(("array", "map", "struct"))]
     spread = F.pmod(F.xxhash64(*flat), F.lit(salts)).cast("int")
