@@ -146,7 +146,8 @@ def fit_transition(windows: DataFrame, lags: int = 1, ridge: float = 1.0, keys:
         raise ValueError("fitting a transition needs at least one pair of consecutive windows")
     known = 1 + size * lags
     penalty = np.diag([0.0] + [float(ridge)] * (size * lags))
-    weights = np.linalg.solve(matrix[:known, :known] + penalty + 1e-9 * np.eye(known), matrix[:known, known:])
+    # Least squares also copes with features that never vary.
+    weights = np.linalg.lstsq(matrix[:known, :known] + penalty, matrix[:known, known:], rcond=None)[0]
     return Transition(lags, tuple(map(tuple, weights.tolist())))
 
 
