@@ -11,12 +11,13 @@ from tidewatch.operators.canonical import canonical_events
 from tidewatch.session import SETTINGS
 from tidewatch.sources.streams import stream_flows
 from tidewatch.streaming.regrid import stream_regrid
+from tidewatch.streaming.sample import stream_sample
 from tidewatch.streaming.windows import stream_sliding, stream_tumbling
 
 
-def _arriving(spark: SparkSession, sf: str) -> DataFrame:
+def _arriving(spark: SparkSession, sf: str, keep=()) -> DataFrame:
     schema = table(spark, sf, "events").schema
-    return canonical_events(traffic(stream_flows(spark, sf, schema, pattern="events.parquet")), keys=["user_id"])
+    return canonical_events(traffic(stream_flows(spark, sf, schema, pattern="events.parquet")), keys=["user_id"], keep=keep)
 
 
 def _drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -70,9 +71,23 @@ S4 = f"""WITH RECURSIVE {TRAFFIC}, {GRID}
 SELECT t.user_id, g.start_us AS win_start_us, count(*) AS events FROM traffic t
 JOIN grid g ON t.user_id = g.user_id AND us >= start_us AND us < start_us + {6 * HOUR_US} GROUP BY ALL"""
 
+
+
+def s5_sample(spark: SparkSession, sf: str) -> DataFrame:
+    stream = stream_sample(_arriving(spark, sf, ["event_id"]), DAY, 3, "1 hour", ["user_id"], ["event_id"])
+    return _drained(spark, stream, "s5").select(
+        F.get_json_object("series", "$.user_id").cast("long").alias("user_id"), "win_start_us", "event_id")
+
+
+S5 = f"""WITH {TRAFFIC}, mark AS (SELECT (max(us) // 1000) * 1000 - {HOUR_US} AS w FROM traffic),
+placed AS (SELECT user_id, event_id, us, us // {24 * HOUR_US} * {24 * HOUR_US} AS win_start_us FROM traffic)
+SELECT user_id, win_start_us, event_id FROM placed, mark WHERE win_start_us + {24 * HOUR_US} <= w
+QUALIFY row_number() OVER (PARTITION BY user_id, win_start_us ORDER BY us DESC, event_id DESC) <= 3"""
+
 ENTRIES = {
     "S1_stream_tumbling": (s1_tumbling, _stream_sql(24 * HOUR_US, 24 * HOUR_US)),
     "S2_stream_sliding": (s2_sliding, _stream_sql(24 * HOUR_US, 12 * HOUR_US)),
     "S3_late_events": (s3_late, S3),
     "S4_stream_regrid": (s4_regrid, S4),
+    "S5_stream_sample": (s5_sample, S5),
 }
