@@ -124,13 +124,22 @@ def first_cell(df: DataFrame, *aliases: str) -> Column:
 
 
 def port_list(df: DataFrame, *aliases: str) -> Column | None:
-    """Positive ports of all the given columns together; None when the table has none of them."""
-    lists = [F.coalesce(number_list(F.expr(cell), dtype), F.array().cast("array<double>"))
-             for cell, dtype in _present(df, aliases)]
-    if not lists:
+    """Positive ports of all the given columns together; None when the table has none of them.
+
+    A single-number column adds NULL where it holds no port.
+    """
+    single, lists = [], []
+    for cell, dtype in _present(df, aliases):
+        if is_numeric(dtype):
+            number = number_sql(cell, dtype)
+            single.append(f"if({number} > 0, bigint({number}), NULL)")
+        else:
+            numbers = F.coalesce(number_list(F.expr(cell), dtype), F.array().cast("array<double>"))
+            lists.append(F.transform(F.filter(numbers, lambda port: port > 0), lambda port: port.cast("long")))
+    parts = ([F.expr(f"array({', '.join(single)})")] if single else []) + lists
+    if not parts:
         return None
-    joined = F.concat(*lists) if len(lists) > 1 else lists[0]
-    return F.transform(F.filter(joined, lambda port: port > 0), lambda port: port.cast("long"))
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
 def micros(value: Column, dtype: T.DataType) -> Column:

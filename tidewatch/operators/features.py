@@ -17,16 +17,17 @@ SUMS = ("bytes", "packets", "src_bytes", "dst_bytes", "src_packets", "dst_packet
 BLOCK = 63
 
 
-# (block, bit) of a port: its own, and the top bit of the block before when the port opens a block.
-PORT_MARKS = f"""inline(flatten(transform(ports, p -> if(p % {BLOCK} = 0 AND p > 0,
-  array(struct(p div {BLOCK} AS block, 0 AS bit), struct(p div {BLOCK} - 1 AS block, {BLOCK} AS bit)),
-  array(struct(p div {BLOCK} AS block, int(p % {BLOCK}) AS bit))))))"""
-
-
 def port_masks(events: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One BIGINT of port bits per group and block of 63 ports."""
-    return events.select(*by, F.expr(PORT_MARKS)).groupBy(*by, "block") \
-        .agg(F.expr("bit_or(shiftleft(1L, bit)) AS mask"))
+    """One BIGINT of port bits per group and block of 63 ports.
+
+    A port that opens a block also sets the top bit of the block before.
+    """
+    ports = events.select(*by, F.explode("ports").alias("_port")).where("_port IS NOT NULL")
+    marks = ports.select(*by, "_port", F.expr(
+        f"explode(if(_port % {BLOCK} = 0 AND _port > 0, array(0, 1), array(0))) AS _before"))
+    bits = marks.select(*by, F.expr(f"_port div {BLOCK} - _before AS block"),
+                        F.expr(f"if(_before = 1, {BLOCK}, int(_port % {BLOCK})) AS bit"))
+    return bits.groupBy(*by, "block").agg(F.expr("bit_or(shiftleft(1L, bit)) AS mask"))
 
 
 def mask_counts(masks: DataFrame, by: Sequence[str]) -> DataFrame:
