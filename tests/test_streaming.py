@@ -5,6 +5,7 @@ from tidewatch.operators.canonical import canonical_events
 from tidewatch.operators.windows import tumbling_features
 from tidewatch.sources.streams import stream_flows
 from tidewatch.streaming.regrid import stream_regrid
+from tidewatch.streaming.sample import stream_sample
 from tidewatch.streaming.windows import stream_sliding, stream_tumbling
 
 SCHEMA = "k string, ts double, bytes double, dst_port int"
@@ -42,10 +43,11 @@ def test_overlapping_stream_windows(spark, tmp_path):
 
 
 def test_late_events_are_dropped(spark, tmp_path):
-    late = [("a", 1.0, 1.0, 80)]
-    stream = stream_tumbling(feed(spark, tmp_path, ROWS, late, [("a", 500.0, 1.0, 80)]), 10, "0 seconds", ["k"])
+    # Spark judges lateness by the watermark known before the previous trigger, hence the event at 61.
+    late, on_time, last = [("a", 1.0, 1.0, 80)], [("a", 61.0, 1.0, 80)], [("a", 500.0, 1.0, 80)]
+    stream = stream_tumbling(feed(spark, tmp_path, ROWS, on_time, late, last), 10, "0 seconds", ["k"])
     got = drain(spark, stream, tmp_path, "late")
-    assert got.agg(F.sum("event_count")).first()[0] == 60
+    assert got.agg(F.sum("event_count")).first()[0] == 61
 
 
 @pytest.mark.parametrize("late", ["drop", "error"])
@@ -57,6 +59,16 @@ def test_moving_grid_keeps_its_state_between_triggers(spark, tmp_path, late):
     assert starts == [0, 5, 10, 10, 18]
 
 
+def test_samples_stay_bounded_over_triggers(spark, tmp_path):
+    rows = feed(spark, tmp_path, ROWS[:25], ROWS[25:], [("a", 200.0, 1.0, 80)])
+    got = drain(spark, stream_sample(rows, 20, 2, keys=["k"], keep=["bytes"]), tmp_path, "sample")
+    kept = {}
+    for r in got.collect():
+        kept.setdefault((r["series"], r["win_start_us"]), []).append(r["ts_us"] // 1_000_000)
+    assert {g: sorted(t) for g, t in kept.items() if "a" in g[0]} == \
+        {('{"k":"a"}', 0): [17, 19], ('{"k":"a"}', 20_000_000): [37, 38], ('{"k":"a"}', 40_000_000): [58, 59]}
+
+
 def test_stream_arguments(spark, tmp_path):
     with pytest.raises(ValueError):
         stream_flows(spark, str(tmp_path), SCHEMA, "xml")

@@ -137,13 +137,13 @@ def rowgroup_features(events: DataFrame, row: str, file: str | None = None, rows
     # One row per file: small enough to be ordered in one place.
     files = grouped.groupBy(file).agg(F.sum("event_count").alias("_rows"))
     before = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select(F.col(file).alias("_file"),
+    offsets = files.select(F.col(file).alias("_of_file"),
                            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    joined = grouped.join(offsets, F.col(file) == F.col("_file"))
+    joined = grouped.join(offsets, F.col(file) == F.col("_of_file"))
     return (
         joined.withColumns({"win_start": F.col("_before") + local,
                             "win_end": F.col("_before") + local + F.col("event_count")})
-        .drop("_file", "_before")
+        .drop("_of_file", "_before")
     )
 
 

@@ -33,7 +33,8 @@ def stream_tumbling(events: DataFrame, width: float, delay: str = "0 seconds", k
 
     `events` are canonical events of a streaming source. A stream has no first event to anchor
     at, so the grid starts at `anchor` microseconds. State per open window is one row of sums and
-    one BIGINT per 63 neighbouring ports; events later than `delay` are dropped.
+    one BIGINT per 63 neighbouring ports; events later than `delay` are dropped, judged by the
+    watermark the previous trigger started with.
     """
     return _features(events, width, width, delay, keys, anchor, options)
 
