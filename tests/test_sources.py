@@ -87,6 +87,7 @@ def test_prepare_by_time_and_by_rows(spark, tmp_path):
     csv.write_text("timestamp,bytes,packets,stage\n" + "".join(f"{5 * i},{i + 1},1,{int(i > 1)}\n" for i in range(4)))
     meta = prepare(spark, str(csv), str(tmp_path / "out"))
     assert meta["window_count"] == 4 and meta["label_semantics"] == "source_stage"
+    assert meta["windowing"]["timestamp_order_verified"] is False
     stored = read_features(spark, str(tmp_path / "out"))
     assert stored.count() == 4 and abs(stored.agg(F.avg("flow_bytes")).first()[0]) < 1e-12
     report = dataset_report(spark, str(tmp_path / "out")).first()
