@@ -10,13 +10,7 @@ MODULES = ("flagship", "q_sources", "q_windows", "q_series", "q_metrics", "q_mod
 def _entries() -> dict:
     found = {}
     for name in MODULES:
-        try:
-            module = importlib.import_module(f"checks.{name}")
-        except ModuleNotFoundError as error:
-            if error.name != f"checks.{name}":
-                raise
-            continue
-        found.update(module.ENTRIES)
+        found.update(importlib.import_module(f"checks.{name}").ENTRIES)
     return found
 
 

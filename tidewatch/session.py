@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +44,28 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, wherever they run; once per Spark application.
+
+    The zip is a file of the driver that Spark itself hands to every executor.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tidewatch_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():  # else the package came in a zip already
+        path = Path(tempfile.mkdtemp(prefix="tidewatch-zip-")) / f"{root.name}-package.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, source.relative_to(root.parent))
+        context.addPyFile(str(path))
+    context._tidewatch_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster; a local one only where none is set."""
     context = spark.sparkContext
