@@ -63,8 +63,8 @@ def routes(shingles: np.ndarray, num: int, den: int, bands: np.ndarray) -> np.nd
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """One bit per shingle in a power-of-two number of bits, three per shingle or more."""
-    bits = max(_MIN_BITS, 1 << int(3 * len(shingles) - 1).bit_length())
+    """One bit per shingle in a power-of-two number of bits, eight per shingle or more."""
+    bits = max(_MIN_BITS, 1 << int(8 * len(shingles) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(mix(shingles) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -87,17 +87,16 @@ def _document_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
 def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, numbers, keys, bits = [], [], [], []
+            sizes, numbers, keys = [], [], []
             for s in _document_sets(batch.column(1), n):
                 sizes.append(len(s))
                 numbers.append(class_number(s) if len(s) else None)
                 keys.append(routes(s, num, den, size_bands(num, den, 2 * len(s) + 2)).astype(np.int64) if len(s) else None)
-                bits.append(bitmap(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "set_no", "keys", "bits"])
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "set_no", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, set_no long, keys array<long>, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, set_no long, keys array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -106,9 +105,10 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             found = list(_document_sets(batch.column(1), n))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([class_number(s) if len(s) else None for s in found], pa.int64()),
-                 pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64()))], names=["set_no", "shingles"])
+                 pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64())),
+                 pa.array([bitmap(s) if len(s) else None for s in found], pa.binary())], names=["set_no", "shingles", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "set_no long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(work, "set_no long, shingles array<long>, bits binary")
 
 
 # --- walking two trees ------------------------------------------------------------------------
@@ -237,8 +237,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     placed = staged(placed)
     mixed = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("rows")).where("p < q")
     mixed = staged(mixed.select("key", F.ceil(F.col("rows") / float(BLOCK)).cast("long").alias("blocks")))
-    bits = keyed.select("set_no", "n_shingles", "bits").join(
-        placed.join(mixed, "key", "left_semi").select("set_no").distinct(), "set_no", "left_semi").dropDuplicates(["set_no"])
+    bits = sets.select("set_no", F.size("shingles").cast("long").alias("n_shingles"), "bits")
     members = placed.join(mixed, "key").join(bits, "set_no").select(
         "key", "blocks", F.pmod(F.xxhash64("set_no"), F.col("blocks")).alias("block"),
         F.struct("set_no", "component", "n_shingles", "bits").alias("m"))
