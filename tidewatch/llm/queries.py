@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import mixing, rules, tokens
+from tidewatch.llm import jaccard, mixing, rules, tokens, vectors
 from tidewatch.session import staged
 
 
@@ -13,6 +13,34 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf, "documents"), n=3, num=90, den=100)
+
+
+# Components in SQL: `linked` (a, b) both ways, `node` (id); the smallest id that links lead to.
+_REACH = """
+reach(id, top) AS (
+  SELECT id, id FROM node
+  UNION
+  SELECT l.b, r.top FROM reach r JOIN linked l ON l.a = r.id),
+component AS (SELECT id, min(top) AS component_id FROM reach GROUP BY id)"""
+
+OP1_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s FROM words),
+grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+size AS (SELECT doc_id, len(s) AS n FROM sets),
+pair AS (SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+linked AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+node AS (SELECT doc_id AS id FROM documents),{_REACH}
+SELECT doc_id, n AS n_shingles, component_id FROM size JOIN component ON id = doc_id"""
+
+
 def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     mixed = mixing.mix(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
@@ -29,8 +57,29 @@ def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf, "documents"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf, "embeddings"))
+
+
+OP10_SQL = f"""
+WITH RECURSIVE valid AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, c -> c <> 0)) > 0),
+pair AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM valid x JOIN valid y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
+linked AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+node AS (SELECT vec_id AS id FROM embeddings),{_REACH},
+links AS (SELECT a, count(*) AS n FROM linked GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN component ON id = vec_id LEFT JOIN links ON a = vec_id"""
+
+
 ENTRIES = {
+    "op1_ngram_jaccard": (op1_ngram_jaccard, OP1_SQL),
     "op3_mixing": (op3_mixing, None),
     "op5_quality_rules": (op5_quality_rules, None),
     "op7_token_counts": (op7_token_counts, None),
+    "op10_embedding_near_dedup": (op10_embedding_near_dedup, OP10_SQL),
 }
