@@ -64,8 +64,8 @@ def op10_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 OP10_SQL = f"""
 WITH RECURSIVE valid AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
-  WHERE label IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
-    AND len(list_filter(embedding, c -> c <> 0)) > 0),
+  WHERE label IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0
+    AND len([c FOR c IN embedding IF c <> 0]) > 0),
 pair AS (
   SELECT x.vec_id AS a, y.vec_id AS b FROM valid x JOIN valid y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.v) = len(y.v)
   WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
