@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import jaccard, mixing, rules, tokens, vectors
+from tidewatch.llm import jaccard, mixing, rules, tokens, urls, vectors, warc
 from tidewatch.session import staged
 
 
@@ -41,6 +41,19 @@ node AS (SELECT doc_id AS id FROM documents),{_REACH}
 SELECT doc_id, n AS n_shingles, component_id FROM size JOIN component ON id = doc_id"""
 
 
+def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archive_and_read(_table(spark, sf, "pages"))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+first AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS holder FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> holder THEN holder END AS refers_to
+FROM first"""
+
+
 def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     mixed = mixing.mix(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
@@ -53,6 +66,65 @@ def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.apply(statistics, rules.learn_from(statistics, labels))
 
 
+def _captures(pages: DataFrame) -> DataFrame:
+    """Pages with a day of 2024 on which they were fetched, by page_id."""
+    return pages.select("page_id", "url", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(page_id * 37 % 366 as int))").alias("fetched_at"))
+
+
+def _listed(pages: DataFrame) -> DataFrame:
+    """A dated list over the pages' own hosts, domains and first path segments, by the smallest page_id of each."""
+    parts = pages.select("page_id", urls.host(F.col("url")).alias("h"), F.split(urls.path(F.col("url")), "/").alias("p")).where("h IS NOT NULL")
+    domain = F.array_join(F.slice(F.split("h", r"\."), -2, 2), ".")
+    found = parts.select("page_id", F.explode(F.array(
+        F.struct(F.col("h").alias("pattern"), F.lit(0).alias("kind")),
+        F.struct(F.when(F.size(F.split("h", r"\.")) > 2, domain).alias("pattern"), F.lit(1).alias("kind")),
+        F.struct(F.when(F.size("p") > 1, F.concat("h", F.lit("/"), F.get("p", F.lit(1)))).alias("pattern"), F.lit(2).alias("kind")))).alias("e"))
+    least = found.where("e.pattern IS NOT NULL AND e.pattern NOT LIKE '%/'").groupBy("e.pattern", "e.kind").agg(F.min("page_id").alias("m"))
+    day = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(d as int))")
+    entries = least.select("pattern", F.explode(F.expr("""
+        filter(array(named_struct('d', m * 11 % 200, 'verdict', if((m + kind) % 3 = 0, 'allow', 'block'), 'used', (m + kind) % 4 <> 0),
+                     named_struct('d', m * 11 % 200 + 60, 'verdict', if(m % 2 = 0, cast(null as string), 'allow'), 'used', m % 3 = 0),
+                     named_struct('d', 300, 'verdict', 'block', 'used', m % 5 = 0)), e -> e.used)""")).alias("e"))
+    return entries.select("pattern", F.col("e.d").alias("d"), F.col("e.verdict").alias("verdict")).select("pattern", day.alias("listed_at"), "verdict")
+
+
+def op6_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _table(spark, sf, "pages").select("page_id", "url")
+    return urls.list_verdicts(_captures(pages), _listed(pages))
+
+
+OP6_SQL = r"""
+WITH c AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days(CAST(page_id * 37 % 366 AS INTEGER)) AS fetched_at,
+         nullif(regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\]*)', 1),
+                                                                   '^.*@', ''), ':[0-9]*$', '')), '\.+$', ''), '') AS host,
+         regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#\\]*([^?#]*)', 1) AS path
+  FROM pages),
+s AS (SELECT *, string_split(host, '.') AS l, [x FOR x IN string_split(path, '/') IF x <> ''] AS seg FROM c),
+found AS (
+  SELECT page_id, host AS pattern, 0 AS kind FROM s WHERE host IS NOT NULL
+  UNION ALL SELECT page_id, l[-2] || '.' || l[-1], 1 FROM s WHERE len(l) > 2
+  UNION ALL SELECT page_id, host || '/' || string_split(path, '/')[2], 2 FROM s WHERE string_split(path, '/')[2] <> ''),
+least_id AS (SELECT pattern, kind, min(page_id) AS m FROM found GROUP BY 1, 2),
+entry AS (
+  SELECT pattern, m * 11 % 200 AS d, CASE WHEN (m + kind) % 3 = 0 THEN 'allow' ELSE 'block' END AS verdict FROM least_id WHERE (m + kind) % 4 <> 0
+  UNION ALL SELECT pattern, m * 11 % 200 + 60, CASE WHEN m % 2 = 0 THEN NULL ELSE 'allow' END FROM least_id WHERE m % 3 = 0
+  UNION ALL SELECT pattern, 300, 'block' FROM least_id WHERE m % 5 = 0),
+daily AS (SELECT pattern, TIMESTAMP '2024-01-01' + to_days(CAST(d AS INTEGER)) AS since, max(verdict) AS verdict FROM entry GROUP BY 1, 2),
+held AS (SELECT *, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM daily),
+asked AS (
+  SELECT page_id, fetched_at, unnest(range(1, least(len(l), 8) + 1)) AS rank, array_to_string(l[len(l) - rank + 1:], '.') AS pattern FROM s WHERE host IS NOT NULL
+  UNION ALL
+  SELECT page_id, fetched_at, 100 + k, host || '/' || array_to_string(seg[:k], '/')
+  FROM (SELECT *, unnest(range(1, least(len(seg), 8) + 1)) AS k FROM s WHERE host IS NOT NULL)),
+ranked AS (
+  SELECT page_id, verdict, a.pattern, since, row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, verdict DESC) AS r
+  FROM asked a JOIN held h ON a.pattern = h.pattern AND since <= fetched_at AND (until IS NULL OR fetched_at < until)
+  WHERE verdict IS NOT NULL)
+SELECT c.page_id, url, host, fetched_at, coalesce(verdict, 'none') AS verdict, pattern, since
+FROM c LEFT JOIN ranked ON ranked.page_id = c.page_id AND r = 1"""
+
+
 def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf, "documents"))
 
@@ -78,8 +150,10 @@ FROM embeddings JOIN component ON id = vec_id LEFT JOIN links ON a = vec_id"""
 
 ENTRIES = {
     "op1_ngram_jaccard": (op1_ngram_jaccard, OP1_SQL),
+    "op2_warc": (op2_warc, OP2_SQL),
     "op3_mixing": (op3_mixing, None),
     "op5_quality_rules": (op5_quality_rules, None),
+    "op6_url_filters": (op6_url_filters, OP6_SQL),
     "op7_token_counts": (op7_token_counts, None),
     "op10_embedding_near_dedup": (op10_embedding_near_dedup, OP10_SQL),
 }
