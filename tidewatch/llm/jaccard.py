@@ -24,7 +24,7 @@ from tidewatch.session import staged
 BLOCK = 512  # documents of a block of one tree, about; larger trees are many blocks, compared pairwise
 TWIG = 16  # documents under a lowest inner node
 BROADCAST_IDS = 1_000_000  # so many ids (8 bytes each) are sent to all tasks at most
-_MIN_BITS = 128
+_MIN_BITS = 512
 
 
 # --- one document ---------------------------------------------------------------------------
@@ -196,8 +196,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of `docs` whose doc_id is in `ids`: a broadcast of up to BROADCAST_IDS numbers, else a shuffle."""
-    ids = staged(ids)
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    return docs.join(_small(staged(ids)), "doc_id", "left_semi")
+
+
+def _small(written: DataFrame) -> DataFrame:
+    """A written table of one or two numbers a row, to be broadcast if it has at most BROADCAST_IDS rows."""
+    return F.broadcast(written) if written.count() <= BROADCAST_IDS else written
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -221,11 +225,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     hung = keyed.select("set_no", F.explode("keys").alias("key"))
     shared = staged(hung.groupBy("key").agg(F.min("set_no").alias("leader"), F.max("set_no").alias("last"))
                     .where("leader < last").select("key", "leader"))
-    nodes = staged(hung.join(shared, "key").select("key", "set_no", "leader").distinct())
+    nodes = staged(hung.join(_small(shared), "key").select("key", "set_no", "leader").distinct())
     classes = keyed.groupBy("set_no").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
     needed = nodes.select("set_no").distinct().join(classes, "set_no").where(F.col("first_id").isNotNull())
     wanted = _with_ids(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), needed.select(F.col("first_id").alias("doc_id")))
-    sets = staged(_sets(wanted, n).where(F.col("set_no").isNotNull()).dropDuplicates(["set_no"]))
+    sets = staged(_sets(wanted, n).where(F.col("set_no").isNotNull()))
 
     often = nodes.where(F.col("set_no") != F.col("leader")).groupBy("set_no", "leader").count()
     tried = often.groupBy("set_no").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
@@ -235,7 +239,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     placed = nodes.select("key", "set_no").join(grouped.withColumnRenamed("node", "set_no"), "set_no", "left").select(
         "key", "set_no", F.coalesce("component", "set_no").alias("component"))
     placed = staged(placed)
-    mixed = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("rows")).where("p < q")
+    # Of nodes that hold the same classes one is enough; two sums of hashes tell.
+    held = [F.sum(F.xxhash64(F.lit(k), "set_no").cast("decimal(20,0)")).alias(f"h{k}") for k in (1, 2)]
+    mixed = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("rows"), *held).where("p < q")
+    mixed = mixed.groupBy("rows", "h1", "h2").agg(F.min("key").alias("key"))
     mixed = staged(mixed.select("key", F.ceil(F.col("rows") / float(BLOCK)).cast("long").alias("blocks")))
     bits = sets.select("set_no", F.size("shingles").cast("long").alias("n_shingles"), "bits")
     members = placed.join(mixed, "key").join(bits, "set_no").select(
