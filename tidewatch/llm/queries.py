@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import jaccard, mixing, rules, tokens, urls, vectors, warc
+from tidewatch.llm import jaccard, langid, mixing, quality, rules, tokens, urls, vectors, warc
 from tidewatch.session import staged
 
 
@@ -60,6 +60,13 @@ def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    held_out = langid.is_held_out(F.col("doc_id"))
+    model = langid.learn(docs.where(~held_out))
+    return langid.identify(docs, model, "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     statistics = staged(rules.text_statistics(_table(spark, sf, "documents")))
     labels = _table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
@@ -129,6 +136,12 @@ def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf, "documents"))
 
 
+def op8_quality_machine(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    machine = quality.learn(docs, _table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")))
+    return quality.scores(docs, machine, "doc_id").select("doc_id", langid.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf, "embeddings"))
 
@@ -152,8 +165,10 @@ ENTRIES = {
     "op1_ngram_jaccard": (op1_ngram_jaccard, OP1_SQL),
     "op2_warc": (op2_warc, OP2_SQL),
     "op3_mixing": (op3_mixing, None),
+    "op4_language_id": (op4_language_id, None),
     "op5_quality_rules": (op5_quality_rules, None),
     "op6_url_filters": (op6_url_filters, OP6_SQL),
     "op7_token_counts": (op7_token_counts, None),
+    "op8_quality_machine": (op8_quality_machine, None),
     "op10_embedding_near_dedup": (op10_embedding_near_dedup, OP10_SQL),
 }
