@@ -85,12 +85,35 @@ def staged(df: DataFrame) -> DataFrame:
     """Write `df` once as a table in the shared checkpoint folder and read it back from there.
 
     Used where several branches of a plan need the same reduced table: neither the branches nor a
-    lost executor then go back to the raw records, and each branch reads only its columns. The
-    table stays until the checkpoint folder is cleaned.
+    lost executor then go back to the raw records, and each branch reads only its columns. The shuffle
+    files of the write are let go when it ends. The table stays until `discard` gets it, or until the
+    checkpoint folder is cleaned.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `staged` wrote, once nothing will read them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 BROADCAST_ROWS = 200_000
