@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import staged
+from tidewatch.session import discard, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,7 +19,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = staged(_down(links.select("a", "b")))
     seen = None
     while True:
-        edges = staged(_small_star(_large_star(edges)))
+        former, edges = edges, staged(_small_star(_large_star(edges)))
+        discard(former)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break

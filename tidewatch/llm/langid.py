@@ -155,7 +155,7 @@ def word_scores(model: LanguageModel, hashes: np.ndarray, data: np.ndarray, star
     return out
 
 
-def identify(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, *keep: str, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """(keep..., lang_pred, score) per row of `docs`: the likeliest language of the whole text and its share.
 
     Known words count their log frequency by language; an unknown word counts the mean over its known n-grams of the
@@ -187,15 +187,14 @@ def identify(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
             scaled = np.exp(scaled - scaled.max(1, keepdims=True))
             best = scaled.argmax(1)
             share = np.where(lettered, 1.0 / scaled.sum(1), 0.0) if languages else np.zeros(batch.num_rows)
-            names = [languages[b] if ok and languages else UNDECIDED for b, ok in zip(best.tolist(), lettered.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(share)],
-                                             names=[*keep, "lang_pred", "score"])
+            told = [languages[b] if ok and languages else UNDECIDED for b, ok in zip(best.tolist(), lettered.tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(told, pa.string()), pa.array(share)], names=[*keep, *names])
 
-    return docs.select(*keep, "text").mapInArrow(work, f"{kinds}, lang_pred string, score double")
+    return docs.select(*keep, "text").mapInArrow(work, f"{kinds}, `{names[0]}` string, `{names[1]}` double")
 
 
 def with_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of `docs` whose language is told with a score of at least `least`, learned from their own `lang`."""
     model = learn(docs.where(~is_held_out(F.col("doc_id"))))
-    found = identify(docs, model, *[c for c in docs.columns if c != "text"], "text")
-    return found.where((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least)).select(*docs.columns)
+    found = identify(docs, model, *docs.columns, names=("_told_lang", "_told_score"))
+    return found.where((F.col("_told_lang") != UNDECIDED) & (F.col("_told_score") >= least)).select(*docs.columns)

@@ -20,6 +20,7 @@ class PieceTable:
     ids: tuple[int, ...]
     rank: dict[str, int]
     bytes: tuple[int, ...]  # id of each byte's piece
+    alone: tuple[int, ...]  # ASCII bytes that are in no piece but their own
 
 
 @lru_cache(2)
@@ -38,7 +39,9 @@ def piece_table(model: str) -> PieceTable:
     order = {s: k for k, s in enumerate(sorted({library.get_score(i) for i in kept}, reverse=True))}
     rank = {p: order[library.get_score(i)] for p, i in zip(pieces, kept)}
     as_bytes = {library.id_to_piece(i): i for i in every if library.is_byte(i)}
-    return PieceTable(tuple(pieces), tuple(kept), rank, tuple(as_bytes[f"<0x{b:02X}>"] for b in range(256)))
+    joined = set("".join(p for p in pieces if len(p) > 1)) | {" "}
+    alone = tuple(b for b in range(128) if chr(b) not in joined)
+    return PieceTable(tuple(pieces), tuple(kept), rank, tuple(as_bytes[f"<0x{b:02X}>"] for b in range(256)), alone)
 
 
 def bundled_model() -> str:
@@ -52,12 +55,12 @@ _SPACE = 0x20
 _MARK_BYTES = MARK.encode()
 
 
-def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pre_tokens(data: np.ndarray, offsets: np.ndarray, alone=()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end) in `data` of the parts of texts that no piece crosses.
 
     The library puts a space before a text that isn't empty and takes spaces for marks. As marks occur
     in pieces at their beginning only, a part is a run of marks and the other characters up to the
-    next mark. `data` must hold texts with that space put before and marks in texts turned to spaces
+    next mark; bytes `alone` (see PieceTable) are parts of their own. `data` must hold texts with that space put before and marks in texts turned to spaces
     (see `spaced`).
     """
     if not len(data):
@@ -66,6 +69,12 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     space = data == _SPACE
     begins = space & np.append(True, ~space[:-1])
     begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    if len(alone):
+        lone = np.zeros(256, bool)
+        lone[list(alone)] = True
+        single = lone[data]
+        begins |= single
+        begins[1:] |= single[:-1]
     starts = np.flatnonzero(begins)
     ends = np.append(starts[1:], len(data))
     return np.searchsorted(offsets, starts, "right") - 1, starts, ends

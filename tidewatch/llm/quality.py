@@ -140,7 +140,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
     return fit(documents, statistics, table["label"].to_numpy().astype(float))
 
 
-def scores(docs: DataFrame, machine: FactorisationMachine, *keep: str) -> DataFrame:
+def scores(docs: DataFrame, machine: FactorisationMachine, *keep: str, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """(keep..., score, predicted) per row of `docs` (text, n_chars): the chance of label 1, and 1 from 0.7 on.
 
     Null and empty texts are scored by their statistics, all zero. Rows are kept as they are, repeated and with null ids; only the
@@ -157,13 +157,13 @@ def scores(docs: DataFrame, machine: FactorisationMachine, *keep: str) -> DataFr
                 inputs = _joined((rows, buckets), _scaled(statistics, machine.mean, machine.scale))
                 out[row:end] = _sigmoid(machine.raw(*inputs, end - row))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out), pa.array((out >= ACCEPTED).astype(np.int32))],
-                                             names=[*keep, "score", "predicted"])
+                                             names=[*keep, *names])
 
     inputs = docs.select(*keep, F.col("text").alias("_text"), F.col("n_chars").cast("double").alias("_chars"))
-    return inputs.mapInArrow(work, f"{kinds}, score double, predicted int")
+    return inputs.mapInArrow(work, f"{kinds}, `{names[0]}` double, `{names[1]}` int")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the machine, learned from `labels` (doc_id, label), predicts to be good."""
-    found = scores(docs, learn(docs, labels), *docs.columns)
-    return found.where(F.col("predicted") == 1).select(*docs.columns)
+    found = scores(docs, learn(docs, labels), *docs.columns, names=("_told_score", "_told_good"))
+    return found.where(F.col("_told_good") == 1).select(*docs.columns)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import jaccard, langid, mixing, quality, rules, tokens, urls, vectors, warc
+import corpus_pipeline
+from tidewatch.llm import jaccard, langid, lattice, mixing, quality, rules, tokens, urls, vectors, warc
 from tidewatch.session import staged
 
 
@@ -142,6 +143,10 @@ def op8_quality_machine(spark: SparkSession, sf: str) -> DataFrame:
     return quality.scores(docs, machine, "doc_id").select("doc_id", langid.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op9_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return lattice.round_trip(_table(spark, sf, "documents"))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf, "embeddings"))
 
@@ -162,6 +167,7 @@ FROM embeddings JOIN component ON id = vec_id LEFT JOIN links ON a = vec_id"""
 
 
 ENTRIES = {
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op1_ngram_jaccard": (op1_ngram_jaccard, OP1_SQL),
     "op2_warc": (op2_warc, OP2_SQL),
     "op3_mixing": (op3_mixing, None),
@@ -170,5 +176,6 @@ ENTRIES = {
     "op6_url_filters": (op6_url_filters, OP6_SQL),
     "op7_token_counts": (op7_token_counts, None),
     "op8_quality_machine": (op8_quality_machine, None),
+    "op9_sentencepiece": (op9_sentencepiece, None),
     "op10_embedding_near_dedup": (op10_embedding_near_dedup, OP10_SQL),
 }

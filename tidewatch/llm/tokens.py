@@ -183,13 +183,13 @@ def token_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     kind = schema[0].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _Memory(path)
+        memory, alone = _Memory(path), piece_table(path).alone
         for batch in batches:
             sizes, tokens = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for row, end, data, offsets in utf8_slices(batch.column(1)):
                 sizes[row:end] = np.diff(offsets)
                 data, offsets = spaced(data, offsets)
-                rows, starts, ends = pre_tokens(data, offsets)
+                rows, starts, ends = pre_tokens(data, offsets, alone)
                 if len(rows):
                     tokens[row:end] = np.bincount(rows, memory.counts_of(data, starts, ends), end - row).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(tokens), pa.array(tokens > limit)],
