@@ -23,7 +23,7 @@ from tidewatch.session import staged
 
 BLOCK = 512  # documents of a block of one tree, about; larger trees are many blocks, compared pairwise
 TWIG = 16  # documents under a lowest inner node
-BROADCAST_IDS = 1_000_000  # so many ids (8 bytes each) are sent to all tasks at most
+BROADCAST_IDS = 500_000  # so many ids (8 bytes each) are sent to all tasks at most
 _MIN_BITS = 512
 
 
@@ -140,12 +140,15 @@ def fold(bits: bytes, wanted: int) -> np.ndarray:
     return words
 
 
-def walk(left: list[dict], right: list[dict] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of set numbers of different components that may overlap enough, from two trees (or one with itself)."""
+def walk(left: list[dict], right: list[dict] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of set numbers of different components that may overlap enough, and by how much more than needed.
+
+    From two trees, or one with itself.
+    """
     bits = min(len(m["bits"]) for m in (*left, *(right or ()))) * 8
     a = _Tree(left, bits)
     b = _Tree(right, bits) if right is not None else a
-    out_a, out_b = [], []
+    out_a, out_b, out_spare = [], [], []
     for i in range(len(a.twig_map)):
         js = np.arange(i if right is None else 0, len(b.twig_map))
         # Largest possible overlap of anything under the two nodes, against the least that is needed.
@@ -156,31 +159,42 @@ def walk(left: list[dict], right: list[dict] | None, num: int, den: int) -> tupl
             x, y = slice(a.first[i], a.first[i + 1]), slice(b.first[j], b.first[j + 1])
             shared = np.bitwise_count(a.map[x][:, None, :] & b.map[y][None, :, :]).sum(2).astype(np.int64)
             bound = shared + np.minimum(a.hidden[x][:, None], b.hidden[y][None, :])
-            good = (den + num) * bound >= num * (a.size[x][:, None] + b.size[y][None, :])
+            spare = (den + num) * bound - num * (a.size[x][:, None] + b.size[y][None, :])
+            good = spare >= 0
             good &= a.group[x][:, None] != b.group[y][None, :]
             p, q = np.nonzero(good)
             if right is None and j == i:
                 p, q = p[p < q], q[p < q]
             out_a.append(a.ids[x][p])
             out_b.append(b.ids[y][q])
+            out_spare.append(spare[p, q])
     if not out_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_a), np.concatenate(out_b)
+        return (np.zeros(0, np.int64),) * 3
+    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_spare)
+
 
+def _best(a: np.ndarray, b: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each set's pair with most to spare, as (set, other, spare)."""
+    a, b, spare = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([spare, spare])
+    order = np.lexsort((b, -spare, a))
+    first = order[np.append(True, a[order][1:] != a[order][:-1])] if len(order) else order
+    return a[first], b[first], spare[first]
 
-def _walked(blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of all (left, right) blocks."""
+
+def _walked(blocks: DataFrame, num: int, den: int, best: bool) -> DataFrame:
+    """Candidate pairs of all (left, right) blocks: each class's most promising one, or all."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for k in range(batch.num_rows):
-                p, q = walk(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), num, den)
-                a.append(p)
-                b.append(q)
-            a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            found = [walk(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), num, den) for k in range(batch.num_rows)]
+            a, b, spare = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            a, b, spare = _best(a, b, spare) if best else (np.minimum(a, b), np.maximum(a, b), spare)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(spare)], names=["a", "b", "spare"])
 
-    return blocks.select("left", "right").mapInArrow(work, "a long, b long").distinct()
+    pairs = blocks.select("left", "right").mapInArrow(work, "a long, b long, spare long")
+    if not best:
+        return pairs.select("a", "b").distinct()
+    pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("spare", "b")).alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 # --- the join -----------------------------------------------------------------------------------
@@ -204,6 +218,28 @@ def _small(written: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.count() <= BROADCAST_IDS else written
 
 
+def _blocks(nodes: DataFrame, grouped: DataFrame, sets: DataFrame) -> DataFrame:
+    """(left, right): the trees of all upper nodes that hold several components, as blocks to be walked together."""
+    placed = staged(nodes.select("key", "set_no").join(grouped.withColumnRenamed("node", "set_no"), "set_no", "left").select(
+        "key", "set_no", F.coalesce("component", "set_no").alias("component")))
+    # Of nodes that hold the same classes one is enough; two sums of hashes tell.
+    held = [F.sum(F.xxhash64(F.lit(k), "set_no").cast("decimal(20,0)")).alias(f"h{k}") for k in (1, 2)]
+    mixed = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("rows"), *held).where("p < q")
+    mixed = mixed.groupBy("rows", "h1", "h2").agg(F.min("key").alias("key"))
+    mixed = staged(mixed.select("key", F.ceil(F.col("rows") / float(BLOCK)).cast("long").alias("blocks")))
+    bits = sets.select("set_no", F.size("shingles").cast("long").alias("n_shingles"), "bits")
+    members = placed.join(mixed, "key").join(bits, "set_no").select(
+        "key", "blocks", F.pmod(F.xxhash64("set_no"), F.col("blocks")).alias("block"),
+        F.struct("set_no", "component", "n_shingles", "bits").alias("m"))
+    trees = staged(members.groupBy("key", "blocks", "block").agg(
+        F.collect_list("m").alias("left"), F.min("m.component").alias("p"), F.max("m.component").alias("q")))
+    alone = trees.where("p < q").select("left", F.lit(None).cast(trees.schema["left"].dataType).alias("right"))
+    many = trees.where("blocks > 1")
+    other = many.select("key", F.col("block").alias("o"), F.col("left").alias("right"), F.col("p").alias("op"), F.col("q").alias("oq"))
+    across = many.join(other, "key").where("block < o AND NOT (p = q AND op = oq AND p = op)").select("left", "right")
+    return alone.unionByName(across)
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of `docs` (doc_id, text): components of the n-gram Jaccard join.
 
@@ -216,8 +252,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     Equal sets are one class from the start. Sums over keys of upper nodes (least and largest class) have
     map-side partials and drop the nodes that hold one class only, which are nearly all. Each remaining class is
     tried against the class that leads most of its nodes; from then on only nodes that still hold several
-    components matter, so large groups of near copies don't meet pairwise. Those nodes' trees are walked and
-    every pair found in them is checked on its whole sets. Trees over BLOCK documents are blocks, paired one by
+    components matter, so large groups of near copies don't meet pairwise. Those nodes' trees are walked twice: first
+    each class's most promising pair is checked on its whole sets, then, in nodes that still hold several
+    components, every pair of different ones. Trees over BLOCK documents are blocks, paired one by
     one. No link between different components is lost; links within a component aren't all tried.
     """
     signatures = staged(_signatures(docs, n, num, den))
@@ -233,30 +270,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
 
     often = nodes.where(F.col("set_no") != F.col("leader")).groupBy("set_no", "leader").count()
     tried = often.groupBy("set_no").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
-    first = staged(_linked(tried.select(F.col("set_no").alias("a"), F.col("leader").alias("b")), sets, num, den))
-    grouped = staged(components(first))
-
-    placed = nodes.select("key", "set_no").join(grouped.withColumnRenamed("node", "set_no"), "set_no", "left").select(
-        "key", "set_no", F.coalesce("component", "set_no").alias("component"))
-    placed = staged(placed)
-    # Of nodes that hold the same classes one is enough; two sums of hashes tell.
-    held = [F.sum(F.xxhash64(F.lit(k), "set_no").cast("decimal(20,0)")).alias(f"h{k}") for k in (1, 2)]
-    mixed = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("rows"), *held).where("p < q")
-    mixed = mixed.groupBy("rows", "h1", "h2").agg(F.min("key").alias("key"))
-    mixed = staged(mixed.select("key", F.ceil(F.col("rows") / float(BLOCK)).cast("long").alias("blocks")))
-    bits = sets.select("set_no", F.size("shingles").cast("long").alias("n_shingles"), "bits")
-    members = placed.join(mixed, "key").join(bits, "set_no").select(
-        "key", "blocks", F.pmod(F.xxhash64("set_no"), F.col("blocks")).alias("block"),
-        F.struct("set_no", "component", "n_shingles", "bits").alias("m"))
-    trees = staged(members.groupBy("key", "blocks", "block").agg(
-        F.collect_list("m").alias("left"), F.min("m.component").alias("p"), F.max("m.component").alias("q")))
-    alone = trees.where("p < q").select("left", F.lit(None).cast(trees.schema["left"].dataType).alias("right"))
-    many = trees.where("blocks > 1")
-    other = many.select("key", F.col("block").alias("o"), F.col("left").alias("right"), F.col("p").alias("op"), F.col("q").alias("oq"))
-    across = many.join(other, "key").where("block < o AND NOT (p = q AND op = oq AND p = op)").select("left", "right")
-    second = staged(_linked(_walked(alone.unionByName(across), num, den), sets, num, den))
+    links = staged(_linked(tried.select(F.col("set_no").alias("a"), F.col("leader").alias("b")), sets, num, den))
+    for best in (True, False):
+        blocks = _blocks(nodes, staged(components(links)), sets)
+        links = links.unionByName(staged(_linked(_walked(blocks, num, den, best), sets, num, den)))
 
-    linked = components(first.unionByName(second)).select(F.col("node").alias("set_no"), "component")
+    linked = components(links).select(F.col("node").alias("set_no"), "component")
     merged = staged(classes.join(linked, "set_no", "left").select("set_no", "first_id", "rows", "component"))
     smallest = merged.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first_id").alias("component_id"))
     in_group = merged.join(smallest, "component").select("set_no", "component_id").unionByName(
