@@ -74,9 +74,12 @@ def _scaled(statistics: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.n
     return np.clip((statistics - mean) / scale, -4.0, 4.0)
 
 
-def fit(documents: list[np.ndarray], statistics: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.08,
-        penalty: float = 1e-5, seed: int = 17) -> FactorisationMachine:
-    """Logistic loss, adaptive steps over shuffled batches. Fewer than two labels give a constant score."""
+def fit(documents: list[np.ndarray], statistics: np.ndarray, y: np.ndarray, epochs: int = 12, steps: int = 800, batch: int = 64,
+        rate: float = 0.08, penalty: float = 1e-4, seed: int = 17) -> FactorisationMachine:
+    """Logistic loss, adaptive steps over shuffled batches: `epochs` rounds and `steps` batches at least.
+
+    Fewer than two labels give a constant score.
+    """
     share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
     mean = statistics.mean(0) if len(y) else np.zeros(len(STATISTICS))
     scale = np.maximum(statistics.std(0), 1e-6) if len(y) else np.ones(len(STATISTICS))
@@ -86,7 +89,7 @@ def fit(documents: list[np.ndarray], statistics: np.ndarray, y: np.ndarray, epoc
         return FactorisationMachine(bias, w, v * 0, mean, scale)
     x = _scaled(statistics, mean, scale)
     gb, gw, gv = 1.0, np.full(_SIZE, 1e-2), np.full((_SIZE, FACTORS), 1e-2)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * batch // len(y)))):
         order = rng.permutation(len(y))
         for k in range(0, len(order), batch):
             some = order[k:k + batch]
