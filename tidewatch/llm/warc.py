@@ -70,8 +70,9 @@ def safe_pieces(data: bytes) -> list[bytes]:
     while True:
         at = data.find(border)
         cut = at + len(_END) + 1 if at >= 0 else 0
-        if data.startswith(begin):  # each piece follows a header's empty line
-            cut = 1
+        for lead in (b"", b"\r\n"):  # each piece follows a header's empty line
+            if data.startswith(lead + begin):
+                cut = len(lead) + 1
         if not cut:
             return [*out, data]
         out.append(data[:cut])
