@@ -207,7 +207,7 @@ def test_name_collisions_are_an_error(spark):
 def test_one_busy_series_beyond_the_broadcast_limit(spark, monkeypatch):
     import tidewatch.session as session
 
-    monkeypatch.setattr(session.join_small, "__defaults__", ("inner", 1, 4))
+    monkeypatch.setattr(session.join_small, "__defaults__", ("inner", 1))
     e = events(spark, [("hot", float(i)) for i in range(300)] + [(None, 7.0), ("cold", 1.0)], "k string, ts double", keys=["k"])
     got = {r["k"]: r["n"] for r in tumbling_features(e, 1000, ["k"]).groupBy("k").agg(F.sum("event_count").alias("n")).collect()}
     assert got == {"hot": 300, None: 1, "cold": 1}

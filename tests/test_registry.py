@@ -22,4 +22,5 @@ def test_every_sql_belongs_to_a_query():
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() >= 0
+    found = __spark_entry__.entry(spark)
+    assert found.count() > 0 and len(set(found.columns)) == len(found.columns)

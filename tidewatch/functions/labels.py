@@ -41,12 +41,6 @@ def stage_name(stage: Column, fallback: str = UNKNOWN_STAGE) -> Column:
     return F.coalesce(F.try_element_at(_lookup(STAGES), stage.cast("int")), F.lit(fallback))
 
 
-def unknown_stage_name(stage: Column) -> Column:
-    """Stage name with the id spelled out when it is not a known stage."""
-    return F.coalesce(F.try_element_at(_lookup(STAGES), stage.cast("int")),
-                      F.format_string("Unknown (%d)", stage.cast("int")))
-
-
 def parse_stage(value: Column, dtype: T.DataType) -> Column:
     """Stage number cut to an integer; NULL when the cell holds no number."""
     return to_number(value, dtype).try_cast("int")
@@ -65,6 +59,11 @@ def clean_stage(value: Column, dtype: T.DataType | None = None) -> Column:
         .otherwise(bad.cast("int"))
 
 
+def with_clean_stage(df: DataFrame, stage: str = "stage") -> DataFrame:
+    """The table with its stage column cleaned."""
+    return df.withColumn(stage, clean_stage(F.col(stage), df.schema[stage].dataType))
+
+
 def risk_target(stage: Column, semantics: str) -> Column:
     """1 when the stage is an attack stage; NULL when the labels' meaning is unknown."""
     _check(semantics)

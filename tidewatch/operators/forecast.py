@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tidewatch.functions.labels import risk_target, stage_name, stage_target
 from tidewatch.operators.heads import (
     ForecastModel, LinearScore, StageScore, Transition, fit_logistic, fit_stages, list_values,
+    no_stages,
 )
 from tidewatch.operators.scan import drop_halo, with_halo
 from tidewatch.operators.series import latest_context, sequences
@@ -107,15 +108,18 @@ def fit_risk(inputs: DataFrame, horizon: int, max_iter: int = 100) -> tuple[Line
 
 def fit_stage(inputs: DataFrame, horizon: int, max_iter: int = 100) -> tuple[StageScore, ...]:
     """One stage score per step, each trained with the labels of its own step."""
-    return tuple(fit_stages(inputs.where(F.col("step") == k), "x", "label", max_iter=max_iter)
+    return tuple(fit_stages(inputs.where(F.col("step") == k), "x", "y_stage", max_iter=max_iter)
                  for k in range(1, horizon + 1))
 
 
 def fit_heads(windows: DataFrame, transition: Transition, length: int, horizon: int, keys: Sequence[str] = (),
               semantics: str = "stage_id", max_iter: int = 100) -> tuple[tuple[LinearScore, ...], tuple[StageScore, ...]]:
     pairs = supervised(windows, length, horizon, keys)
-    inputs = staged(head_inputs(pairs, transition, horizon, keys, semantics))
-    return fit_risk(inputs, horizon, max_iter), fit_stage(inputs, horizon, max_iter)
+    # Labels of unknown meaning still tell attack from benign; only known stage ids train stages.
+    known = "binary_attack" if semantics == "unknown" else semantics
+    inputs = staged(head_inputs(pairs, transition, horizon, keys, known))
+    stages = fit_stage(inputs, horizon, max_iter) if known == "stage_id" else (no_stages(transition.size),) * horizon
+    return fit_risk(inputs, horizon, max_iter), stages
 
 
 def _sigmoid(margin: np.ndarray) -> np.ndarray:
@@ -192,13 +196,16 @@ def forecast(histories: DataFrame, model: ForecastModel, horizon: int | None = N
     def name(stage: Column) -> Column:
         return stage_name(stage) if supported else F.lit(NO_STAGE)
 
+    def known(value: Column) -> Column:
+        return F.when(F.lit(supported), value)
+
     s = F.col("scored")
     step_rows = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda k: F.struct(
-        k.alias("step"), s["risk"][k - 1].alias("risk"), s["stage"][k - 1].alias("stage"),
-        name(s["stage"][k - 1]).alias("stage_name"), s["probabilities"][k - 1].alias("probabilities"),
+        k.alias("step"), s["risk"][k - 1].alias("risk"), known(s["stage"][k - 1]).alias("stage"),
+        name(s["stage"][k - 1]).alias("stage_name"), known(s["probabilities"][k - 1]).alias("probabilities"),
         s["states"][k - 1].alias("state")))
     return score(histories, model, steps, history).select(
-        *keys, "origin_idx", s["current_risk"].alias("current_risk"), s["current_stage"].alias("current_stage"),
+        *keys, "origin_idx", s["current_risk"].alias("current_risk"), known(s["current_stage"]).alias("current_stage"),
         name(s["current_stage"]).alias("current_stage_name"), F.lit(steps).alias("horizon"),
         slope(s["risk"], steps).alias("slope"), trend_name(slope(s["risk"], steps), tolerance).alias("trend"),
         (s["risk"][steps - 1] - s["current_risk"]).alias("change"), step_rows.alias("trajectory"))
@@ -211,8 +218,9 @@ def forecast_steps(forecasts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def forecast_all(windows: DataFrame, model: ForecastModel, horizon: int | None = None,
                  keys: Sequence[str] = ()) -> DataFrame:
-    """Forecast from every window that ends a full history."""
-    return forecast(sequences(windows, model.sequence_length, keys), model, horizon, keys)
+    """Forecast from every window that ends a full history, of which the model's lags are gathered."""
+    recent = sequences(windows, model.transition.lags, keys).where(F.col("origin_idx") >= model.sequence_length - 1)
+    return forecast(recent, model, horizon, keys)
 
 
 def forecast_latest(windows: DataFrame, model: ForecastModel, horizon: int | None = None,

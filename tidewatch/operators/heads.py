@@ -202,6 +202,11 @@ def fit_stages(df: DataFrame, features: str, label: str, max_iter: int = 100) ->
     return StageScore(tuple(map(tuple, coef.tolist())), tuple(intercept.tolist()))
 
 
+def no_stages(size: int) -> StageScore:
+    """Scores without meaning, for models whose labels are no stage ids."""
+    return StageScore(((0.0,) * size,) * len(STAGES), (0.0,) * len(STAGES))
+
+
 def fit_baseline(df: DataFrame, features: str = "features", label: str = "y") -> LinearScore:
     """Class-balanced logistic regression from the current window to attack or not."""
     return fit_logistic(df, features, label, balanced=True, need_both=True)

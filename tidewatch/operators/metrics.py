@@ -37,6 +37,16 @@ def validate_scores(df: DataFrame, label: str = "y", score: str = "score") -> No
         raise ValueError(f"{row['bad_scores']} scores are not finite values in [0, 1]")
 
 
+def checked_score(label: Column, score: Column, unit: bool = True) -> Column:
+    """The score; an error where a labelled row's label isn't 0 or 1 or its score no finite number (in [0, 1])."""
+    s = score.cast("double")
+    bad = s.isNull() | F.isnan(s) | (F.abs(s) == float("inf"))
+    if unit:
+        bad = bad | (s < 0) | (s > 1)
+    said = "labels must be 0, 1 or missing, scores finite" + (" values in [0, 1]" if unit else "")
+    return F.when(label.isNotNull() & (~label.isin(0, 1) | bad), F.raise_error(F.lit(said)).cast("double")).otherwise(s)
+
+
 def _share(part: Column, whole: Column, undefined: float | None) -> Column:
     value = F.try_divide(part.cast("double"), whole)
     return value if undefined is None else F.coalesce(value, F.lit(undefined))
@@ -67,7 +77,7 @@ def binary_metrics(df: DataFrame, by: Sequence[str] = (), label: str = "y", pred
 def score_table(df: DataFrame, by: Sequence[str], label: str, score: str, extra: Sequence[Column] = ()) -> DataFrame:
     """Positives and negatives per different score, with both counts over all scores at least as high."""
     y = F.col(label)
-    counts = df.groupBy(*by, F.col(score).alias("score")).agg(
+    counts = df.groupBy(*by, checked_score(y, F.col(score)).alias("score")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"), *extra)
     falling = -F.col("score")
     return running(counts, by, falling, double_path(falling),
@@ -161,7 +171,7 @@ def replay_metrics(df: DataFrame, threshold: float = 0.5, by: Sequence[str] = ("
 
 def threshold_table(df: DataFrame, by: Sequence[str] = (), label: str = "y", score: str = "score") -> DataFrame:
     """Precision, recall, F1 at every candidate threshold (clipped scores and the fixed ones)."""
-    s = F.col(score)
+    s = checked_score(F.col(label), F.col(score), unit=False)
     # Scores below 0 reach no threshold; -1 keeps them apart from real candidates.
     clipped = F.when(s < 0, F.lit(-1.0)).otherwise(F.least(s, F.lit(1.0)))
     rows = df.select(*by, clipped.alias("_s"), F.col(label).alias("_y"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.metrics import checked_score
 from tidewatch.operators.scan import drop_halo, running_by_index, with_halo
 
 
@@ -31,7 +32,7 @@ def label_runs(df: DataFrame, keys: Sequence[str] = (), idx: str = "idx", label:
 def last_alert(df: DataFrame, threshold: float = 0.5, keys: Sequence[str] = (), idx: str = "idx", label: str = "y",
                score: str = "score") -> DataFrame:
     """For every onset the latest alert before it that follows the previous run; NULL when there is none."""
-    rows = df.select(*keys, idx, label, score)
+    rows = df.select(*keys, idx, label, checked_score(F.col(label), F.col(score)).alias(score))
     alert = F.when(F.col(score) >= F.lit(threshold), F.col(idx))
     positive = F.when(F.col(label) == 1, F.col(idx))
     seen = running_by_index(rows, keys, idx, {"_alert": ("max", alert), "_positive": ("max", positive)},

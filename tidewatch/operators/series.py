@@ -97,10 +97,6 @@ def attach_labels(forecasts: DataFrame, windows: DataFrame, keys: Sequence[str]
     return with_targets(joined, semantics)
 
 
-def series_length(windows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return windows.groupBy(*keys).agg(F.count("*").alias("windows"))
-
-
 def require_history(windows: DataFrame, length: int, horizon: int = 0, keys: Sequence[str] = (),
                     idx: str = "idx") -> DataFrame:
     """Keep series with at least length + horizon windows; a single short series is an error."""
@@ -117,9 +113,11 @@ def require_history(windows: DataFrame, length: int, horizon: int = 0, keys: Seq
 
 
 def latest_context(windows: DataFrame, count: int, keys: Sequence[str] = (), idx: str = "idx") -> DataFrame:
-    """The last `count` windows of every series; tasks cut their share before the shuffle."""
-    recent = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.col(idx).desc())
-    return windows.withColumn("_r", F.row_number().over(recent)).where(F.col("_r") <= count).drop("_r")
+    """The last `count` windows of every series, whose positions run from 0 without gaps; nothing is sorted."""
+    last = windows.groupBy(*keys).agg(F.max(idx).alias("_last"))
+    if not keys:
+        return windows.where(F.col(idx) > last.scalar() - count)
+    return join_small(windows, last, list(keys)).where(F.col(idx) > F.col("_last") - count).drop("_last")
 
 
 def sample_origins(windows: DataFrame, most: int | None, length: int, horizon: int, keys: Sequence[str] = (),
@@ -144,6 +142,19 @@ def sample_origins(windows: DataFrame, most: int | None, length: int, horizon: i
     return picked.select(*keys, (place + first).alias("origin_idx"))
 
 
+def histories_at(windows: DataFrame, origins: DataFrame, length: int, keys: Sequence[str] = (),
+                 idx: str = "idx") -> DataFrame:
+    """(keys, origin_idx, history) of the picked origins alone: only the windows they look back on are gathered."""
+    back = origins.select(*[F.col(k).alias(f"_o_{k}") for k in keys], "origin_idx", F.explode(F.sequence(
+        F.col("origin_idx") - (length - 1), F.col("origin_idx"))).alias("_o_idx"))
+    on: Column = F.col(idx) == F.col("_o_idx")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    rows = windows.select(*keys, idx, "features").join(back, on)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), "features"))), lambda w: w["features"])
+    return rows.groupBy(*keys, "origin_idx").agg(ordered.alias("history")).where(F.size("history") == length)
+
+
 def at_origins(rows: DataFrame, origins: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Keep rows whose (series, origin_idx) was picked."""
     right = origins.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("origin_idx").alias("_o_idx"))

@@ -8,14 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.labels import with_clean_stage
 from tidewatch.operators.forecast import score, supervised
 from tidewatch.operators.heads import ForecastModel, fit_baseline, predict
 from tidewatch.operators.metrics import binary_metrics, calibrate, compare, probability_metrics, stage_accuracy
 from tidewatch.operators.series import at_origins, require_history, sample_origins
 from tidewatch.session import staged
 
-CALIBRATION_ORIGINS = 2_000
-
 
 @dataclass(frozen=True)
 class Evaluation:
@@ -41,14 +40,17 @@ def next_window_scores(windows: DataFrame, model: ForecastModel, keys: Sequence[
 
 def evaluate(train: DataFrame, test: DataFrame, model: ForecastModel, threshold: float = 0.5,
              keys: Sequence[str] = (), semantics: str = "stage_id",
-             calibration_origins: int = CALIBRATION_ORIGINS) -> Evaluation:
+             calibration_origins: int | None = None) -> Evaluation:
     """Baseline and threshold come from `train`, all metrics from `test`.
 
-    Both are (keys, idx, features, stage) in the model's units.
+    Both are (keys, idx, features, stage) in the model's units. The threshold is calibrated on all origins of
+    `train`, or on `calibration_origins` evenly spaced ones per series. Windows with a missing label (NULL, NaN,
+    -1) train nothing and count nowhere.
     """
+    train, test = with_clean_stage(train), with_clean_stage(test)
     test = require_history(test, model.sequence_length, 1, keys)
     scored = staged(next_window_scores(test, model, keys))
-    labelled = train.withColumn("y", (F.col("stage") > 0).cast("int"))
+    labelled = train.where(F.col("stage").isNotNull()).withColumn("y", (F.col("stage") > 0).cast("int"))
     baseline = fit_baseline(labelled)
     base = binary_metrics(predict(scored.drop("score"), baseline))
     origins = sample_origins(train, calibration_origins, model.sequence_length, 1, keys)

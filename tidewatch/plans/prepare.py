@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions.labels import with_clean_stage
 from tidewatch.operators.canonical import canonical_events
 from tidewatch.operators.features import features_array
 from tidewatch.operators.profile import profile
@@ -20,12 +21,17 @@ from tidewatch.sources.store import read_features, write_features
 
 
 def model_input(windows: DataFrame, keys: Sequence[str] = (), scaler: Scaler | DataFrame | None = None,
-                order: str = "win_idx") -> DataFrame:
-    """Window table -> (keys, idx, features, stage): positions and packed, standardised features."""
+                order: str | None = None) -> DataFrame:
+    """Window table -> (keys, idx, features, stage): positions and packed, standardised features.
+
+    Positions follow `order`, by default the windows' starts, which also hold across files; numbers of windows
+    begin anew in every file. Missing labels (NULL, NaN, -1) become NULL.
+    """
+    order = order or ("win_start" if "win_start" in windows.columns else "win_idx")
     if scaler is not None:
         windows = scale(windows, scaler)
     indexed = windows if "idx" in windows.columns else series_index(windows, keys, order)
-    return features_array(indexed).select(*keys, "idx", "features", "stage")
+    return with_clean_stage(features_array(indexed).select(*keys, "idx", "features", "stage"))
 
 
 def time_windows(records: DataFrame, width: float = WINDOW_SECONDS, keys: Sequence[str] = (), labels: str = "columns",

@@ -8,12 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.labels import clean_stage
+from tidewatch.functions.labels import with_clean_stage
 from tidewatch.operators.forecast import forecast, forecast_steps
 from tidewatch.operators.heads import ForecastModel
 from tidewatch.operators.metrics import replay_metrics
 from tidewatch.operators.profile import label_semantics
-from tidewatch.operators.series import at_origins, attach_labels, require_history, sample_origins, sequences
+from tidewatch.operators.series import at_origins, attach_labels, histories_at, require_history, sample_origins, sequences
 from tidewatch.schema import ForecastOptions
 from tidewatch.session import staged
 from tidewatch.sources.reports import write_report
@@ -51,10 +51,14 @@ def replay(windows: DataFrame, model: ForecastModel, options: ForecastOptions, k
     """
     if semantics is None:
         semantics = label_semantics(windows, None, model.label_semantics).first()["semantics"]
-    table = windows.withColumn("stage", clean_stage(F.col("stage"), windows.schema["stage"].dataType))
-    table = require_history(staged(table), options.sequence_length, options.horizon, keys)
+    table = require_history(staged(with_clean_stage(windows)), options.sequence_length, options.horizon, keys)
     origins = sample_origins(table, options.max_origins, options.sequence_length, options.horizon, keys)
-    histories = at_origins(sequences(table, options.sequence_length, keys), origins, keys)
+    # The model looks at its lags only; a caller's own forecaster gets whole histories.
+    length = options.sequence_length if forecaster else model.transition.lags
+    if options.max_origins is None:
+        histories = at_origins(sequences(table, length, keys), origins, keys)
+    else:
+        histories = histories_at(table, origins, length, keys)
     make = forecaster or (lambda rows: forecast(rows, model, options.horizon, keys, options.trend_tolerance))
     predictions = staged(make(histories))
     aligned = attach_labels(forecast_steps(predictions, keys), table, keys, semantics=semantics)

@@ -31,7 +31,7 @@ def train(windows: DataFrame, options: ForecastOptions = ForecastOptions(), keys
     transition = fit_transition(table, lags, ridge, keys)
     meaning = declared_semantics(semantics) or "unknown"
     risk, stage = fit_heads(table, transition, options.sequence_length, options.horizon, keys,
-                            "stage_id" if meaning == "unknown" else meaning, max_iter)
+                            meaning, max_iter)
     return ForecastModel(transition, risk, stage, options.sequence_length, scaler.mean, scaler.scale, meaning,
                          SUPERVISION_MARK, {"lags": lags, "ridge": ridge})
 

@@ -135,14 +135,12 @@ CATEGORY_COLUMNS = ("attack_cat", "family")
 STAGE_COLUMNS = ("stage", "mitre_stage")
 RISK_COLUMNS = ("risk", "infiltration_risk")
 
-MEASURES = tuple(VALUE_ALIASES)
 MOMENTS = ("iat", "ttl", "tcp_window", "payload")
 
 ROWS_PER_GROUP = 8_192
 WINDOW_SECONDS = 5.0
 SEQUENCE_LENGTH = 12
 HORIZON = 5
-CONTEXT_WINDOWS = 128
 SUPERVISION_MARK = "horizon_aligned_rollout_prefixes_v1"
 
 
@@ -187,7 +185,7 @@ class ForecastOptions:
     horizon: int = HORIZON
     threshold: float = 0.5
     step_seconds: float = WINDOW_SECONDS
-    max_origins: int | None = 1_000
+    max_origins: int | None = None
     trend_tolerance: float = 1e-6
 
     def __post_init__(self) -> None:

@@ -116,29 +116,28 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-BROADCAST_ROWS = 200_000
-SALTS = 32
+BROADCAST_BYTES = 8 << 20
+
+
+def stored_bytes(table: DataFrame) -> int:
+    """Size of the files of a table that `staged` wrote."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._staged_at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-               max_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
+               max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Join a large table to a usually small one, null keys included, whatever their skew.
 
-    `small` is written once and counted there. Up to `max_rows` narrow rows it is broadcast and
-    `big` is not shuffled at all. Beyond that both sides are shuffled by key and salt, so a
-    key holding a third of `big` is spread over `salts` tasks.
+    `small` is written once. Files of up to `max_bytes` are broadcast and `big` is not shuffled at all.
+    Beyond that both sides are shuffled by key, and adaptive execution splits the keys it measures to be hot.
     """
     small = staged(small)
     right = small.select(*[F.col(c).alias(f"_r_{c}") for c in on],
                          *[c for c in small.columns if c not in on])
-    if small.count() <= max_rows:
-        return big.join(F.broadcast(right), _same(on), how).drop(*[f"_r_{c}" for c in on])
-    flat = [c for c, t in big.dtypes if not t.startswith(("array", "map", "struct"))]
-    spread = F.pmod(F.xxhash64(*flat), F.lit(salts)).cast("int")
-    left = big.withColumn("_salt", spread)
-    right = right.withColumn("_r__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = left.join(right, _same(on) & (F.col("_salt") == F.col("_r__salt")), how)
-    return joined.drop("_salt", "_r__salt", *[f"_r_{c}" for c in on])
+    right = F.broadcast(right) if stored_bytes(small) <= max_bytes else right
+    return big.join(right, _same(on), how).drop(*[f"_r_{c}" for c in on])
 
 
 def _same(on: list[str]) -> Column:

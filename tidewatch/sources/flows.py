@@ -41,10 +41,11 @@ def project_recognized(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*[quoted(actual) for plain, actual in column_names(df).items() if plain in wanted])
 
 
-def _read_text(spark: SparkSession, paths: str | list[str], separator: str, strict: bool) -> DataFrame:
+def _read_text(spark: SparkSession, paths: str | list[str], separator: str, strict: bool,
+               line_breaks: bool) -> DataFrame:
     reader = spark.read.option("header", True).option("sep", separator).option("inferSchema", False) \
         .option("encoding", "UTF-8").option("mode", "FAILFAST" if strict else "PERMISSIVE") \
-        .option("enforceSchema", False)
+        .option("enforceSchema", False).option("escape", '"').option("multiLine", line_breaks)
     return reader.csv(paths)
 
 
@@ -56,14 +57,14 @@ def _drop_blank(df: DataFrame, data: Sequence[str]) -> DataFrame:
 
 
 def _read(spark: SparkSession, paths: str | list[str], kind: str, position: bool, strict: bool,
-          merge: bool = False) -> DataFrame:
+          line_breaks: bool = True, merge: bool = False) -> DataFrame:
     if kind == "parquet":
         df = spark.read.option("mergeSchema", merge).parquet(*(paths if isinstance(paths, list) else [paths]))
         if position:
             df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.lit(0).cast("long").alias("_split"),
                            F.col("_metadata.row_index").alias("_row"))
         return df
-    df = _read_text(spark, paths, "\t" if kind == "tsv" else ",", strict)
+    df = _read_text(spark, paths, "\t" if kind == "tsv" else ",", strict, line_breaks)
     if not df.columns:
         raise ValueError(f"flow file has no header: {paths}")
     data = df.columns
@@ -90,13 +91,15 @@ def list_flow_files(spark: SparkSession, folder: str) -> dict[str, list[str]]:
 
 def read_flows(spark: SparkSession, path: str, kind: str | None = None, *, project: bool = False,
                keep: Sequence[str] = (), position: bool = False, strict: bool = False,
-               same_header: bool = False) -> DataFrame:
+               same_header: bool = False, line_breaks: bool = True) -> DataFrame:
     """Records of a file or, recursively, of all recognised files of a folder.
 
     CSV and TSV cells stay text; numbers are taken from them when events are made. `project`
     keeps only recognised columns. `position` adds where a record stands: file, split, row.
     `strict` fails on a malformed text row instead of leaving its cells empty. `same_header`
-    promises that all text files of a folder share one header, so it is read only once.
+    promises that all text files of a folder share one header, so it is read only once. Quoted text
+    cells may hold doubled quotes and line breaks; a file is then read by one task. `line_breaks=False`
+    promises that no cell holds a line break, so that large files are split.
     """
     extension = os.path.splitext(path.rstrip("/"))[1].lower()
     if kind is None and extension:
@@ -105,25 +108,25 @@ def read_flows(spark: SparkSession, path: str, kind: str | None = None, *, proje
         found = list_flow_files(spark, path)
         if not found:
             raise ValueError(f"no supported traffic files found in {path}")
-        parts = [read_many(spark, files, form, position, strict, same_header) for form, files in sorted(found.items())]
+        parts = [read_many(spark, files, form, position, strict, same_header, line_breaks) for form, files in sorted(found.items())]
         df = union_sources(parts)
     else:
-        df = _read(spark, path, kind, position, strict)
+        df = _read(spark, path, kind, position, strict, line_breaks)
     return project_recognized(df, keep) if project else df
 
 
 def read_many(spark: SparkSession, files: list[str], kind: str, position: bool, strict: bool,
-              same_header: bool = False) -> DataFrame:
+              same_header: bool = False, line_breaks: bool = True) -> DataFrame:
     """Files of one format. Text files are read together only where their headers agree."""
     if kind == "parquet":
         return normalized(_read(spark, files, kind, position, strict, merge=True))
     if same_header:
-        return normalized(_read(spark, files, kind, position, strict))
+        return normalized(_read(spark, files, kind, position, strict, line_breaks))
     groups: dict[tuple[str, ...], list[str]] = {}
     for file in files:
-        header = tuple(_read_text(spark, file, "\t" if kind == "tsv" else ",", strict).columns)
+        header = tuple(_read_text(spark, file, "\t" if kind == "tsv" else ",", strict, line_breaks).columns)
         groups.setdefault(header, []).append(file)
-    return union_sources([_read(spark, group, kind, position, strict) for group in groups.values()])
+    return union_sources([_read(spark, group, kind, position, strict, line_breaks) for group in groups.values()])
 
 
 def normalized(df: DataFrame) -> DataFrame:
