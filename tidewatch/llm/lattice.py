@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.pieces import MARK, PieceTable, bundled_model, piece_table, pre_tokens, spaced
 from tidewatch.llm.text import span_hashes, utf8_slices
-from tidewatch.session import staged
+from tidewatch.session import discard, staged
 
 FREQUENT = 1_000_000  # encoded words that all tasks get at most (40 MB or so); rarer ones come by a join
 SEGMENT = 512  # characters of a word whose substrings are taken together
 BYTE_SCORE = -12_000_000
+WORDS_PER_TASK = 8_192  # about 25 edges each, grouped in memory
 
 
 def piece_scores(table: PieceTable) -> pd.DataFrame:
@@ -88,8 +89,8 @@ def encode_words(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame
     """(word, n, ids): the pieces of the best-scoring path of each distinct word.
 
     Substrings of up to `longest` characters are exploded and joined with the piece table (piece, id, piece_score), a
-    broadcast of a table of fixed size; a character in no piece is an edge of its bytes. `words` comes from a
-    grouping by word and so do the edges: they stay where they are.
+    broadcast of a table of fixed size; a character in no piece is an edge of its bytes. `words` must be dealt by
+    word, as the edges are grouped by it: they then stay where they are.
     """
     length = F.length("word")
     by_segment = words.select("word", "n", F.explode(F.sequence(F.lit(0), F.floor((length - 1) / SEGMENT).cast("int"))).alias("k"))
@@ -179,7 +180,10 @@ def encode(docs: DataFrame, *keep: str, model: str | None = None, frequent: int
     table = piece_table(path)
     alone, byte_ids = table.alone, table.bytes
     pieces = spark.createDataFrame(piece_scores(table), "piece string, id int, piece_score long")
-    words = staged(_hashed(encode_words(distinct_words(docs, path), pieces, max(map(len, table.pieces))), byte_ids))
+    counted = staged(distinct_words(docs, path))
+    dealt = counted.repartition(max(1, -(-counted.count() // WORDS_PER_TASK)), "word")
+    words = staged(_hashed(encode_words(dealt, pieces, max(map(len, table.pieces))), byte_ids))
+    discard(counted)
     least = _frequent_from(words, frequent)
     hot = words.where(_bucket() >= least).select("hash", "ids").toArrow()
     shared = spark.sparkContext.broadcast(_Words.of(hot["hash"].combine_chunks(), _list(hot["ids"])))
