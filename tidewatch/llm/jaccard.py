@@ -25,6 +25,7 @@ BLOCK = 512  # documents of a block of one tree, about; larger trees are many bl
 TWIG = 16  # documents under a lowest inner node
 BROADCAST_IDS = 500_000  # so many ids (8 bytes each) are sent to all tasks at most
 _MIN_BITS = 512
+FINE, ROUGH = 4, 2  # bits per shingle of the bitmaps that decide and of those that only rank
 
 
 # --- one document ---------------------------------------------------------------------------
@@ -62,9 +63,9 @@ def routes(shingles: np.ndarray, num: int, den: int, bands: np.ndarray) -> np.nd
     return np.concatenate(out)
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """One bit per shingle in a power-of-two number of bits, eight per shingle or more."""
-    bits = max(_MIN_BITS, 1 << int(8 * len(shingles) - 1).bit_length())
+def bitmap(shingles: np.ndarray, share: int = FINE) -> bytes:
+    """One bit per shingle in a power-of-two number of bits, `share` per shingle or more."""
+    bits = max(_MIN_BITS * share // FINE, 1 << int(share * len(shingles) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(mix(shingles) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -106,9 +107,10 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([class_number(s) if len(s) else None for s in found], pa.int64()),
                  pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64())),
-                 pa.array([bitmap(s) if len(s) else None for s in found], pa.binary())], names=["set_no", "shingles", "bits"])
+                 *(pa.array([bitmap(s, share) if len(s) else None for s in found], pa.binary()) for share in (FINE, ROUGH))],
+                names=["set_no", "shingles", "fine", "rough"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "set_no long, shingles array<long>, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(work, "set_no long, shingles array<long>, fine binary, rough binary")
 
 
 # --- walking two trees ------------------------------------------------------------------------
@@ -201,9 +203,14 @@ def _walked(blocks: DataFrame, num: int, den: int, best: bool) -> DataFrame:
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets overlap enough: the exact check."""
-    left = sets.select(F.col("set_no").alias("a"), F.col("shingles").alias("_a"))
-    right = sets.select(F.col("set_no").alias("b"), F.col("shingles").alias("_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    pairs = staged(pairs)
+
+    def side(name: str) -> DataFrame:
+        """The sets that this side of the pairs needs, and no others."""
+        ids = staged(pairs.select(F.col(name).alias("set_no")).distinct())
+        return sets.join(_small(ids), "set_no", "left_semi").select(F.col("set_no").alias(name), F.col("shingles").alias(f"_{name}"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
     return both.where(shared * (den + num) >= (F.size("_a") + F.size("_b")) * num).select("a", "b")
 
@@ -218,7 +225,7 @@ def _small(written: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.count() <= BROADCAST_IDS else written
 
 
-def _blocks(nodes: DataFrame, grouped: DataFrame, sets: DataFrame) -> DataFrame:
+def _blocks(nodes: DataFrame, grouped: DataFrame, sets: DataFrame, bits: str) -> DataFrame:
     """(left, right): the trees of all upper nodes that hold several components, as blocks to be walked together."""
     placed = staged(nodes.select("key", "set_no").join(grouped.withColumnRenamed("node", "set_no"), "set_no", "left").select(
         "key", "set_no", F.coalesce("component", "set_no").alias("component")))
@@ -227,8 +234,8 @@ def _blocks(nodes: DataFrame, grouped: DataFrame, sets: DataFrame) -> DataFrame:
     mixed = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("rows"), *held).where("p < q")
     mixed = mixed.groupBy("rows", "h1", "h2").agg(F.min("key").alias("key"))
     mixed = staged(mixed.select("key", F.ceil(F.col("rows") / float(BLOCK)).cast("long").alias("blocks")))
-    bits = sets.select("set_no", F.size("shingles").cast("long").alias("n_shingles"), "bits")
-    members = placed.join(mixed, "key").join(bits, "set_no").select(
+    maps = sets.select("set_no", F.size("shingles").cast("long").alias("n_shingles"), F.col(bits).alias("bits"))
+    members = placed.join(_small(mixed), "key").join(maps, "set_no").select(
         "key", "blocks", F.pmod(F.xxhash64("set_no"), F.col("blocks")).alias("block"),
         F.struct("set_no", "component", "n_shingles", "bits").alias("m"))
     trees = staged(members.groupBy("key", "blocks", "block").agg(
@@ -272,7 +279,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     tried = often.groupBy("set_no").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
     links = staged(_linked(tried.select(F.col("set_no").alias("a"), F.col("leader").alias("b")), sets, num, den))
     for best in (True, False):
-        blocks = _blocks(nodes, staged(components(links)), sets)
+        blocks = _blocks(nodes, staged(components(links)), sets, "rough" if best else "fine")
         links = links.unionByName(staged(_linked(_walked(blocks, num, den, best), sets, num, den)))
 
     linked = components(links).select(F.col("node").alias("set_no"), "component")
