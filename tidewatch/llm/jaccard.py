@@ -116,10 +116,13 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 # --- walking two trees ------------------------------------------------------------------------
 
 class _Tree:
-    """Documents of a block in order of size; `twigs` are inner nodes over TWIG of them."""
+    """Documents of a block by component and size; `twigs` are inner nodes over TWIG of them.
+
+    So a large component fills whole twigs, and pairs of those have nothing left to find.
+    """
 
     def __init__(self, members: list[dict], bits: int):
-        members = sorted(members, key=lambda m: (m["n_shingles"], m["set_no"]))
+        members = sorted(members, key=lambda m: (m["component"], m["n_shingles"], m["set_no"]))
         self.ids = np.array([m["set_no"] for m in members], np.int64)
         self.group = np.array([m["component"] for m in members], np.int64)
         self.size = np.array([m["n_shingles"] for m in members], np.int64)
@@ -130,6 +133,8 @@ class _Tree:
         self.first = np.append(first, len(members))
         self.twig_map = np.bitwise_or.reduceat(self.map, first)
         self.twig_hidden = np.maximum.reduceat(self.hidden, first)
+        low, high = np.minimum.reduceat(self.group, first), np.maximum.reduceat(self.group, first)
+        self.twig_group, self.twig_mixed = low, low != high
         self.twig_least, self.twig_most = np.minimum.reduceat(self.size, first), np.maximum.reduceat(self.size, first)
 
 
@@ -157,7 +162,8 @@ def walk(left: list[dict], right: list[dict] | None, num: int, den: int) -> tupl
         most = np.bitwise_count(a.twig_map[i] & b.twig_map[js]).sum(1).astype(np.int64) + np.minimum(a.twig_hidden[i], b.twig_hidden[js])
         need = np.maximum(a.twig_least[i], b.twig_least[js]) * num
         near = (a.twig_least[i] * num <= b.twig_most[js] * den) & (b.twig_least[js] * num <= a.twig_most[i] * den)
-        for j in js[near & (most * den >= need)]:
+        open_ = a.twig_mixed[i] | b.twig_mixed[js] | (b.twig_group[js] != a.twig_group[i])
+        for j in js[open_ & near & (most * den >= need)]:
             x, y = slice(a.first[i], a.first[i + 1]), slice(b.first[j], b.first[j + 1])
             shared = np.bitwise_count(a.map[x][:, None, :] & b.map[y][None, :, :]).sum(2).astype(np.int64)
             bound = shared + np.minimum(a.hidden[x][:, None], b.hidden[y][None, :])
