@@ -85,3 +85,14 @@ def test_very_long_url(spark):
     df = spark.createDataFrame([(1, long, DAY0)], "page_id long, url string, fetched_at timestamp_ntz")
     entries = spark.createDataFrame([(".".join(["l"] * 3000), DAY0, "block")], "pattern string, listed_at timestamp_ntz, verdict string")
     assert U.list_verdicts(df, entries).collect()[0].verdict == "block"
+
+
+def test_entries_of_any_depth(spark):
+    deep, wide, many = "/".join(f"p{k}" for k in range(12)), ".".join(f"l{k}" for k in range(12)), ".".join(["m"] * 120)
+    entries = [(p, DAY0, "block") for p in (f"Hot.net/{deep}", wide.split(".", 2)[2], "a.org/x//y/", "b.org/", many, f"{many}/q", "hot.net/p0")]
+    wanted = {f"http://hot.net/{deep}/more": f"hot.net/{deep}", f"http://hot.net/{deep[:-2]}": "hot.net/p0", f"http://{wide}/": wide.split(".", 2)[2],
+              "http://a.org/x/y": "a.org/x/y", "http://a.org//x/y/z": "a.org/x/y", "http://www.b.org/z": "b.org", f"http://{many}/q": f"{many}/q",
+              f"http://{many}/r": many, "http://a.org/x": None}
+    captures = spark.createDataFrame([(k, u, DAY0) for k, u in enumerate(wanted)], "page_id long, url string, fetched_at timestamp_ntz")
+    made = U.list_verdicts(captures, spark.createDataFrame(entries, "pattern string, listed_at timestamp_ntz, verdict string"))
+    assert {r.url: r.pattern for r in made.collect()} == wanted

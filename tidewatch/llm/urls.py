@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_LABELS = 8  # host suffixes of up to so many labels are looked up (names have few; longer suffixes are the host itself)
-MOST_SEGMENTS = 8  # path prefixes of up to so many segments
 SLOT_DAYS = 64  # intervals and captures meet by pattern and slot of days
 
 
@@ -24,24 +24,42 @@ def path(url: Column) -> Column:
     return F.when(rest.startswith("/"), rest).otherwise("/")
 
 
-def url_patterns(url: Column) -> Column:
+def url_patterns(url: Column, labels: Sequence[int], segments: Sequence[int]) -> Column:
     """Every list pattern that can cover a URL, as array<struct<pattern, rank>>; a larger rank is more specific.
 
     Domains cover their subdomains: `example.com`, `www.example.com` (rank: labels). With a path the whole host is needed:
-    `www.example.com/news` covers `/news` and what lies below (rank: 100 + segments). Null or other texts: none.
+    `www.example.com/news` covers `/news` and what lies below (rank: labels + segments). Null or other texts: none.
+    `labels` and `segments` are the depths that the list has, see `list_depths`; patterns of other depths can't meet an entry.
     """
     name = host(url)
-    labels = F.split(name, r"\.")
-    n = F.size(labels)
-    suffix = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(MOST_LABELS))), lambda k: F.struct(
-        F.array_join(F.slice(labels, n - k + 1, k), ".").alias("pattern"), k.alias("rank")))
-    whole = F.array(F.struct(name.alias("pattern"), n.alias("rank")))
+    names = F.split(name, r"\.")
+    n = F.size(names)
+    suffix = F.transform(F.filter(_numbers(labels), lambda k: k <= n), lambda k: F.struct(
+        F.array_join(F.slice(names, n - k + 1, k), ".").alias("pattern"), k.alias("rank")))
     parts = F.array_remove(F.split(path(url), "/"), "")
-    m = F.least(F.size(parts), F.lit(MOST_SEGMENTS))
-    deep = F.when(m > 0, F.transform(F.sequence(F.lit(1), m), lambda k: F.struct(
-        F.concat(name, F.lit("/"), F.array_join(F.slice(parts, 1, k), "/")).alias("pattern"), (k + 100).alias("rank")))
-    ).otherwise(F.slice(whole, 1, 0))
-    return F.when(name.isNotNull(), F.array_distinct(F.concat(suffix, whole, deep)))
+    deep = F.transform(F.filter(_numbers(segments), lambda k: k <= F.size(parts)), lambda k: F.struct(
+        F.concat(name, F.lit("/"), F.array_join(F.slice(parts, 1, k), "/")).alias("pattern"), (k + n).alias("rank")))
+    return F.when(name.isNotNull(), F.concat(suffix, deep))
+
+
+def _numbers(values: Sequence[int]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<int>")
+
+
+def tidy_pattern(pattern: Column) -> Column:
+    """A list pattern as `url_patterns` writes it: host name in lower case, path without empty segments or final slash."""
+    parts = F.split(pattern, "/")
+    inner = F.array_remove(F.slice(parts, 2, F.size(parts)), "")
+    return F.array_join(F.concat(F.array(F.lower(F.get(parts, F.lit(0)))), inner), "/")
+
+
+def list_depths(entries: DataFrame) -> tuple[list[int], list[int]]:
+    """The different numbers of labels of a list's domains and of segments of its paths; one row comes to the driver."""
+    at = tidy_pattern(F.col("pattern"))
+    deep = F.size(F.split(at, "/")) - 1
+    row = entries.where(F.col("pattern").isNotNull() & F.col("listed_at").isNotNull()).agg(
+        F.collect_set(F.when(deep == 0, F.size(F.split(at, r"\.")))), F.collect_set(F.when(deep > 0, deep))).first()
+    return sorted(row[0]), sorted(row[1])
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -49,13 +67,11 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     An entry holds from its date until the same pattern's next entry, the last one without end (until null). Of
     entries of one pattern and date the verdict that sorts last counts, so `block` over `allow`; a null verdict ends the
-    one before and starts none. Host names are lower-cased, paths are not; rows without pattern or date are left out. One group's window is a
-    pattern's entries, one row per date.
+    one before and starts none. Host names are lower-cased, paths are not but lose empty segments and a final slash; rows without
+    pattern or date are left out. One group's window is a pattern's entries, one row per date.
     """
     known = entries.where(F.col("pattern").isNotNull() & F.col("listed_at").isNotNull())
-    name = F.substring_index("pattern", "/", 1)
-    tidy = F.concat(F.lower(name), F.expr("substring(pattern, length(substring_index(pattern, '/', 1)) + 1)"))
-    daily = known.groupBy(tidy.alias("pattern"), F.col("listed_at").cast("timestamp_ntz").alias("since")).agg(
+    daily = known.groupBy(tidy_pattern(F.col("pattern")).alias("pattern"), F.col("listed_at").cast("timestamp_ntz").alias("since")).agg(
         F.max("verdict").alias("verdict"))
     until = F.lead("since").over(Window.partitionBy("pattern").orderBy("since"))
     return daily.select("pattern", "verdict", "since", until.alias("until")).where(F.col("verdict").isNotNull())
@@ -73,13 +89,14 @@ def list_verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     before the next entry of its pattern. Every input row gives one row; null and repeated page_ids too.
 
     Entries become validity intervals, spread over slots of 64 days between the first and last capture; captures
-    carry their few patterns. The join is by pattern and slot, so a host with a third of all captures is
+    carry one pattern for each depth that the list has and their URL reaches. The join is by pattern and slot, so a host with a third of all captures is
     spread over its days, and adaptive execution can split what remains. Matches are reduced per
     distinct (url, fetched_at) before captures get them back.
     """
     timed = captures.select("page_id", "url", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"))
     seen = timed.where(F.col("fetched_at").isNotNull()).select("url", "fetched_at")
-    asked = seen.select("url", "fetched_at", _slot(F.col("fetched_at")).alias("slot"), F.explode(url_patterns(F.col("url"))).alias("p")).select(
+    patterns = url_patterns(F.col("url"), *list_depths(entries))
+    asked = seen.select("url", "fetched_at", _slot(F.col("fetched_at")).alias("slot"), F.explode(patterns).alias("p")).select(
         "url", "fetched_at", "slot", "p.pattern", "p.rank")
     span = captures.agg(F.min(_slot(F.col("fetched_at"))).alias("first"), F.max(_slot(F.col("fetched_at"))).alias("last"))
     first, last = span.first()
