@@ -27,7 +27,7 @@ from tidewatch.schema import FEATURES, ForecastOptions
 from tidewatch.session import staged
 
 KEY = ["user_id"]
-OPTIONS = ForecastOptions(sequence_length=5, horizon=3, max_origins=6, step_seconds=86_400.0)
+OPTIONS = ForecastOptions(sequence_length=5, horizon=3, step_seconds=86_400.0)
 WEIGHTS = tuple(round(0.03 * (i - 11), 2) for i in range(len(FEATURES)))
 CENTRE = tuple(float(i) for i in range(len(FEATURES)))
 

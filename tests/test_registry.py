@@ -24,3 +24,13 @@ def test_entry(spark):
 
     found = __spark_entry__.entry(spark)
     assert found.count() > 0 and len(set(found.columns)) == len(found.columns)
+
+
+def test_replay_measures_every_origin(spark):
+    from checks.adapters import user_days
+    from checks.q_models import OPTIONS
+
+    sizes = [r["count"] for r in user_days(spark, SF).groupBy("user_id").count().collect()]
+    every = [max(n - OPTIONS.sequence_length - OPTIONS.horizon + 1, 0) for n in sizes]
+    row = queries()["G8_replay_report"](spark, SF).first()
+    assert row["origins_evaluated"] == sum(every) > sum(min(n, 6) for n in every) and row["origin_selection"] == "all"
