@@ -59,6 +59,13 @@ def test_moving_grid_keeps_its_state_between_triggers(spark, tmp_path, late):
     assert starts == [0, 5, 10, 10, 18]
 
 
+def test_overlapping_files_move_the_grid_as_sorted_ones_do(spark, tmp_path):
+    files = [[("a", float(t), 1.0, 80) for t in part] for part in ((0, 14), (11, 20), (6, 19, 30))] + [[("b", 500.0, 1.0, 80)]]
+    got = drain(spark, stream_regrid(feed(spark, tmp_path, *files), 5, 8, ["k"], delay="60 seconds"), tmp_path, "overlap")
+    rows = [(r["ts_us"] // 1_000_000, r["win_start_us"] // 1_000_000) for r in got.orderBy("ts_us").collect()]
+    assert rows == [(0, 0), (6, 5), (11, 10), (14, 10), (19, 18), (20, 18), (30, 26)]
+
+
 def test_samples_stay_bounded_over_triggers(spark, tmp_path):
     rows = feed(spark, tmp_path, ROWS[:25], ROWS[25:], [("a", 200.0, 1.0, 80)])
     got = drain(spark, stream_sample(rows, 20, 2, keys=["k"], keep=["bytes"]), tmp_path, "sample")
