@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewatch.llm import jaccard, langid, lattice, mixing, quality, rules, tokens, urls, vectors, warc
+from tidewatch.llm import dialogue, infill, jaccard, langid, lattice, licences, mixing, quality, rules, tokens, urls, vectors, warc
 from tidewatch.session import staged
 
 
@@ -166,6 +166,94 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM embeddings JOIN component ON id = vec_id LEFT JOIN links ON a = vec_id"""
 
 
+def op11_infill(spark: SparkSession, sf: str) -> DataFrame:
+    cut = infill.fill_in_middle(_table(spark, sf, "documents"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                      F.sha2(infill.restored("output", "form").cast("binary"), 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+         [('0x' || sha256('42:' || doc_id)[8 * k + 1:8 * k + 8])::BIGINT FOR k IN range(4)] AS h FROM documents),
+placed AS (
+  SELECT *, len(u) AS n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+              WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (
+  SELECT *, coalesce(array_to_string(u[:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m,
+         coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM parts"""
+
+
+def op12_dialogue_repair(spark: SparkSession, sf: str) -> DataFrame:
+    conversations = _table(spark, sf, "conversations")
+    out = dialogue.repair_summary(dialogue.damaged(conversations), conversations.select(F.col("conv_id").alias("conv")))
+    return out.withColumnRenamed("conv", "conv_id")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE crc_table AS MATERIALIZED (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM range(256) g(b)),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hit AS (
+  SELECT keyed.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda ch: ascii(ch)::BIGINT)),
+                                  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS h FROM keyed, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE h WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hit WHERE h <> 0),
+placed AS (
+  SELECT *, row_number() OVER w AS i, lag(role[1]) OVER w || role[1] AS pair, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || ':' || text))),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM placed),
+flagged AS (
+  SELECT *, last = '' AS blank, last <> '' AND again AS dup, last <> '' AND NOT again AND last NOT IN ('.', '!', '?') AS cut FROM seen),
+inserted(p, q, cost, audit, lines) AS (
+  VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']),
+         (3, 2, 2, 'I', ['user:']), (2, 3, 2, 'I', ['assistant:']), (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:'])),
+step(initial, p, q) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+edit AS (
+  SELECT conv_id, i, p, p AS q, 3 AS cost, 'D' AS audit, []::VARCHAR[] AS lines FROM flagged, range(4) g(p)
+  UNION ALL SELECT conv_id, i, p, q, 2 + cut::INT, 'R', [CASE step.initial WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text]
+  FROM flagged, step WHERE NOT (blank OR dup) AND step.initial <> 's'
+  UNION ALL SELECT conv_id, i, p, q, cut::INT, 'K', [role || ':' || text] FROM flagged JOIN step ON role[1] = step.initial WHERE NOT (blank OR dup)),
+walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS place, {'cost': 0, 'audit': '', 'lines': []::VARCHAR[]} AS best FROM flagged
+  UNION ALL
+  SELECT w.conv_id, e.i, e.q, min({'cost': w.best.cost + n.cost + e.cost, 'audit': w.best.audit || n.audit || e.audit, 'lines': w.best.lines || n.lines || e.lines})
+  FROM walk w JOIN inserted n ON n.p = w.place JOIN edit e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.p = n.q
+  GROUP BY w.conv_id, e.i, e.q),
+found AS (
+  SELECT w.conv_id, min({'cost': w.best.cost + n.cost, 'audit': w.best.audit || n.audit, 'lines': w.best.lines || n.lines}) AS best
+  FROM walk w JOIN inserted n ON n.p = w.place AND n.q IN (0, 3)
+  WHERE i = (SELECT max(i) FROM flagged f WHERE f.conv_id IS NOT DISTINCT FROM w.conv_id) GROUP BY w.conv_id),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+         count(*) FILTER (cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM flagged GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit,
+       sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+def op13_licences(spark: SparkSession, sf: str) -> DataFrame:
+    places = licences.licence_places(_table(spark, sf, "documents"))
+    found, base = F.col("places"), F.filter("places", lambda p: p["kind"] == "base")
+    return places.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+                         F.array_min(F.transform(base, lambda p: p["first_word"])).alias("first_word"),
+                         F.array_max(F.transform(base, lambda p: p["first_word"])).alias("last_word"),
+                         licences.label_list(base).alias("base_labels"), licences.label_list(found).alias("labels"),
+                         licences.certainty(found).alias("score"), licences.freedom(found).alias("freedom"))
+
+
 ENTRIES = {
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op1_ngram_jaccard": (op1_ngram_jaccard, OP1_SQL),
@@ -178,4 +266,7 @@ ENTRIES = {
     "op8_quality_machine": (op8_quality_machine, None),
     "op9_sentencepiece": (op9_sentencepiece, None),
     "op10_embedding_near_dedup": (op10_embedding_near_dedup, OP10_SQL),
+    "op11_infill": (op11_infill, OP11_SQL),
+    "op12_dialogue_repair": (op12_dialogue_repair, OP12_SQL),
+    "op13_licences": (op13_licences, None),
 }
