@@ -20,7 +20,7 @@ from tidewatch.operators.series import align, row_time, series_index
 from tidewatch.operators.windows import (
     assign_windows, rowgroup_features, sliding_features, tumbling_features, window_sample,
 )
-from tidewatch.schema import BATCH, COLUMNAR, FEATURES
+from tidewatch.schema import BATCH, COLUMNAR, FEATURES, ONLINE
 
 HOUR_US = 3_600_000_000
 
@@ -92,6 +92,59 @@ placed AS (SELECT t.*, g.start_us FROM traffic t JOIN grid g ON t.user_id = g.us
 SELECT user_id, start_us, start_us + {WIDTH} AS end_us, {rounded_sql()}, event_count, stage, risk FROM feat"""
 
 
+def _large(spark: SparkSession, sf: str, lists: bool = False) -> DataFrame:
+    """Traffic whose gaps and window sizes lie around 1e12 and 1e9 and differ little; with `lists` three gaps in a cell."""
+    rows = traffic(table(spark, sf, "events"))
+    gap = F.lit(1e12) + F.col("iat") * 1e6
+    return canonical_events(rows.withColumns({
+        "window_size": F.lit(1e9) + F.col("iat"), "iat": F.array(gap, gap + 1e6, gap + 5e6) if lists else gap}), keys=["user_id"], options=BATCH if lists else ONLINE)
+
+
+def _spread(windows: DataFrame) -> DataFrame:
+    """Means and variances of large numbers, to six figures or more."""
+    return windows.select("user_id", F.unix_micros("win_start").alias("start_us"), "event_count",
+                          r4(F.col("iat_mean") / 1e12).alias("gap_mean"), F.round(F.col("iat_variance") / 1e12 + 1e-5, 3).alias("gap_variance"),
+                          r4(F.col("iat_max") / 1e12).alias("gap_max"), r4(F.col("tcp_window_mean") / 1e9).alias("size_mean"),
+                          F.round(F.col("tcp_window_variance") + 1e-5, 3).alias("size_variance"), r4(F.col("flow_bytes")).alias("bytes"))
+
+
+# Variances don't change with what is added to all numbers: the SQL takes those of the small parts.
+def _spread_sql(member: str, gaps: str = "[iat]") -> str:
+    return f"""
+large AS (SELECT user_id, start_us, iat, bytes, unnest({gaps}) AS gap, unnest(range(len({gaps}))) AS part FROM {member})
+SELECT user_id, start_us, count(*) FILTER (part = 0) AS event_count, {sql_r4("1 + avg(gap) / 1e6")} AS gap_mean,
+       round(var_pop(gap) + 1e-5, 3) AS gap_variance, {sql_r4("1 + max(gap) / 1e6")} AS gap_max,
+       {sql_r4("1 + avg(iat) FILTER (part = 0) / 1e9")} AS size_mean, round(var_pop(iat) FILTER (part = 0) + 1e-5, 3) AS size_variance,
+       {sql_r4("sum(bytes) FILTER (part = 0)")} AS bytes FROM large GROUP BY user_id, start_us"""
+
+
+def c1_list_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return _spread(tumbling_features(_large(spark, sf, lists=True), DAY, ["user_id"], options=BATCH))
+
+
+def c2_sliding_large(spark: SparkSession, sf: str) -> DataFrame:
+    return _spread(sliding_features(_large(spark, sf), 3 * DAY, DAY / 2, ["user_id"], anchor=0))
+
+
+HALF = DAY_US // 2
+C2_LARGE = f"""WITH {TRAFFIC},
+placed AS (SELECT t.*, (us // {HALF} - i) * {HALF} AS start_us FROM traffic t, generate_series(0, 5) g(i)), {_spread_sql("placed").strip()}"""
+
+
+def c2_sliding_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return _spread(sliding_features(_large(spark, sf, lists=True), 3 * DAY, DAY / 2, ["user_id"], anchor=0, options=BATCH))
+
+
+def c3_regrid_large(spark: SparkSession, sf: str) -> DataFrame:
+    return _spread(regrid_features(_large(spark, sf), 6 * HOUR, 15 * HOUR, ["user_id"]))
+
+
+C3_LARGE = f"""WITH RECURSIVE {TRAFFIC}, {GRID},
+placed AS (SELECT t.*, g.start_us FROM traffic t JOIN grid g ON t.user_id = g.user_id AND us >= start_us AND us < start_us + {WIDTH}),
+{_spread_sql("placed").strip()}"""
+LISTED = "[iat, iat + 1, iat + 5]"
+
+
 def c4_row_groups(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
     rows = traffic(events).drop("stage", "risk").withColumn("label", F.when(F.col("rst_count") == 1, "Attack").otherwise("Benign"))
@@ -288,6 +341,10 @@ ENTRIES = {
     "C2_sliding": (c2_sliding, _sliding_sql(3 * HOUR_US, HOUR_US // 2)),
     "C2_gapped_grid": (c2_gapped_grid, _sliding_sql(HOUR_US, 2 * HOUR_US)),
     "C3_regrid": (c3_regrid, C3),
+    "C1_list_cells": (c1_list_cells, f"WITH {USER_DAYS}, {_spread_sql('placed', LISTED).strip()}"),
+    "C2_sliding_large": (c2_sliding_large, C2_LARGE),
+    "C2_sliding_lists": (c2_sliding_lists, C2_LARGE.replace("[iat]", LISTED)),
+    "C3_regrid_large": (c3_regrid_large, C3_LARGE),
     "C4_row_groups": (c4_row_groups, C4),
     "C5_window_sample": (c5_window_sample, C5),
     "C6_members": (c6_members, f"WITH {USER_DAYS} SELECT user_id, win_idx, event_id, bytes FROM placed"),

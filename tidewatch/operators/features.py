@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.schema import FEATURES, MOMENTS, ONLINE, FeatureOptions
@@ -59,35 +59,29 @@ def _list_moments(events: DataFrame) -> list[str]:
 
 
 def _spread_lists(events: DataFrame, lists: Sequence[str]) -> DataFrame:
-    """Per record: count, sum, sum of squares and maximum of each list cell."""
-    zero = F.lit(0.0)
-    change = {}
-    for name in lists:
-        value = F.col(name)
-        change[f"{name}_n"] = F.size(value).cast("long")
-        change[f"{name}_s"] = F.aggregate(value, zero, lambda a, x: a + x)
-        change[f"{name}_q"] = F.aggregate(value, zero, lambda a, x: a + x * x)
-        change[f"{name}_x"] = F.array_max(value)
-    return events.withColumns(change).drop(*lists)
+    """A row per list item: the k-th row of a record has the k-th item of each list, the first one all its other numbers.
+
+    Nothing is shuffled for it, and all moments are then taken over plain numbers.
+    """
+    first = events.withColumn("_n", F.lit(1).cast("long"))
+    if not lists:
+        return first
+    full = [F.coalesce(F.col(name), F.array().cast(events.schema[name].dataType)).alias(name) for name in lists]
+    rest = [c for c in first.columns if c not in lists]
+    rows = first.select(*rest, F.posexplode_outer(F.arrays_zip(*full)).alias("_at", "_items"))
+    once = F.coalesce(F.col("_at"), F.lit(0)) == 0
+    single = [c for c in (*SUMS, *MOMENTS, "_n") if c in rest]
+    return rows.select(*[c for c in rest if c not in single], *[F.when(once, F.col(c)).alias(c) for c in single],
+                       *[F.col("_items")[name].alias(name) for name in lists])
 
 
 def moment_inputs(events: DataFrame, options: FeatureOptions) -> DataFrame:
-    """Count, sum, sum of squares and maximum per record, for aggregates that are merged later."""
+    """Records with plain numbers for the moments, and `_n`: how many records a row stands for."""
     events = _numbers(events, options)
-    lists = _list_moments(events)
-    events = _spread_lists(events, lists)
-    change = {}
-    for name in MOMENTS:
-        if name not in lists:
-            value = F.col(name)
-            change[f"{name}_n"] = value.isNotNull().cast("long")
-            change[f"{name}_s"] = value
-            change[f"{name}_q"] = value * value
-            change[f"{name}_x"] = value
-    return events.withColumns(change)
+    return _spread_lists(events, _list_moments(events))
 
 
-MERGED = [f"{name}_{part}" for name in MOMENTS for part in "nsqx"]
+MERGED = [f"{name}_{part}" for name in MOMENTS for part in "nadx"]
 PORT_SUMS = ("_ports", "_pairs")
 
 
@@ -95,31 +89,49 @@ def _aggregates(calls: dict[str, str]) -> list[Column]:
     return [F.expr(f"{call}({name}) AS {name}") for name, call in calls.items()]
 
 
-def merge_aggregates(ports: bool = False) -> list[Column]:
-    """Aggregates that may be applied again to their own results."""
-    calls = dict.fromkeys(SUMS, "sum") | {"duration": "max"}
-    calls |= {c: "max" if c.endswith("_x") else "sum" for c in MERGED}
-    calls |= {"_n": "sum", "stage": "max", "risk": "max"}
+def _plain_aggregates(ports: bool) -> list[Column]:
+    calls = dict.fromkeys(SUMS, "sum") | {"duration": "max", "_n": "sum", "stage": "max", "risk": "max"}
     return _aggregates(calls | (dict.fromkeys(PORT_SUMS, "sum") if ports else {}))
 
 
-def _floor0(value: str) -> str:
-    return f"greatest(coalesce({value}, double(0)), double(0))"
+def pane_aggregates() -> list[Column]:
+    """Aggregates of a pane: of each moment its count, mean, sum of squared deviations from that mean, and maximum."""
+    return _plain_aggregates(False) + [F.expr(f"{call} AS {name}_{part}") for name in MOMENTS for part, call in (
+        ("n", f"count({name})"), ("a", f"avg({name})"), ("d", f"var_pop({name}) * count({name})"), ("x", f"max({name})"))]
+
+
+def merged_panes(rows: DataFrame, by: Sequence[str], ports: bool) -> DataFrame:
+    """Panes (and rows with port counts) -> one row per group, with `_a`, `_v` and `_x` of each moment.
+
+    Squares are taken of what the pane means are beyond the group's least one, never of the means themselves, so however large the
+    numbers are, only their spread counts. The least means come from a window over the group, which is dealt as the aggregate needs it:
+    one shuffle for both.
+    """
+    group = Window.partitionBy(*by)
+    shifted = rows.withColumns({f"{name}_c": F.min(f"{name}_a").over(group) for name in MOMENTS})
+    parts = []
+    for name in MOMENTS:
+        beyond = f"({name}_a - {name}_c)"
+        parts += [F.expr(f"{e} AS {name}_{part}") for part, e in (
+            ("n", f"sum({name}_n)"), ("s", f"sum({name}_n * {beyond})"), ("q", f"sum({name}_d + {name}_n * {beyond} * {beyond})"),
+            ("c", f"min({name}_c)"), ("x", f"max({name}_x)"))]
+    table = shifted.groupBy(*by).agg(*_plain_aggregates(ports), *parts)
+    return table.withColumns({f"{name}_{part}": F.expr(e) for name in MOMENTS for part, e in (
+        ("a", f"{name}_c + try_divide({name}_s, {name}_n)"),
+        ("v", f"try_divide({name}_q - try_divide({name}_s, {name}_n) * {name}_s, {name}_n)"))})
 
 
-def _merged_moments(name: str) -> tuple[str, str, str]:
-    n, s, q, x = (f"{name}_{part}" for part in "nsqx")
-    mean = f"coalesce(try_divide({s}, {n}), double(0))"
-    return mean, _floor0(f"try_divide({q}, {n}) - {mean} * {mean}"), _floor0(x)
+def _floor0(value: str) -> str:
+    return f"greatest(coalesce({value}, double(0)), double(0))"
 
 
-def _direct_moments(name: str) -> tuple[str, str, str]:
+def _moments(name: str) -> tuple[str, str, str]:
     return f"coalesce({name}_a, double(0))", _floor0(f"{name}_v"), _floor0(f"{name}_x")
 
 
-def finish(table: DataFrame, by: Sequence[str], options: FeatureOptions, merged: bool = True) -> DataFrame:
+def finish(table: DataFrame, by: Sequence[str], options: FeatureOptions) -> DataFrame:
     """Aggregated sums -> the feature columns in their fixed order."""
-    moment = {name: (_merged_moments if merged else _direct_moments)(name) for name in MOMENTS}
+    moment = {name: _moments(name) for name in MOMENTS}
     ported = "_ports" in table.columns
     ports, pairs = ("coalesce(_ports, 0)", "coalesce(_pairs, 0)") if ported else ("0", "0")
     values = {
@@ -152,20 +164,12 @@ def window_features(events: DataFrame, by: Sequence[str], options: FeatureOption
     Port bits are reduced on their own and appended to the records as extra rows that carry
     nothing else, so one grouped aggregate finishes both without a join.
     """
-    merged = bool(_list_moments(events))
-    base = moment_inputs(events, options) if merged else _numbers(events, options)
-    carried = [*SUMS, "duration", *(MERGED if merged else MOMENTS)]
-    rows = base.select(*by, *carried, "stage", "risk", F.expr("1L AS _n"))
+    rows = moment_inputs(events, options).select(*by, *SUMS, "duration", *MOMENTS, "stage", "risk", "_n")
     ported = "ports" in events.columns
     rows = with_port_rows(rows, port_masks(events, by) if ported else None, by)
-    if merged:
-        aggregates = merge_aggregates(ported)
-    else:
-        aggregates = _aggregates(dict.fromkeys(SUMS, "sum") | {"duration": "max", "_n": "sum", "stage": "max", "risk": "max"}
-                                 | (dict.fromkeys(PORT_SUMS, "sum") if ported else {}))
-        aggregates += [F.expr(f"{call}({name}) AS {name}_{part}") for name in MOMENTS
-                       for call, part in (("avg", "a"), ("var_pop", "v"), ("max", "x"))]
-    return finish(rows.groupBy(*by).agg(*aggregates), by, options, merged)
+    moments = [F.expr(f"{call}({name}) AS {name}_{part}") for name in MOMENTS
+               for call, part in (("avg", "a"), ("var_pop", "v"), ("max", "x"))]
+    return finish(rows.groupBy(*by).agg(*_plain_aggregates(ported), *moments), by, options)
 
 
 def features_array(table: DataFrame, name: str = "features") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.numbers import int_div
 from tidewatch.operators.features import (
-    MERGED, SUMS, finish, merge_aggregates, moment_inputs, port_masks, with_port_rows,
+    MERGED, SUMS, finish, merged_panes, moment_inputs, pane_aggregates, port_masks, with_port_rows,
 )
 from tidewatch.operators.windows import to_micros, with_anchor
 from tidewatch.schema import ONLINE, FeatureOptions
@@ -118,8 +118,7 @@ def regrid_features(events: DataFrame, width: float, stride: float, keys: Sequen
     placed = with_anchor(events, keys).withColumns({
         "series": series, "cell": int_div(F.col("ts_us") - F.col("_anchor"), unit)})
     by = [*keys, "series", "_anchor", "cell"]
-    panes = moment_inputs(placed, options).withColumn("_n", F.lit(1).cast("long")) \
-        .groupBy(*by).agg(*merge_aggregates())
+    panes = moment_inputs(placed, options).groupBy(*by).agg(*pane_aggregates())
     starts = grid_starts(panes.select("series", "cell"), size // unit, step // unit)
     group = [*keys, "_anchor", "start"]
     rows = panes.join(starts, ["series", "cell"]).select(*group, *SUMS, "duration", *MERGED, "_n", "stage", "risk")
@@ -127,8 +126,7 @@ def regrid_features(events: DataFrame, width: float, stride: float, keys: Sequen
     if "ports" in events.columns:
         masks = port_masks(placed, by).join(starts, ["series", "cell"]) \
             .groupBy(*group, "block").agg(F.bit_or("mask").alias("mask"))
-    table = with_port_rows(rows, masks, group).groupBy(*group).agg(*merge_aggregates(ports=masks is not None))
-    table = finish(table, group, options)
+    table = finish(merged_panes(with_port_rows(rows, masks, group), group, ports=masks is not None), group, options)
     start_us = F.col("_anchor") + F.col("start") * F.lit(unit)
     return table.select(
         *keys, int_div(F.col("start") * F.lit(unit), size).alias("win_idx"),

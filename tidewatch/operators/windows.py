@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.numbers import int_div
 from tidewatch.operators.features import (
-    MERGED, SUMS, finish, merge_aggregates, moment_inputs, port_masks, window_features, with_port_rows,
+    MERGED, SUMS, finish, merged_panes, moment_inputs, pane_aggregates, port_masks, window_features, with_port_rows,
 )
 from tidewatch.schema import ONLINE, ROWS_PER_GROUP, FeatureOptions
 from tidewatch.session import join_small
@@ -108,15 +108,14 @@ def sliding_features(events: DataFrame, width: float, stride: float, keys: Seque
     anchored = anchored.withColumn("_pane", F.col("_anchor") + F.lit(pane) *
                                    int_div(F.col("ts_us") - F.col("_anchor"), pane))
     cells = [*keys, "_anchor", "_pane"]
-    inputs = moment_inputs(anchored, options).withColumn("_n", F.lit(1).cast("long"))
-    panes = inputs.groupBy(*cells).agg(*merge_aggregates())
+    panes = moment_inputs(anchored, options).groupBy(*cells).agg(*pane_aggregates())
     rows = _explode_windows(panes, size, step, "_pane") \
         .select(*by, *SUMS, "duration", *MERGED, "_n", "stage", "risk")
     masks = None
     if "ports" in events.columns:
         masks = _explode_windows(port_masks(anchored, cells), size, step, "_pane") \
             .groupBy(*by, "block").agg(F.bit_or("mask").alias("mask"))
-    table = with_port_rows(rows, masks, by).groupBy(*by).agg(*merge_aggregates(ports=masks is not None))
+    table = merged_panes(with_port_rows(rows, masks, by), by, ports=masks is not None)
     return _with_bounds(finish(table, by, options), keys, size)
 
 
