@@ -43,6 +43,15 @@ def a1_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     return records.select(F.col("event_id").cast("long").alias("event_id"), first_number(records, "tot_bytes").alias("bytes"))
 
 
+def a1_quoted_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of many lines in quoted cells, cut into byte ranges and read by many tasks."""
+    path = scratch(spark, "quoted")
+    texts = table(spark, sf, "documents").select("doc_id", F.col("source").alias("Label"), "text")
+    texts.write.option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").csv(path)
+    records = read_flows(spark, path, "csv")
+    return records.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
+
+
 def a2_tsv_scan(spark: SparkSession, sf: str) -> DataFrame:
     records = read_flows(spark, _text_copy(spark, sf, "\t", "tsv"), "tsv")
     return records.select(F.col("event_id").cast("long").alias("event_id"), first_number(records, "tot_bytes").alias("bytes"))
@@ -93,6 +102,24 @@ A5 = f"""SELECT count(*) AS records, count(*) AS positions, CAST(0 AS BIGINT) AS
        count(DISTINCT event_id) AS event_ids, {sql_r4("sum(value)")} AS bytes FROM events"""
 
 
+def a5_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of three headers, comma and tab separated, in one folder; cells find their columns by their own file's header."""
+    folder = scratch(spark, "headers")
+    events = table(spark, sf, "events").select("event_id", "user_id", F.col("value").alias("Tot Bytes"), F.lit("a, b").alias("note"))
+    kind = F.col("event_id") % 4
+    events.where(kind == 0).write.option("header", True).csv(f"{folder}/a")
+    events.where(kind == 1).select("note", "Tot Bytes", "event_id").write.option("header", True).csv(f"{folder}/b")
+    events.where(kind == 2).select(F.col("Tot Bytes").alias("tot_bytes"), "event_id").write.option("header", True).csv(f"{folder}/c")
+    events.where(kind == 3).write.parquet(f"{folder}/d")
+    records = read_flows(spark, folder)
+    return records.select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"),
+                          r4(first_number(records, "tot_bytes")).alias("bytes"), "note")
+
+
+A5_HEADERS = f"""SELECT event_id, CASE WHEN event_id % 4 IN (0, 3) THEN user_id END AS user_id, {sql_r4("value")} AS bytes,
+       CASE WHEN event_id % 4 <> 2 THEN 'a, b' END AS note FROM events"""
+
+
 def a6_packets(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("int")
@@ -345,10 +372,12 @@ latest AS (SELECT * FROM days QUALIFY row_number() OVER (PARTITION BY user_id OR
 
 ENTRIES = {
     "A1_csv_scan": (a1_csv_scan, EVENT_BYTES),
+    "A1_quoted_scan": (a1_quoted_scan, "SELECT doc_id, length(nullif(text, '')) AS chars, md5(nullif(text, '')) AS text_md5 FROM documents"),
     "A2_tsv_scan": (a2_tsv_scan, EVENT_BYTES),
     "A3_row_scan": (a3_row_scan, A3),
     "A4_projected_scan": (a4_projected_scan, A4),
     "A5_folder_scan": (a5_folder_scan, A5),
+    "A5_headers": (a5_headers, A5_HEADERS),
     "A6_packets": (a6_packets, A6),
     "A7_dispatch": (a7_dispatch, "SELECT event_id, user_id, event_type, value FROM events"),
     "A8_feature_sink": (a8_feature_sink, A8),
