@@ -13,8 +13,7 @@ from pyspark.sql import types as T
 
 from tidewatch.functions.labels import risk_target, stage_name, stage_target
 from tidewatch.operators.heads import (
-    ForecastModel, LinearScore, StageScore, Transition, fit_logistic, fit_stages, list_values,
-    no_stages,
+    ForecastModel, LinearScore, StageScore, Transition, fit_scores, list_values, no_stages,
 )
 from tidewatch.operators.scan import drop_halo, with_halo
 from tidewatch.operators.series import latest_context, sequences
@@ -100,26 +99,15 @@ def _pooled(k: int) -> Column:
                        lambda best, state: F.zip_with(best, state, lambda a, b: F.greatest(a, b)))
 
 
-def fit_risk(inputs: DataFrame, horizon: int, max_iter: int = 100) -> tuple[LinearScore, ...]:
-    """One risk score per step, each trained with the labels of its own step."""
-    return tuple(fit_logistic(inputs.where(F.col("step") == k), "x", "y", max_iter=max_iter)
-                 for k in range(1, horizon + 1))
-
-
-def fit_stage(inputs: DataFrame, horizon: int, max_iter: int = 100) -> tuple[StageScore, ...]:
-    """One stage score per step, each trained with the labels of its own step."""
-    return tuple(fit_stages(inputs.where(F.col("step") == k), "x", "y_stage", max_iter=max_iter)
-                 for k in range(1, horizon + 1))
-
-
 def fit_heads(windows: DataFrame, transition: Transition, length: int, horizon: int, keys: Sequence[str] = (),
               semantics: str = "stage_id", max_iter: int = 100) -> tuple[tuple[LinearScore, ...], tuple[StageScore, ...]]:
+    """Scores of every step, each trained with the labels of its own step, all in the same passes."""
     pairs = supervised(windows, length, horizon, keys)
     # Labels of unknown meaning still tell attack from benign; only known stage ids train stages.
     known = "binary_attack" if semantics == "unknown" else semantics
     inputs = staged(head_inputs(pairs, transition, horizon, keys, known))
-    stages = fit_stage(inputs, horizon, max_iter) if known == "stage_id" else (no_stages(transition.size),) * horizon
-    return fit_risk(inputs, horizon, max_iter), stages
+    risk, stages = fit_scores(inputs, "x", "y", "y_stage" if known == "stage_id" else None, range(1, horizon + 1), max_iter=max_iter)
+    return risk, stages or (no_stages(transition.size),) * horizon
 
 
 def _sigmoid(margin: np.ndarray) -> np.ndarray:

@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -151,55 +150,177 @@ def fit_transition(windows: DataFrame, lags: int = 1, ridge: float = 1.0, keys:
     return Transition(lags, tuple(map(tuple, weights.tolist())))
 
 
-def _class_counts(df: DataFrame, label: str) -> dict[float, int]:
-    # At most one row per stage id.
-    return {row[0]: row[1] for row in df.groupBy(label).count().collect() if row[0] is not None}
+@dataclass(frozen=True)
+class Problem:
+    """A regression to fit: class probabilities of the rows whose `step` is `step` (all rows, where it is None).
+
+    `classes` are the labels with a margin of their own. With `reference`, all other rows have the margin 0 (two
+    classes, one margin); else the classes share all rows. `weights` holds a weight per label.
+    """
+
+    name: str
+    label: str
+    classes: tuple[int, ...]
+    reference: bool
+    step: int | None = None
+    weights: tuple[tuple[int, float], ...] = ()
+
+
+def _upper(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n)
+
+
+def _terms(z: np.ndarray, label: np.ndarray, problem: Problem, theta: np.ndarray) -> np.ndarray:
+    """Loss, gradient and upper Hessian of some rows, in one list; theta is (classes, 1 + size)."""
+    known = ~np.isnan(label)
+    z, label = z[known], label[known].astype(np.int64)
+    weight = np.ones(len(label))
+    for value, w in problem.weights:
+        weight[label == value] = w
+    margin = z @ theta.T
+    top = margin.max(axis=1, initial=0.0 if problem.reference else -np.inf) if len(z) else np.zeros(0)
+    e = np.exp(margin - top[:, None])
+    total = e.sum(axis=1) + (np.exp(-top) if problem.reference else 0.0)
+    share = e / total[:, None]
+    own = label[:, None] == np.asarray(problem.classes)[None, :]
+    loss = float(weight @ (top + np.log(total) - (margin * own).sum(axis=1)))
+    gradient = ((share - own) * weight[:, None]).T @ z
+    count, width = theta.shape
+    hessian = np.empty((count, width, count, width))
+    for c in range(count):
+        for d in range(c, count):
+            block = (z * (weight * share[:, c] * ((c == d) - share[:, d]))[:, None]).T @ z
+            hessian[c, :, d, :], hessian[d, :, c, :] = block, block.T
+    return np.concatenate([[loss], gradient.ravel(), hessian.reshape(count * width, -1)[_upper(count * width)]])
+
+
+def _summed(rows: DataFrame, features: str, size: int, asked: Sequence[tuple[Problem, np.ndarray]]) -> list[np.ndarray]:
+    """`_terms` of every asked problem over all rows, by one aggregate.
+
+    Each task adds up its own batches; tables of a fixed size are then grouped by cell.
+    """
+    labels = list(dict.fromkeys(p.label for p, _ in asked))
+    stepped = any(p.step is not None for p, _ in asked)
+    columns = [F.col(features), *[F.col(c).cast("double") for c in labels], *([F.col("step").cast("long")] if stepped else [])]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros(1 + theta.size + theta.size * (theta.size + 1) // 2) for _, theta in asked]
+        for batch in batches:
+            z = np.column_stack([np.ones(batch.num_rows), list_values(batch.column(0), size)])
+            values = {name: batch.column(k + 1).to_numpy(zero_copy_only=False).astype(float) for k, name in enumerate(labels)}
+            steps = batch.column(len(labels) + 1).to_numpy(zero_copy_only=False) if stepped else None
+            for total, (problem, theta) in zip(totals, asked):
+                mine = slice(None) if problem.step is None else steps == problem.step
+                total += _terms(z[mine], values[problem.label][mine], problem, theta)
+        for k, total in enumerate(totals):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), k, np.int32)), pa.array(np.arange(len(total), dtype=np.int32)),
+                                              pa.array(total)], names=["problem", "cell", "value"])
+
+    parts = rows.select(*columns).mapInArrow(add_up, "problem int, cell int, value double")
+    out = [np.zeros(1 + theta.size + theta.size * (theta.size + 1) // 2) for _, theta in asked]
+    cells = parts.groupBy("problem", "cell").agg(F.sum("value").alias("value")).toArrow()
+    for k, total in enumerate(out):
+        mine = cells["problem"].to_numpy() == k
+        total[cells["cell"].to_numpy()[mine]] = cells["value"].to_numpy()[mine]
+    return out
+
+
+def newton(rows: DataFrame, features: str, size: int, problems: Sequence[Problem], max_iter: int = 100,
+           tol: float = 1e-8) -> list[np.ndarray]:
+    """Coefficients (classes, 1 + size; intercept first) of all problems at once, by Newton's method.
+
+    The sum of log losses plus half the squared coefficients (not the intercepts) is made least. Each step takes one
+    aggregate of all unfinished problems' losses, gradients and Hessians; a step that doesn't lower its problem's loss is
+    halved. A problem is finished when no part of its gradient exceeds `tol` times one more than its rows' loss at zero.
+    """
+    count = [len(p.classes) for p in problems]
+    point = [np.zeros((c, size + 1)) for c in count]
+    kept: list[tuple | None] = [None] * len(problems)  # (theta, loss, direction) of the best point so far
+    scale, pace, open_ones = [0.0] * len(problems), [1.0] * len(problems), list(range(len(problems)))
+    for _ in range(max_iter):
+        if not open_ones:
+            break
+        found = _summed(rows, features, size, [(problems[k], point[k]) for k in open_ones])
+        still = []
+        for k, values in zip(open_ones, found):
+            theta, n = point[k], point[k].size
+            penalty = np.tile([0.0] + [1.0] * size, count[k])
+            loss = values[0] + 0.5 * float(penalty @ theta.ravel() ** 2)
+            gradient = values[1:1 + n] + penalty * theta.ravel()
+            scale[k] = scale[k] or 1.0 + values[0]
+            if kept[k] is not None and not loss <= kept[k][1] + 1e-12 * scale[k]:
+                pace[k] /= 2
+                if pace[k] > 1e-9:
+                    point[k] = kept[k][0] + pace[k] * kept[k][2]
+                    still.append(k)
+                continue
+            hessian = np.zeros((n, n))
+            hessian[_upper(n)] = values[1 + n:]
+            hessian = hessian + np.triu(hessian, 1).T + np.diag(penalty)
+            direction = -np.linalg.lstsq(hessian, gradient, rcond=1e-13)[0].reshape(theta.shape)
+            kept[k], pace[k] = (theta, loss, direction), 1.0
+            if np.abs(gradient).max() > tol * scale[k]:
+                point[k] = theta + direction
+                still.append(k)
+        open_ones = still
+    return [k[0] if k else p for k, p in zip(kept, point)]
+
+
+def _label_counts(df: DataFrame, label: str, stepped: bool) -> dict[int | None, dict[int, int]]:
+    # At most one row per step and stage id.
+    by = ["step", label] if stepped else [label]
+    out: dict[int | None, dict[int, int]] = {}
+    for row in df.where(F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double"))).groupBy(*by).count().collect():
+        out.setdefault(row[0] if stepped else None, {})[int(row[-2])] = row[-1]
+    return out
 
 
 def _bounded(intercept: float) -> float:
     return float(np.clip(intercept, -CERTAIN, CERTAIN))
 
 
-def fit_logistic(df: DataFrame, features: str, label: str, balanced: bool = False, need_both: bool = False,
-                 max_iter: int = 1000) -> LinearScore:
-    """Logistic regression with unit inverse penalty; `balanced` gives both classes equal weight."""
-    counts = _class_counts(df, label)
-    total = sum(counts.values())
-    if len(counts) < 2:
-        if need_both or not total:
-            raise ValueError("logistic regression requires both benign and attack labels")
-        size = len(df.select(features).first()[0])
-        return LinearScore((0.0,) * size, CERTAIN if 1 in counts else -CERTAIN)
-    weight = F.lit(1.0)
-    if balanced:
-        weight = F.when(F.col(label) == 1, F.lit(total / (2.0 * counts[1]))).otherwise(F.lit(total / (2.0 * counts[0])))
-    rows = df.where(F.col(label).isNotNull()).select(
-        array_to_vector(features).alias("x"), F.col(label).cast("double").alias("y"), weight.alias("w"))
-    fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=max_iter, regParam=1.0 / total,
-                                elasticNetParam=0.0, standardization=False, tol=1e-6).fit(rows)
-    return LinearScore(tuple(map(float, fitted.coefficients)), _bounded(fitted.intercept))
-
-
-def fit_stages(df: DataFrame, features: str, label: str, max_iter: int = 100) -> StageScore:
-    """Multinomial logistic regression over the stages; stages never seen get no weight."""
-    counts = _class_counts(df, label)
-    if not counts:
-        raise ValueError("stage fitting requires labelled rows")
-    size = len(df.select(features).first()[0])
-    coef = np.zeros((len(STAGES), size))
-    intercept = np.full(len(STAGES), NEVER)
-    if len(counts) == 1:
-        intercept[int(next(iter(counts)))] = 0.0
-    else:
-        rows = df.where(F.col(label).isNotNull()).select(
-            array_to_vector(features).alias("x"), F.col(label).cast("double").alias("y"))
-        fitted = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", maxIter=max_iter,
-                                    regParam=1.0 / sum(counts.values()), standardization=False).fit(rows)
-        coef[:fitted.numClasses] = fitted.coefficientMatrix.toArray()
-        for stage, value in enumerate(fitted.interceptVector.toArray()):
-            if stage in counts:
-                intercept[stage] = float(np.clip(value, NEVER, -NEVER))
-    return StageScore(tuple(map(tuple, coef.tolist())), tuple(intercept.tolist()))
+def fit_scores(df: DataFrame, features: str = "x", risk: str | None = "y", stage: str | None = None, steps: Sequence[int | None] = (None,),
+               balanced: bool = False, need_both: bool = False, max_iter: int = 100) -> tuple[tuple[LinearScore, ...], tuple[StageScore, ...]]:
+    """A risk score and a stage score per step, all fitted by the same passes over `df`; unit inverse penalty.
+
+    `balanced` gives both classes of a risk equal weight. Labels that are missing train nothing. One class alone gives a certain
+    score; stages never seen get no weight.
+    """
+    stepped = steps[0] is not None
+    size = len((df.select(features).first() or [()])[0])
+    counts = {label: _label_counts(df, label, stepped) for label in (risk, stage) if label}
+    problems = []
+    for step in steps:
+        if risk:
+            seen = counts[risk].get(step, {})
+            if len(seen) < 2 and (need_both or not seen):
+                raise ValueError("logistic regression requires both benign and attack labels")
+            total = sum(seen.values())
+            weights = tuple((v, total / (2.0 * n)) for v, n in seen.items()) if balanced else ()
+            if len(seen) > 1:
+                problems.append(Problem(f"risk {step}", risk, (1,), True, step, weights))
+        if stage:
+            seen = counts[stage].get(step, {})
+            if not seen:
+                raise ValueError("stage fitting requires labelled rows")
+            if len(seen) > 1:
+                problems.append(Problem(f"stage {step}", stage, tuple(sorted(seen)), False, step))
+    fitted = dict(zip([p.name for p in problems], newton(df, features, size, problems, max_iter))) if problems else {}
+    risks, stages = [], []
+    for step in steps:
+        if risk:
+            theta = fitted.get(f"risk {step}")
+            if theta is None:
+                risks.append(LinearScore((0.0,) * size, CERTAIN if 1 in counts[risk][step] else -CERTAIN))
+            else:
+                risks.append(LinearScore(tuple(theta[0, 1:].tolist()), _bounded(theta[0, 0])))
+        if stage:
+            coef, intercept = np.zeros((len(STAGES), size)), np.full(len(STAGES), NEVER)
+            seen = sorted(counts[stage][step])
+            theta = fitted.get(f"stage {step}", np.zeros((1, size + 1)))
+            coef[seen], intercept[seen] = theta[:, 1:], np.clip(theta[:, 0] - theta[:, 0].mean(), NEVER, -NEVER)
+            stages.append(StageScore(tuple(map(tuple, coef.tolist())), tuple(intercept.tolist())))
+    return tuple(risks), tuple(stages)
 
 
 def no_stages(size: int) -> StageScore:
@@ -209,7 +330,7 @@ def no_stages(size: int) -> StageScore:
 
 def fit_baseline(df: DataFrame, features: str = "features", label: str = "y") -> LinearScore:
     """Class-balanced logistic regression from the current window to attack or not."""
-    return fit_logistic(df, features, label, balanced=True, need_both=True)
+    return fit_scores(df, features, label, balanced=True, need_both=True)[0][0]
 
 
 def predict(df: DataFrame, model: LinearScore, features: str = "features") -> DataFrame:
