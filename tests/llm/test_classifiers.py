@@ -108,3 +108,75 @@ def test_slices_of_features_agree():
     texts = pa.array(["the word the word", None, "x # y"])
     rows = [f for f in quality.features(texts, pa.array([1, 2, None]))]
     assert sum(end - row for row, end, *_ in rows) == 3 and len(rows[0][2]) == 5
+
+
+def test_model_is_cut_by_occurrences(spark):
+    rows = [(k, "aa bb cc dd ee"[: 3 * (1 + k % 5) - 1], "x" if k % 2 else "y") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole, small = langid.learn(df), langid.learn(df, entries=12)
+    assert whole.languages == small.languages == ("x", "y")
+    assert 0 < sum(map(len, small.hashes)) <= 12 < sum(map(len, whole.hashes))
+    for order, hashes in enumerate(small.hashes):
+        assert set(hashes.tolist()) <= set(whole.hashes[order].tolist())
+
+
+def brute_language(text, counts, languages):
+    """Word-first back-off by plain dictionaries: counts[rank][entry] is a list by language."""
+    import math
+
+    sums = {r: [sum(c[k] for c in counts[r].values()) + langid._SMOOTH * len(counts[r]) for k in range(len(languages))] for r in counts}
+
+    def weights(rank, entry):
+        logs = [math.log((counts[rank][entry][k] + langid._SMOOTH) / sums[rank][k]) for k in range(len(languages))]
+        return [v - sum(logs) / len(logs) for v in logs]
+
+    words = text.split()
+    total = [0.0] * len(languages)
+    for word in words:
+        found = [weights(0, word)] if word in counts[0] else []
+        padded = f" {word} "
+        for n in range(langid.LONGEST, 0, -1):
+            if not found:
+                grams = [padded[i:i + n] for i in range(len(padded) - n + 1)]
+                found = [weights(n, g) for g in grams if g in counts[n] and (n > 1 or g != " ")]
+        for v in found:
+            total = [t + x / len(found) for t, x in zip(total, v)]
+    scaled = [math.exp((t - max(total)) / math.sqrt(max(len(words), 1))) for t in total]
+    return languages[scaled.index(max(scaled))], max(scaled) / sum(scaled)
+
+
+def test_scores_equal_a_plain_back_off(spark):
+    import random
+
+    rng = random.Random(2)
+    alphabet = {"x": "abcd", "y": "cdef", "z": "fgha"}
+    rows = [(k, " ".join("".join(rng.choice(alphabet[lang]) for _ in range(rng.randint(1, 4))) for _ in range(8)), lang)
+            for k, lang in enumerate(rng.choice("xyz") for _ in range(120))]
+    counts = {r: {} for r in range(langid.LONGEST + 1)}
+    languages = ["x", "y", "z"]
+    for _, text, lang in rows:
+        for word in text.split():
+            padded = f" {word} "
+            entries = [(0, word)] + [(n, padded[i:i + n]) for n in range(1, langid.LONGEST + 1) for i in range(len(padded) - n + 1)]
+            for rank, entry in entries:
+                if rank != 1 or entry != " ":
+                    counts[rank].setdefault(entry, [0, 0, 0])[languages.index(lang)] += 1
+    counts = {r: {e: c for e, c in found.items() if sum(c) >= langid.LEAST_COUNT} for r, found in counts.items()}
+    asked = [(k, t) for k, (_, t, _) in enumerate(rows)] + [(500, "abgh ccdd zzz aaaaaaa"), (501, "qqq fgh"), (502, "a"), (503, "ghghgh efef")]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    out = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(asked, "doc_id long, text string"), model, "doc_id").collect()}
+    for key, text in asked:
+        lang, score = brute_language(text, counts, languages)
+        assert out[key][1] == pytest.approx(score, rel=1e-4) and (out[key][0] == lang or score < 0.5), text
+
+
+def test_filters_keep_all_columns_whatever_their_names(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = docs.withColumns({"_told_lang": F.lit(1), "_told_score": F.lit("s"), "_told_good": F.lit(2), "_text": F.lit(3), "_chars": F.lit(4), "a.b": F.lit(5)})
+    odd = odd.unionByName(odd.limit(3)).unionByName(odd.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(None).cast("string")))
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    told, good = langid.with_known_language(odd), quality.good_documents(odd, labels)
+    assert told.columns == good.columns == odd.columns
+    plain = langid.with_known_language(docs)
+    assert set(r[0] for r in told.select("doc_id").collect()) == set(r[0] for r in plain.select("doc_id").collect())
+    assert 0 < good.count() <= odd.count() and told.where("text IS NULL").count() == 0

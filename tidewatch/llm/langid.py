@@ -11,13 +11,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.numbers import quoted
 from tidewatch.llm.rules import hashed_sample
-from tidewatch.llm.text import mix, row_bounds, span_hashes, spans, utf8_slices
+from tidewatch.llm.text import free_names, mix, quoted_name, row_bounds, span_hashes, spans, utf8_slices
+from tidewatch.session import discard, staged
 
 UNDECIDED = "und"
 SAMPLE = 12_000  # labelled documents to learn from, about
 ENTRIES = 400_000  # words and n-grams of a model at most, the most frequent
 LEAST_COUNT = 3
+OFTEN = 1_000  # occurrences from which entries aren't told apart by their number
 LONGEST = 5
 _SMOOTH = 0.5
 _GAP = np.ones(256, bool)  # bytes that end a word: all but ASCII letters and bytes of other characters
@@ -106,30 +109,39 @@ def _counted(sample: DataFrame) -> DataFrame:
     return sample.select("lang", "text").mapInArrow(work, "lang string, rank int, hash long, n long")
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> LanguageModel:
+def learn(labelled: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES, least: int = LEAST_COUNT) -> LanguageModel:
     """A model from rows with doc_id, text and lang; rows without text or lang are left out.
 
-    About `sample` documents at most, chosen by a hash of the id, are counted as a Spark job; the `entries` most frequent
-    words and n-grams (3 times or more) reach the driver, so a model is 400,000 times (8 + 4 * languages) bytes at most.
+    About `sample` documents at most, chosen by a hash of the id, are counted as a Spark job. Words and n-grams that occur
+    `least` times or more enter the model; where that makes more than `entries`, the smallest larger number of
+    occurrences that doesn't. The driver gets one row of 12 + 8 * languages bytes for each.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = hashed_sample(known.select("doc_id", "text", "lang"), "doc_id", sample)
-    counts = _counted(chosen).groupBy("rank", "hash", "lang").agg(F.sum("n").alias("n"))
-    entry = counts.groupBy("rank", "hash").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    rows = entry.where(F.col("total") >= LEAST_COUNT).orderBy(F.desc("total"), "rank", "hash").limit(entries)
-    table = rows.select("rank", "hash", F.explode("by").alias("b")).select("rank", "hash", "b.lang", "b.n").toPandas()
-    languages = sorted(table["lang"].unique())
-    if not languages:
+    counts = _counted(chosen)
+    languages = sorted(row[0] for row in known.select("lang").distinct().collect())
+    by = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).cast("long") for lang in languages]
+    table = staged(counts.groupBy("rank", "hash").agg(F.sum("n").alias("total"), F.array(*by).cast("array<long>").alias("by")))
+    often = F.least(F.col("total"), F.lit(OFTEN))
+    frequent = table.where(F.col("total") >= least)
+    sizes = sorted(frequent.groupBy(often.alias("times")).count().collect(), reverse=True)  # OFTEN rows at most
+    kept = np.cumsum([row["count"] for row in sizes])
+    cut = min((row["times"] for row, n in zip(sizes, kept) if n <= entries), default=OFTEN + 1)
+    found = frequent.where(often >= cut).select("rank", "hash", "by").toArrow().combine_chunks()
+    discard(table)
+    if not found.num_rows:
         return LanguageModel(())
-    lang = {v: k for k, v in enumerate(languages)}
+    rank, hashed = found["rank"].to_numpy(), found["hash"].to_numpy().astype(np.uint64)
+    counted = pc.list_flatten(found["by"]).to_numpy().reshape(len(rank), -1).astype(float)
+    seen = counted.sum(0) > 0
+    languages, counted = [lang for lang, some in zip(languages, seen) if some], counted[:, seen]
     hashes, weights = [], []
     for order in range(LONGEST + 1):
-        part = table[table["rank"] == order]
-        unique, at = np.unique(part["hash"].to_numpy(np.int64).astype(np.uint64), return_inverse=True)
-        counted = np.full((len(unique), len(languages)), _SMOOTH)
-        np.add.at(counted, (at, part["lang"].map(lang).to_numpy(int)), part["n"].to_numpy(float))
-        logs = np.log(counted / counted.sum(0))
-        hashes.append(unique)
+        mine = np.flatnonzero(rank == order)
+        mine = mine[np.argsort(hashed[mine])]
+        smooth = counted[mine] + _SMOOTH
+        logs = np.log(smooth / smooth.sum(0))
+        hashes.append(hashed[mine])
         weights.append((logs - logs.mean(1, keepdims=True)).astype(np.float32))
     return LanguageModel(tuple(languages), tuple(hashes), tuple(weights))
 
@@ -164,14 +176,18 @@ def identify(docs: DataFrame, model: LanguageModel, *keep: str, names: tuple[str
     text with letters of which nothing is known gets the first language and an even share. Without
     languages in the model all are `und`. Rows are kept as they are, repeated and with null ids.
     """
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    # Plain names on the way in: columns with a dot in theirs don't pass mapInArrow.
+    inputs = [*keep] if "text" in keep else [*keep, "text"]
+    chosen = docs.select(*[quoted(c).alias(f"c{k}") for k, c in enumerate(inputs)])
+    place = inputs.index("text")
+    kinds = ", ".join(f"{quoted_name(c)} {f.dataType.simpleString()}" for c, f in zip(keep, chosen.schema))
     languages = model.languages
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(place)
             total = np.zeros((batch.num_rows, max(len(languages), 1)))
             words = np.zeros(batch.num_rows)
             lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
@@ -188,13 +204,18 @@ def identify(docs: DataFrame, model: LanguageModel, *keep: str, names: tuple[str
             best = scaled.argmax(1)
             share = np.where(lettered, 1.0 / scaled.sum(1), 0.0) if languages else np.zeros(batch.num_rows)
             told = [languages[b] if ok and languages else UNDECIDED for b, ok in zip(best.tolist(), lettered.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(told, pa.string()), pa.array(share)], names=[*keep, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(told, pa.string()), pa.array(share)], names=[*keep, *names])
 
-    return docs.select(*keep, "text").mapInArrow(work, f"{kinds}, `{names[0]}` string, `{names[1]}` double")
+    return chosen.mapInArrow(work, ", ".join(k for k in (kinds, f"{quoted_name(names[0])} string", f"{quoted_name(names[1])} double") if k))
 
 
 def with_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose language is told with a score of at least `least`, learned from their own `lang`."""
+    """The rows of `docs` whose language is told with a score of at least `least`, learned from their own `lang`.
+
+    Texts that are null or have no letter go, and so do all where no row tells a language. Rows stay as they are, repeated
+    and with null ids, with all their columns, whatever their names.
+    """
     model = learn(docs.where(~is_held_out(F.col("doc_id"))))
-    found = identify(docs, model, *docs.columns, names=("_told_lang", "_told_score"))
-    return found.where((F.col("_told_lang") != UNDECIDED) & (F.col("_told_score") >= least)).select(*docs.columns)
+    told, score = free_names(docs, "_told_lang", "_told_score")
+    found = identify(docs, model, *docs.columns, names=(told, score))
+    return found.where((F.col(told) != UNDECIDED) & (F.col(score) >= least)).drop(told, score)

@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.numbers import quoted
 from tidewatch.llm.langid import is_held_out
 from tidewatch.llm.rules import SHARES, hashed_sample, slice_statistics
-from tidewatch.llm.text import SPACE, mix, span_hashes, spans, utf8_slices
+from tidewatch.llm.text import SPACE, free_names, mix, quoted_name, span_hashes, spans, utf8_slices
 
 SAMPLE = 8_000  # labelled documents to learn from, about
 BUCKETS = 1 << 13  # for hashed words
@@ -119,7 +120,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
     About `sample` labelled documents at most, chosen by a hash of the id and not held out, send the driver their distinct
     word buckets (of 8,192) and statistics; texts stay with the tasks.
     """
-    known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "label")
+    known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", F.col("label").cast("int").alias("label"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
     chosen = hashed_sample(known, "doc_id", sample)  # at most about `sample` pairs of numbers
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
                                                  names=["doc_id", "label", "words", "statistics"])
 
     rows = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars")).join(F.broadcast(chosen), "doc_id").select(
-        "doc_id", "label", "text", "n_chars").mapInArrow(work, "doc_id long, label int, words array<int>, statistics array<double>")
+        "doc_id", "label", "text", "n_chars").mapInArrow(work, f"doc_id {kind}, label int, words array<int>, statistics array<double>")
     table = rows.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     if not table.num_rows:
         return fit([], np.zeros((0, len(STATISTICS))), np.zeros(0))
@@ -149,24 +151,31 @@ def scores(docs: DataFrame, machine: FactorisationMachine, *keep: str, names: tu
     Null and empty texts are scored by their statistics, all zero. Rows are kept as they are, repeated and with null ids; only the
     text and n_chars are inputs.
     """
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    # Plain names on the way in: columns with a dot in theirs don't pass mapInArrow.
+    names_in = [*keep] if "text" in keep else [*keep, "text"]
+    inputs = docs.select(*[quoted(c).alias(f"c{k}") for k, c in enumerate(names_in)], F.col("n_chars").cast("double").alias("chars"))
+    place = names_in.index("text")
+    kinds = [f"{quoted_name(c)} {f.dataType.simpleString()}" for c, f in zip(keep, inputs.schema)]
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for row, end, rows, buckets, statistics in features(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
+            for row, end, rows, buckets, statistics in features(batch.column(place), batch.column(batch.num_columns - 1)):
                 inputs = _joined((rows, buckets), _scaled(statistics, machine.mean, machine.scale))
                 out[row:end] = _sigmoid(machine.raw(*inputs, end - row))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out), pa.array((out >= ACCEPTED).astype(np.int32))],
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(out), pa.array((out >= ACCEPTED).astype(np.int32))],
                                              names=[*keep, *names])
 
-    inputs = docs.select(*keep, F.col("text").alias("_text"), F.col("n_chars").cast("double").alias("_chars"))
-    return inputs.mapInArrow(work, f"{kinds}, `{names[0]}` double, `{names[1]}` int")
+    return inputs.mapInArrow(work, ", ".join([*kinds, f"{quoted_name(names[0])} double", f"{quoted_name(names[1])} int"]))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that the machine, learned from `labels` (doc_id, label), predicts to be good."""
-    found = scores(docs, learn(docs, labels), *docs.columns, names=("_told_score", "_told_good"))
-    return found.where(F.col("_told_good") == 1).select(*docs.columns)
+    """The rows of `docs` that the machine, learned from `labels` (doc_id, label), predicts to be good.
+
+    Null and empty texts are judged by their statistics, all zero. Rows stay as they are, repeated and with null ids, with all their
+    columns, whatever their names.
+    """
+    score, good = free_names(docs, "_told_score", "_told_good")
+    return scores(docs, learn(docs, labels), *docs.columns, names=(score, good)).where(F.col(good) == 1).drop(score, good)

@@ -130,3 +130,17 @@ def row_bounds(rows: np.ndarray, n: int) -> np.ndarray:
 
 def per_row(rows: np.ndarray, n: int, weights=None) -> np.ndarray:
     return np.bincount(rows, weights, n).astype(np.int64) if len(rows) else np.zeros(n, np.int64)
+
+
+def quoted_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_names(table, *wanted: str) -> list[str]:
+    """The wanted column names, each made longer until `table` has no such column."""
+    out = []
+    for name in wanted:
+        while name.lower() in {c.lower() for c in (*table.columns, *out)}:
+            name += "_"
+        out.append(name)
+    return out
