@@ -257,7 +257,11 @@ def newton(rows: DataFrame, features: str, size: int, problems: Sequence[Problem
             hessian = np.zeros((n, n))
             hessian[_upper(n)] = values[1 + n:]
             hessian = hessian + np.triu(hessian, 1).T + np.diag(penalty)
-            direction = -np.linalg.lstsq(hessian, gradient, rcond=1e-13)[0].reshape(theta.shape)
+            # Features of very different sizes are brought to one before the equations are solved. The last term
+            # settles what nothing depends on, the same number added to all classes' intercepts.
+            unit = 1.0 / np.sqrt(np.maximum(np.diag(hessian), 1e-300))
+            scaled = hessian * np.outer(unit, unit) + 1e-12 * np.eye(n)
+            direction = -(unit * np.linalg.solve(scaled, unit * gradient)).reshape(theta.shape)
             kept[k], pace[k] = (theta, loss, direction), 1.0
             if np.abs(gradient).max() > tol * scale[k]:
                 point[k] = theta + direction
