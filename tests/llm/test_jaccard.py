@@ -96,7 +96,56 @@ def test_one_of_each_group_stays(spark, words):
     rows = [(5, base, "s", 1), (3, base + " more", "s", 2), (9, words(30, ["other", "text", "of", "its", "own"]), "s", 3), (None, base, "s", 4), (7, None, "s", 5)]
     kept = J.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string, source string, component_id int"))
     assert kept.columns == ["doc_id", "text", "source", "component_id"]
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == [3, 7, 9, None]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [3, 7, 9]
+
+
+def test_rows_of_equal_and_missing_ids_leave_one(spark, words):
+    base, other = words(60, [f"w{k}" for k in range(300)]), words(60, [f"v{k}" for k in range(300)])
+    rows = [(None, base), (None, base), (None, base + " more"), (4, other), (4, other + " more"), (4, other), (4, words(40, ["a", "b", "c", "d", "e"])), (None, ""), (None, ""),
+            (8, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id int, text string, _class string")
+    kept = J.distinct_documents(df)
+    assert kept.columns == df.columns
+    out = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+    assert len(out) == 1 + 2 + 3 and [k for k, _ in out] == ["4", "4", "8", "None", "None", "None"]
+    texts = [t for _, t in out]
+    assert sum(t.startswith(base[:30]) for t in texts) == 1 and sum(t.startswith(other[:30]) for t in texts) == 1
+
+
+@pytest.mark.parametrize("kind", ["int", "long"])
+def test_rows_without_id_link_others(spark, words, kind):
+    base = words(60, [f"w{k}" for k in range(300)]).split()
+    bridge = base + ["p1", "p2", "p3"]
+    rows = [(1, " ".join(base)), (None, " ".join(bridge)), (2, " ".join(bridge + ["q1", "q2", "q3"])), (None, "alone and far from all of them")]
+    expected = brute(rows, 3, 90, 100)
+    assert [e[2] for e in expected if e[0] == 2] == [1]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    out = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(df, n=3, num=90, den=100).collect()), key=str)
+    assert out == expected
+
+
+def test_forest_joins_what_all_pairs_join(words):
+    rng = np.random.default_rng(5)
+    for trial in range(20):
+        base = np.unique(mix(rng.integers(0, 1 << 62, 80).astype(np.uint64)))
+        members = []
+        for k in range(60):
+            s = np.unique(np.concatenate([base[rng.random(len(base)) > 0.04], mix(rng.integers(0, 1 << 62, int(rng.integers(0, 8))).astype(np.uint64))]))
+            members.append({"set_no": k, "component": k // 2, "n_shingles": len(s), "shingles": s, "bits": J.bitmap(s)})
+        for left, right in ((members, None), (members[:30], members[30:])):
+            def top(links):
+                up = {m["component"]: m["component"] for m in members}
+                def find(x):
+                    while up[x] != x:
+                        x = up[x]
+                    return x
+                for a, b in links:
+                    up[find(a // 2)] = find(b // 2)
+                return [sorted(c for c in up if find(c) == find(d)) for d in up]
+            pairs = [(a["set_no"], b["set_no"]) for a in left for b in (right or left) if a["set_no"] < b["set_no"]
+                     and 190 * len(np.intersect1d(a["shingles"], b["shingles"])) >= 90 * (len(a["shingles"]) + len(b["shingles"]))]
+            found = J.forest(left, right, 90, 100)
+            assert top(found) == top(pairs) and len(found) < 30 and {tuple(sorted(f)) for f in found} <= set(pairs)
 
 
 @pytest.mark.parametrize("links", [[], [(1, 1)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(30)] + [(50, 51), (51, 50)],

@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.graph import components
-from tidewatch.llm.text import SPACE, gram_hashes, mix, row_bounds, span_hashes, spans, utf8_slices
-from tidewatch.session import staged
+from tidewatch.llm.text import SPACE, free_names, gram_hashes, mix, row_bounds, span_hashes, spans, utf8_slices
+from tidewatch.session import discard, staged
 
 BLOCK = 512  # documents of a block of one tree, about; larger trees are many blocks, compared pairwise
+BLOCK_SHINGLES = 1 << 19  # 8 bytes each; so many more make another block
 TWIG = 16  # documents under a lowest inner node
 BROADCAST_IDS = 500_000  # so many ids (8 bytes each) are sent to all tasks at most
 _MIN_BITS = 512
@@ -97,7 +98,8 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "set_no", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, set_no long, keys array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_shingles long, set_no long, keys array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -107,10 +109,10 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([class_number(s) if len(s) else None for s in found], pa.int64()),
                  pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64())),
-                 *(pa.array([bitmap(s, share) if len(s) else None for s in found], pa.binary()) for share in (FINE, ROUGH))],
-                names=["set_no", "shingles", "fine", "rough"])
+                 pa.array([bitmap(s, ROUGH) if len(s) else None for s in found], pa.binary())],
+                names=["set_no", "shingles", "rough"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "set_no long, shingles array<long>, fine binary, rough binary")
+    return docs.select("doc_id", "text").mapInArrow(work, "set_no long, shingles array<long>, rough binary")
 
 
 # --- walking two trees ------------------------------------------------------------------------
@@ -126,6 +128,7 @@ class _Tree:
         self.ids = np.array([m["set_no"] for m in members], np.int64)
         self.group = np.array([m["component"] for m in members], np.int64)
         self.size = np.array([m["n_shingles"] for m in members], np.int64)
+        self.sets = [m["shingles"] for m in members] if "shingles" in members[0] else None
         self.map = np.stack([fold(m["bits"], bits) for m in members])
         # Shingles beyond one per bit: what a bitmap may hide at most.
         self.hidden = self.size - np.bitwise_count(self.map).sum(1).astype(np.int64)
@@ -147,15 +150,14 @@ def fold(bits: bytes, wanted: int) -> np.ndarray:
     return words
 
 
-def walk(left: list[dict], right: list[dict] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of set numbers of different components that may overlap enough, and by how much more than needed.
+def walk(left: list[dict], right: list[dict] | None, num: int, den: int) -> Iterator[tuple[_Tree, _Tree, np.ndarray, np.ndarray, np.ndarray]]:
+    """(tree, tree, places, places, spare): members of different components that may overlap enough, and by how much more than needed.
 
-    From two trees, or one with itself.
+    From two trees, or one with itself; a pair of twigs at a time, so the pairs held are few.
     """
     bits = min(len(m["bits"]) for m in (*left, *(right or ()))) * 8
     a = _Tree(left, bits)
     b = _Tree(right, bits) if right is not None else a
-    out_a, out_b, out_spare = [], [], []
     for i in range(len(a.twig_map)):
         js = np.arange(i if right is None else 0, len(b.twig_map))
         # Largest possible overlap of anything under the two nodes, against the least that is needed.
@@ -173,57 +175,111 @@ def walk(left: list[dict], right: list[dict] | None, num: int, den: int) -> tupl
             p, q = np.nonzero(good)
             if right is None and j == i:
                 p, q = p[p < q], q[p < q]
-            out_a.append(a.ids[x][p])
-            out_b.append(b.ids[y][q])
-            out_spare.append(spare[p, q])
-    if not out_a:
-        return (np.zeros(0, np.int64),) * 3
-    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_spare)
+            if len(p):
+                yield a, b, p + a.first[i], q + b.first[j], spare[p, q]
+
+
+def promising(left: list[dict], right: list[dict] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each member's pair with most to spare, as (set, other, spare)."""
+    kept = (np.zeros(0, np.int64),) * 3
+    for a, b, p, q, spare in walk(left, right, num, den):
+        kept = tuple(map(np.concatenate, zip(kept, (a.ids[p], b.ids[q], spare), (b.ids[q], a.ids[p], spare))))
+        if len(kept[0]) > 8 * BLOCK:
+            kept = _best(*kept)
+    return _best(*kept)
+
+
+def forest(left: list[dict], right: list[dict] | None, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join the components of the members as far as any links do: one fewer than the components at most.
+
+    Pairs are checked on their whole sets, unless links found before have joined their components already.
+    """
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above.get(x, x) != x:
+            above[x] = x = above.get(above[x], above[x])
+        return x
+
+    out = []
+    for a, b, ps, qs, spare in walk(left, right, num, den):
+        for k in np.argsort(-spare, kind="stable").tolist():
+            p, q = int(ps[k]), int(qs[k])
+            x, y = root(int(a.group[p])), root(int(b.group[q]))
+            if x != y:
+                shared = len(np.intersect1d(a.sets[p], b.sets[q], assume_unique=True))
+                if shared * (den + num) >= (a.size[p] + b.size[q]) * num:
+                    above[x] = y
+                    out.append((int(a.ids[p]), int(b.ids[q])))
+    return out
 
 
 def _best(a: np.ndarray, b: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each set's pair with most to spare, as (set, other, spare)."""
-    a, b, spare = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([spare, spare])
     order = np.lexsort((b, -spare, a))
     first = order[np.append(True, a[order][1:] != a[order][:-1])] if len(order) else order
     return a[first], b[first], spare[first]
 
 
-def _walked(blocks: DataFrame, num: int, den: int, best: bool) -> DataFrame:
-    """Candidate pairs of all (left, right) blocks: each class's most promising one, or all."""
+def _members(block: pa.Scalar) -> list[dict] | None:
+    """The members of a block; sets stay numpy arrays, and bitmaps are made of them where there are none."""
+    if not block.is_valid:
+        return None
+    rows = block.values
+    out = [dict(zip(("set_no", "component", "n_shingles"), row)) for row in zip(*[rows.field(c).to_pylist() for c in ("set_no", "component", "n_shingles")])]
+    if "bits" in {f.name for f in rows.type}:
+        for row, bits in zip(out, rows.field("bits").to_pylist()):
+            row["bits"] = bits
+    else:
+        lists = rows.field("shingles")
+        flat, cuts = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+        for row, a, b in zip(out, cuts[:-1], cuts[1:]):
+            row["shingles"] = flat[a:b]
+            row["bits"] = bitmap(row["shingles"])
+    return out
+
+
+def _promising(blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """Each class's most promising pair (a, b) over all blocks."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [walk(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), num, den) for k in range(batch.num_rows)]
-            a, b, spare = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-            a, b, spare = _best(a, b, spare) if best else (np.minimum(a, b), np.maximum(a, b), spare)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(spare)], names=["a", "b", "spare"])
+            for k in range(batch.num_rows):
+                a, b, spare = promising(_members(batch.column(0)[k]), _members(batch.column(1)[k]), num, den)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(spare)], names=["a", "b", "spare"])
 
     pairs = blocks.select("left", "right").mapInArrow(work, "a long, b long, spare long")
-    if not best:
-        return pairs.select("a", "b").distinct()
     pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("spare", "b")).alias("b"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _forests(blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join what is linked within each pair of blocks."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = forest(_members(batch.column(0)[k]), _members(batch.column(1)[k]), num, den)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    return blocks.select("left", "right").mapInArrow(work, "a long, b long")
+
+
 # --- the join -----------------------------------------------------------------------------------
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets overlap enough: the exact check."""
-    pairs = staged(pairs)
+    pairs, written = staged(pairs), []
 
     def side(name: str) -> DataFrame:
         """The sets that this side of the pairs needs, and no others."""
         ids = staged(pairs.select(F.col(name).alias("set_no")).distinct())
+        written.append(ids)
         return sets.join(_small(ids), "set_no", "left_semi").select(F.col("set_no").alias(name), F.col("shingles").alias(f"_{name}"))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
-    return both.where(shared * (den + num) >= (F.size("_a") + F.size("_b")) * num).select("a", "b")
-
-
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id is in `ids`: a broadcast of up to BROADCAST_IDS numbers, else a shuffle."""
-    return docs.join(_small(staged(ids)), "doc_id", "left_semi")
+    found = staged(both.where(shared * (den + num) >= (F.size("_a") + F.size("_b")) * num).select("a", "b"))
+    discard(pairs, *written)
+    return found
 
 
 def _small(written: DataFrame) -> DataFrame:
@@ -231,26 +287,73 @@ def _small(written: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.count() <= BROADCAST_IDS else written
 
 
-def _blocks(nodes: DataFrame, grouped: DataFrame, sets: DataFrame, bits: str) -> DataFrame:
-    """(left, right): the trees of all upper nodes that hold several components, as blocks to be walked together."""
+def _blocks(nodes: DataFrame, grouped: DataFrame, sets: DataFrame, whole: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """(left, right): the trees of all upper nodes that hold several components, as blocks to be walked together; and what was written for it.
+
+    Blocks hold about BLOCK members and, where whole sets go along, about BLOCK_SHINGLES shingles. Pairs of blocks are a table of numbers, to which
+    each block is joined on its own, so no key stands for more than one block.
+    """
     placed = staged(nodes.select("key", "set_no").join(grouped.withColumnRenamed("node", "set_no"), "set_no", "left").select(
         "key", "set_no", F.coalesce("component", "set_no").alias("component")))
     # Of nodes that hold the same classes one is enough; two sums of hashes tell.
     held = [F.sum(F.xxhash64(F.lit(k), "set_no").cast("decimal(20,0)")).alias(f"h{k}") for k in (1, 2)]
     mixed = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("rows"), *held).where("p < q")
-    mixed = mixed.groupBy("rows", "h1", "h2").agg(F.min("key").alias("key"))
-    mixed = staged(mixed.select("key", F.ceil(F.col("rows") / float(BLOCK)).cast("long").alias("blocks")))
-    maps = sets.select("set_no", F.size("shingles").cast("long").alias("n_shingles"), F.col(bits).alias("bits"))
-    members = placed.join(_small(mixed), "key").join(maps, "set_no").select(
-        "key", "blocks", F.pmod(F.xxhash64("set_no"), F.col("blocks")).alias("block"),
-        F.struct("set_no", "component", "n_shingles", "bits").alias("m"))
-    trees = staged(members.groupBy("key", "blocks", "block").agg(
-        F.collect_list("m").alias("left"), F.min("m.component").alias("p"), F.max("m.component").alias("q")))
+    mixed = staged(mixed.groupBy("rows", "h1", "h2").agg(F.min("key").alias("key")).select("key"))
+    size = F.size("shingles").cast("long")
+    maps = sets.select("set_no", size.alias("n_shingles"), F.col("shingles" if whole else "rough").alias("shingles" if whole else "bits"))
+    members = placed.join(_small(mixed), "key").join(maps, "set_no")
+    written = [placed, mixed]
+    if whole:
+        # The rows that are left are written once, so that blocks can be cut by what they hold.
+        members = staged(members)
+        written.append(members)
+    weight = F.count("*") / float(BLOCK) + (F.sum("n_shingles") / float(BLOCK_SHINGLES) if whole else 0.0)
+    counted = members if whole else placed.join(_small(mixed), "key")
+    cuts = staged(counted.groupBy("key").agg(F.ceil(weight).cast("long").alias("blocks")))
+    fields = ["set_no", "component", "n_shingles", "shingles" if whole else "bits"]
+    trees = staged(members.join(_small(cuts), "key").select("key", "blocks", F.pmod(F.xxhash64("set_no"), F.col("blocks")).alias("block"), F.struct(*fields).alias("m"))
+                   .groupBy("key", "blocks", "block").agg(F.collect_list("m").alias("left"), F.min("m.component").alias("p"), F.max("m.component").alias("q")))
+    written += [cuts, trees]
     alone = trees.where("p < q").select("left", F.lit(None).cast(trees.schema["left"].dataType).alias("right"))
     many = trees.where("blocks > 1")
-    other = many.select("key", F.col("block").alias("o"), F.col("left").alias("right"), F.col("p").alias("op"), F.col("q").alias("oq"))
-    across = many.join(other, "key").where("block < o AND NOT (p = q AND op = oq AND p = op)").select("left", "right")
-    return alone.unionByName(across)
+    met = many.select("key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("block < other")
+    other = many.select("key", F.col("block").alias("other"), F.col("left").alias("right"), F.col("p").alias("op"), F.col("q").alias("oq"))
+    across = met.join(many, ["key", "block"]).join(other, ["key", "other"]).where("NOT (p = q AND op = oq AND p = op)").select("left", "right")
+    return alone.unionByName(across), written
+
+
+def _row_groups(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures per row (doc_id, n_shingles, set_no), and per class (set_no, first_id, rows, component)."""
+    signatures = staged(_signatures(docs, n, num, den))
+    keyed = signatures.where(F.col("set_no").isNotNull())
+    hung = keyed.select("set_no", F.explode("keys").alias("key"))
+    shared = staged(hung.groupBy("key").agg(F.min("set_no").alias("leader"), F.max("set_no").alias("last"))
+                    .where("leader < last").select("key", "leader"))
+    nodes = staged(hung.join(shared, "key").select("key", "set_no", "leader").distinct())
+    discard(shared)
+    classes = keyed.groupBy("set_no").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
+    needed = staged(nodes.select("set_no").distinct().join(classes, "set_no").select("set_no", "first_id"))
+    ids = staged(needed.where(F.col("first_id").isNotNull()).select(F.col("first_id").alias("doc_id")))
+    sets = _sets(docs.select("doc_id", "text").join(_small(ids), "doc_id", "left_semi"), n).where(F.col("set_no").isNotNull())
+    nameless = needed.where(F.col("first_id").isNull()).select("set_no")
+    if not nameless.isEmpty():  # classes of rows without doc_id only: they may link others
+        found = _sets(docs.where(F.col("doc_id").isNull()), n)
+        sets = sets.unionByName(found.join(nameless, "set_no", "left_semi").dropDuplicates(["set_no"]))
+    sets = staged(sets)
+    discard(needed, ids)
+
+    often = nodes.where(F.col("set_no") != F.col("leader")).groupBy("set_no", "leader").count()
+    tried = often.groupBy("set_no").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
+    links = _linked(tried.select(F.col("set_no").alias("a"), F.col("leader").alias("b")), sets, num, den)
+    for whole in (False, True):
+        grouped = staged(components(links))
+        blocks, written = _blocks(nodes, grouped, sets, whole)
+        found = staged(_forests(blocks, num, den)) if whole else _linked(_promising(blocks, num, den), sets, num, den)
+        former, links = links, staged(links.unionByName(found))
+        discard(grouped, former, found, *written)
+    linked = staged(components(links).select(F.col("node").alias("set_no"), "component"))
+    discard(nodes, sets, links)
+    return signatures, classes.join(linked, "set_no", "left").select("set_no", "first_id", "rows", "component")
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -266,30 +369,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     map-side partials and drop the nodes that hold one class only, which are nearly all. Each remaining class is
     tried against the class that leads most of its nodes; from then on only nodes that still hold several
     components matter, so large groups of near copies don't meet pairwise. Those nodes' trees are walked twice: first
-    each class's most promising pair is checked on its whole sets, then, in nodes that still hold several
-    components, every pair of different ones. Trees over BLOCK documents are blocks, paired one by
-    one. No link between different components is lost; links within a component aren't all tried.
+    each class's most promising pair is checked, then, in nodes that still hold several components, whole sets go along
+    and each pair of blocks gives a forest of checked links, fewer than its members. No link between
+    different components is lost; links within a component aren't all tried.
     """
-    signatures = staged(_signatures(docs, n, num, den))
-    keyed = signatures.where(F.col("set_no").isNotNull())
-    hung = keyed.select("set_no", F.explode("keys").alias("key"))
-    shared = staged(hung.groupBy("key").agg(F.min("set_no").alias("leader"), F.max("set_no").alias("last"))
-                    .where("leader < last").select("key", "leader"))
-    nodes = staged(hung.join(_small(shared), "key").select("key", "set_no", "leader").distinct())
-    classes = keyed.groupBy("set_no").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
-    needed = nodes.select("set_no").distinct().join(classes, "set_no").where(F.col("first_id").isNotNull())
-    wanted = _with_ids(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), needed.select(F.col("first_id").alias("doc_id")))
-    sets = staged(_sets(wanted, n).where(F.col("set_no").isNotNull()))
-
-    often = nodes.where(F.col("set_no") != F.col("leader")).groupBy("set_no", "leader").count()
-    tried = often.groupBy("set_no").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
-    links = staged(_linked(tried.select(F.col("set_no").alias("a"), F.col("leader").alias("b")), sets, num, den))
-    for best in (True, False):
-        blocks = _blocks(nodes, staged(components(links)), sets, "rough" if best else "fine")
-        links = links.unionByName(staged(_linked(_walked(blocks, num, den, best), sets, num, den)))
-
-    linked = components(links).select(F.col("node").alias("set_no"), "component")
-    merged = staged(classes.join(linked, "set_no", "left").select("set_no", "first_id", "rows", "component"))
+    signatures, classes = _row_groups(docs, n, num, den)
+    merged = staged(classes)
     smallest = merged.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first_id").alias("component_id"))
     in_group = merged.join(smallest, "component").select("set_no", "component_id").unionByName(
         merged.where(F.col("component").isNull() & (F.col("rows") > 1)).select("set_no", F.col("first_id").alias("component_id")))
@@ -298,11 +383,27 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
 
 
 def distinct_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of `docs` with one document of each component left: that with the smallest doc_id.
+    """The rows of `docs` with one row of each component left: the smallest doc_id, rows without one last, then the smallest hash of the text.
 
-    Rows without doc_id stay unless an equal row with one exists; rows that repeat the kept id stay once per
-    different text.
+    Rows without words or text link with nothing and all stay. Of equal rows one stays. Rows that repeat an id are told
+    apart by their texts. All columns are kept, whatever their names.
     """
-    found = jaccard_components(docs, n, num, den).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    signatures, classes = _row_groups(docs.select("doc_id", "text"), n, num, den)
+    group = classes.select("set_no", F.coalesce("component", "set_no").alias("group"))
+    rows = signatures.where(F.col("set_no").isNotNull()).select("doc_id", "set_no").join(group, "set_no")
+    # The class of the component's least row, then that class's rows among the documents.
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "set_no")
+    best = rows.groupBy("group").agg(F.min(place).alias("best")).select("best.doc_id", "best.set_no")
+    kept, number = free_names(docs, "_kept", "_class")
+
+    @F.arrow_udf("long")
+    def class_of(texts: pa.Array) -> pa.Array:
+        return pa.array([class_number(s) if len(s) else None for s in _document_sets(texts, n)], pa.int64())
+
+    named = docs.withColumn(number, class_of("text"))
+    chosen = staged(best.select(F.col("doc_id").alias(kept), F.col("set_no").alias(number)))
+    same = (F.col("doc_id").eqNullSafe(F.col(kept))) & (named[number] == chosen[number])
+    found = named.join(chosen, same, "left_semi").dropDuplicates(["doc_id", number])
+    return found.unionByName(named.where(F.col(number).isNull())).drop(number)
+
+
