@@ -109,10 +109,10 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([class_number(s) if len(s) else None for s in found], pa.int64()),
                  pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64())),
-                 pa.array([bitmap(s, ROUGH) if len(s) else None for s in found], pa.binary())],
-                names=["set_no", "shingles", "rough"])
+                 *(pa.array([bitmap(s, share) if len(s) else None for s in found], pa.binary()) for share in (FINE, ROUGH))],
+                names=["set_no", "shingles", "fine", "rough"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "set_no long, shingles array<long>, rough binary")
+    return docs.select("doc_id", "text").mapInArrow(work, "set_no long, shingles array<long>, fine binary, rough binary")
 
 
 # --- walking two trees ------------------------------------------------------------------------
@@ -251,16 +251,45 @@ def _promising(blocks: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _forests(blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that join what is linked within each pair of blocks."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forests(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that join what is linked within each pair of blocks; and what was written for it.
+
+    Trees of bitmaps tell which members may be linked to any other at all, a row for each; only their whole sets are brought to the pair
+    of blocks and checked there.
+    """
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                found = forest(_members(batch.column(0)[k]), _members(batch.column(1)[k]), num, den)
+                left, right = _members(batch.column(3)[k]), _members(batch.column(4)[k])
+                hopeful: tuple[dict, dict] = ({}, {})
+                for a, b, p, q, _ in walk(left, right, num, den):
+                    for tree, places, side in ((a, p, 0), (b, q, int(right is not None))):
+                        for i in np.unique(places).tolist():
+                            hopeful[side][int(tree.ids[i])] = int(tree.group[i])
+                found = [(side, number, group) for side in (0, 1) for number, group in hopeful[side].items()]
+                if found:
+                    at = [pa.array([batch.column(c)[k].as_py()] * len(found), pa.int64()) for c in range(3)]
+                    yield pa.RecordBatch.from_arrays([*at, *(pa.array(c, pa.int64()) for c in zip(*found))], names=[*PAIR, "side", "set_no", "component"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                left, right = _members(batch.column(0)[k]), _members(batch.column(1)[k])
+                found = forest(left, right, num, den) if left else []
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
-    return blocks.select("left", "right").mapInArrow(work, "a long, b long")
+    schema = ", ".join(f"{c} long" for c in (*PAIR, "side", "set_no", "component"))
+    asked = staged(blocks.select(*PAIR, "left", "right").mapInArrow(ask, schema))
+    known = sets.join(_small(staged(asked.select("set_no").distinct())), "set_no", "left_semi").select("set_no", "shingles")
+    member = F.struct("set_no", "component", F.size("shingles").cast("long").alias("n_shingles"), "shingles")
+    sides = [F.collect_list(F.when(F.col("side") == k, member)).alias(name) for k, name in enumerate(("left", "right"))]
+    pairs = asked.join(known, "set_no").groupBy(*PAIR).agg(*sides)
+    both = pairs.select("left", F.when(F.size("right") > 0, F.col("right")).alias("right"))
+    return both.mapInArrow(check, "a long, b long"), asked
+
+
+PAIR = ("key", "block", "other")
 
 
 # --- the join -----------------------------------------------------------------------------------
@@ -287,49 +316,41 @@ def _small(written: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.count() <= BROADCAST_IDS else written
 
 
-def _blocks(nodes: DataFrame, grouped: DataFrame, sets: DataFrame, whole: bool) -> tuple[DataFrame, list[DataFrame]]:
-    """(left, right): the trees of all upper nodes that hold several components, as blocks to be walked together; and what was written for it.
+def _blocks(nodes: DataFrame, grouped: DataFrame, sets: DataFrame, bits: str) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, block, other, left, right): the trees of all upper nodes that hold several components, as blocks to be walked together; and
+    what was written for it.
 
-    Blocks hold about BLOCK members and, where whole sets go along, about BLOCK_SHINGLES shingles. Pairs of blocks are a table of numbers, to which
-    each block is joined on its own, so no key stands for more than one block.
+    A block holds about BLOCK members and BLOCK_SHINGLES shingles at most. Pairs of blocks are a table of numbers, to which each block is
+    joined on its own, so no key stands for more than one block.
     """
-    placed = staged(nodes.select("key", "set_no").join(grouped.withColumnRenamed("node", "set_no"), "set_no", "left").select(
-        "key", "set_no", F.coalesce("component", "set_no").alias("component")))
+    placed = staged(nodes.select("key", "set_no", "n_shingles").join(grouped.withColumnRenamed("node", "set_no"), "set_no", "left").select(
+        "key", "set_no", "n_shingles", F.coalesce("component", "set_no").alias("component")))
     # Of nodes that hold the same classes one is enough; two sums of hashes tell.
     held = [F.sum(F.xxhash64(F.lit(k), "set_no").cast("decimal(20,0)")).alias(f"h{k}") for k in (1, 2)]
-    mixed = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("rows"), *held).where("p < q")
-    mixed = staged(mixed.groupBy("rows", "h1", "h2").agg(F.min("key").alias("key")).select("key"))
-    size = F.size("shingles").cast("long")
-    maps = sets.select("set_no", size.alias("n_shingles"), F.col("shingles" if whole else "rough").alias("shingles" if whole else "bits"))
-    members = placed.join(_small(mixed), "key").join(maps, "set_no")
-    written = [placed, mixed]
-    if whole:
-        # The rows that are left are written once, so that blocks can be cut by what they hold.
-        members = staged(members)
-        written.append(members)
-    weight = F.count("*") / float(BLOCK) + (F.sum("n_shingles") / float(BLOCK_SHINGLES) if whole else 0.0)
-    counted = members if whole else placed.join(_small(mixed), "key")
-    cuts = staged(counted.groupBy("key").agg(F.ceil(weight).cast("long").alias("blocks")))
-    fields = ["set_no", "component", "n_shingles", "shingles" if whole else "bits"]
-    trees = staged(members.join(_small(cuts), "key").select("key", "blocks", F.pmod(F.xxhash64("set_no"), F.col("blocks")).alias("block"), F.struct(*fields).alias("m"))
-                   .groupBy("key", "blocks", "block").agg(F.collect_list("m").alias("left"), F.min("m.component").alias("p"), F.max("m.component").alias("q")))
-    written += [cuts, trees]
-    alone = trees.where("p < q").select("left", F.lit(None).cast(trees.schema["left"].dataType).alias("right"))
+    weight = F.count("*") / float(BLOCK) + F.sum("n_shingles") / float(BLOCK_SHINGLES)
+    mixed = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("rows"),
+                                      F.ceil(weight).cast("long").alias("blocks"), *held).where("p < q")
+    mixed = staged(mixed.groupBy("rows", "h1", "h2").agg(F.min("key").alias("key"), F.max("blocks").alias("blocks")).select("key", "blocks"))
+    members = placed.join(_small(mixed), "key").join(sets.select("set_no", F.col(bits).alias("bits")), "set_no").select(
+        "key", "blocks", F.pmod(F.xxhash64("set_no"), F.col("blocks")).alias("block"), F.struct("set_no", "component", "n_shingles", "bits").alias("m"))
+    trees = staged(members.groupBy("key", "blocks", "block").agg(
+        F.collect_list("m").alias("left"), F.min("m.component").alias("p"), F.max("m.component").alias("q")))
+    alone = trees.where("p < q").select("key", "block", F.col("block").alias("other"), "left", F.lit(None).cast(trees.schema["left"].dataType).alias("right"))
     many = trees.where("blocks > 1")
-    met = many.select("key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("block < other")
+    met = many.select("key", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).where("block < other")
     other = many.select("key", F.col("block").alias("other"), F.col("left").alias("right"), F.col("p").alias("op"), F.col("q").alias("oq"))
-    across = met.join(many, ["key", "block"]).join(other, ["key", "other"]).where("NOT (p = q AND op = oq AND p = op)").select("left", "right")
-    return alone.unionByName(across), written
+    across = met.join(many, ["key", "block"]).join(other, ["key", "other"]).where("NOT (p = q AND op = oq AND p = op)").select(*PAIR, "left", "right")
+    return alone.unionByName(across), [placed, mixed, trees]
 
 
 def _row_groups(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Signatures per row (doc_id, n_shingles, set_no), and per class (set_no, first_id, rows, component)."""
     signatures = staged(_signatures(docs, n, num, den))
     keyed = signatures.where(F.col("set_no").isNotNull())
-    hung = keyed.select("set_no", F.explode("keys").alias("key"))
+    hung = keyed.select("set_no", "n_shingles", F.explode("keys").alias("key"))
     shared = staged(hung.groupBy("key").agg(F.min("set_no").alias("leader"), F.max("set_no").alias("last"))
                     .where("leader < last").select("key", "leader"))
-    nodes = staged(hung.join(shared, "key").select("key", "set_no", "leader").distinct())
+    nodes = staged(hung.join(shared, "key").select("key", "set_no", "n_shingles", "leader").distinct())
     discard(shared)
     classes = keyed.groupBy("set_no").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
     needed = staged(nodes.select("set_no").distinct().join(classes, "set_no").select("set_no", "first_id"))
@@ -347,8 +368,13 @@ def _row_groups(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     links = _linked(tried.select(F.col("set_no").alias("a"), F.col("leader").alias("b")), sets, num, den)
     for whole in (False, True):
         grouped = staged(components(links))
-        blocks, written = _blocks(nodes, grouped, sets, whole)
-        found = staged(_forests(blocks, num, den)) if whole else _linked(_promising(blocks, num, den), sets, num, den)
+        blocks, written = _blocks(nodes, grouped, sets, "fine" if whole else "rough")
+        if whole:
+            forests, asked = _forests(blocks, sets, num, den)
+            found = staged(forests)
+            discard(asked)
+        else:
+            found = _linked(_promising(blocks, num, den), sets, num, den)
         former, links = links, staged(links.unionByName(found))
         discard(grouped, former, found, *written)
     linked = staged(components(links).select(F.col("node").alias("set_no"), "component"))
@@ -369,8 +395,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     map-side partials and drop the nodes that hold one class only, which are nearly all. Each remaining class is
     tried against the class that leads most of its nodes; from then on only nodes that still hold several
     components matter, so large groups of near copies don't meet pairwise. Those nodes' trees are walked twice: first
-    each class's most promising pair is checked, then, in nodes that still hold several components, whole sets go along
-    and each pair of blocks gives a forest of checked links, fewer than its members. No link between
+    each class's most promising pair is checked, then, in nodes that still hold several components, each pair of
+    blocks names the members that may be linked, and their whole sets give a forest of checked links, fewer than its members. No link between
     different components is lost; links within a component aren't all tried.
     """
     signatures, classes = _row_groups(docs, n, num, den)
