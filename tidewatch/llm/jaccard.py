@@ -192,7 +192,7 @@ def promising(left: list[dict], right: list[dict] | None, num: int, den: int) ->
 def forest(left: list[dict], right: list[dict] | None, num: int, den: int) -> list[tuple[int, int]]:
     """Links that join the components of the members as far as any links do: one fewer than the components at most.
 
-    Pairs are checked on their whole sets, unless links found before have joined their components already.
+    Pairs are checked on their whole sets, those of two twigs at once, unless links found before have joined their components already.
     """
     above: dict[int, int] = {}
 
@@ -202,18 +202,33 @@ def forest(left: list[dict], right: list[dict] | None, num: int, den: int) -> li
         return x
 
     out = []
-    for a, b, ps, qs, spare in walk(left, right, num, den):
-        for k in np.argsort(-spare, kind="stable").tolist():
-            p, q = int(ps[k]), int(qs[k])
+    for a, b, ps, qs, _ in walk(left, right, num, den):
+        tops = {g: root(g) for g in {*a.group[ps].tolist(), *b.group[qs].tolist()}}
+        apart = np.array([tops[x] != tops[y] for x, y in zip(a.group[ps].tolist(), b.group[qs].tolist())])
+        ps, qs = ps[apart], qs[apart]
+        if not len(ps):
+            continue
+        linked = overlaps(a.sets, b.sets, ps, qs) * (den + num) >= (a.size[ps] + b.size[qs]) * num
+        for p, q in zip(ps[linked].tolist(), qs[linked].tolist()):
             x, y = root(int(a.group[p])), root(int(b.group[q]))
             if x != y:
-                shared = len(np.intersect1d(a.sets[p], b.sets[q], assume_unique=True))
-                if shared * (den + num) >= (a.size[p] + b.size[q]) * num:
-                    above[x] = y
-                    out.append((int(a.ids[p]), int(b.ids[q])))
+                above[x] = y
+                out.append((int(a.ids[p]), int(b.ids[q])))
     return out
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], ps: np.ndarray, qs: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of left[p] and right[q], few sets in many pairs: one product of tables of what holds what."""
+    rows, at_p = np.unique(ps, return_inverse=True)
+    columns, at_q = np.unique(qs, return_inverse=True)
+    sets = [left[p] for p in rows] + [right[q] for q in columns]
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    holds = np.zeros((len(sets), int(place.max()) + 1), np.float32)
+    holds[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), place] = 1.0
+    shared = holds[:len(rows)] @ holds[len(rows):].T
+    return shared[at_p, at_q].astype(np.int64)
+
+
 def _best(a: np.ndarray, b: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((b, -spare, a))
     first = order[np.append(True, a[order][1:] != a[order][:-1])] if len(order) else order
