@@ -32,7 +32,7 @@ def brute(url, at, entries):
         if host is None or at is None:
             continue
         if want:
-            if host != name or path[:len(want)] != want or len(want) > 8:
+            if host != name or path[:len(want)] != want:
                 continue
             mine = 100 + len(want)
         elif host == name or host.endswith("." + name):

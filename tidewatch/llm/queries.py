@@ -74,19 +74,27 @@ def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.apply(statistics, rules.learn_from(statistics, labels))
 
 
+# Segments that lengthen the path of every seventh page, so that captures and list entries go deep.
+DEEP = "/a/b/c/d/e/f/g/h/i/j/k/l"
+
+
 def _captures(pages: DataFrame) -> DataFrame:
-    """Pages with a day of 2024 on which they were fetched, by page_id."""
-    return pages.select("page_id", "url", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(page_id * 37 % 366 as int))").alias("fetched_at"))
+    """Pages with a day of 2024 on which they were fetched, by page_id; every seventh lies twelve segments deeper."""
+    plain = (F.col("page_id") % 7 == 0) & ~F.contains("url", F.lit("?")) & ~F.contains("url", F.lit("#"))
+    url = F.when(plain, F.concat(F.col("url"), F.lit(DEEP))).otherwise(F.col("url")).alias("url")
+    return pages.select("page_id", url, F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(page_id * 37 % 366 as int))").alias("fetched_at"))
 
 
-def _listed(pages: DataFrame) -> DataFrame:
-    """A dated list over the pages' own hosts, domains and first path segments, by the smallest page_id of each."""
-    parts = pages.select("page_id", urls.host(F.col("url")).alias("h"), F.split(urls.path(F.col("url")), "/").alias("p")).where("h IS NOT NULL")
+def _listed(captures: DataFrame) -> DataFrame:
+    """A dated list over the captures' own hosts, domains, first path segments and whole paths, by the smallest page_id of each."""
+    parts = captures.select("page_id", urls.host(F.col("url")).alias("h"), F.split(urls.path(F.col("url")), "/").alias("p")).where("h IS NOT NULL")
     domain = F.array_join(F.slice(F.split("h", r"\."), -2, 2), ".")
+    segments = F.array_remove("p", "")
     found = parts.select("page_id", F.explode(F.array(
         F.struct(F.col("h").alias("pattern"), F.lit(0).alias("kind")),
         F.struct(F.when(F.size(F.split("h", r"\.")) > 2, domain).alias("pattern"), F.lit(1).alias("kind")),
-        F.struct(F.when(F.size("p") > 1, F.concat("h", F.lit("/"), F.get("p", F.lit(1)))).alias("pattern"), F.lit(2).alias("kind")))).alias("e"))
+        F.struct(F.when(F.size("p") > 1, F.concat("h", F.lit("/"), F.get("p", F.lit(1)))).alias("pattern"), F.lit(2).alias("kind")),
+        F.struct(F.when(F.size(segments) > 1, F.concat("h", F.lit("/"), F.array_join(segments, "/"))).alias("pattern"), F.lit(3).alias("kind")))).alias("e"))
     least = found.where("e.pattern IS NOT NULL AND e.pattern NOT LIKE '%/'").groupBy("e.pattern", "e.kind").agg(F.min("page_id").alias("m"))
     day = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(d as int))")
     entries = least.select("pattern", F.explode(F.expr("""
@@ -98,21 +106,25 @@ def _listed(pages: DataFrame) -> DataFrame:
 
 def op6_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     pages = _table(spark, sf, "pages").select("page_id", "url")
-    return urls.list_verdicts(_captures(pages), _listed(pages))
+    captures = _captures(pages)
+    return urls.list_verdicts(captures, _listed(captures))
 
 
-OP6_SQL = r"""
-WITH c AS (
+OP6_SQL = rf"""
+WITH captured AS (
+  SELECT page_id, CASE WHEN page_id % 7 = 0 AND NOT contains(url, '?') AND NOT contains(url, '#') THEN url || '{DEEP}' ELSE url END AS url FROM pages),
+c AS (
   SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days(CAST(page_id * 37 % 366 AS INTEGER)) AS fetched_at,
          nullif(regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\]*)', 1),
                                                                    '^.*@', ''), ':[0-9]*$', '')), '\.+$', ''), '') AS host,
          regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#\\]*([^?#]*)', 1) AS path
-  FROM pages),
+  FROM captured),
 s AS (SELECT *, string_split(host, '.') AS l, [x FOR x IN string_split(path, '/') IF x <> ''] AS seg FROM c),
 found AS (
   SELECT page_id, host AS pattern, 0 AS kind FROM s WHERE host IS NOT NULL
   UNION ALL SELECT page_id, l[-2] || '.' || l[-1], 1 FROM s WHERE len(l) > 2
-  UNION ALL SELECT page_id, host || '/' || string_split(path, '/')[2], 2 FROM s WHERE string_split(path, '/')[2] <> ''),
+  UNION ALL SELECT page_id, host || '/' || string_split(path, '/')[2], 2 FROM s WHERE string_split(path, '/')[2] <> ''
+  UNION ALL SELECT page_id, host || '/' || array_to_string(seg, '/'), 3 FROM s WHERE host IS NOT NULL AND len(seg) > 1),
 least_id AS (SELECT pattern, kind, min(page_id) AS m FROM found GROUP BY 1, 2),
 entry AS (
   SELECT pattern, m * 11 % 200 AS d, CASE WHEN (m + kind) % 3 = 0 THEN 'allow' ELSE 'block' END AS verdict FROM least_id WHERE (m + kind) % 4 <> 0
@@ -121,10 +133,10 @@ entry AS (
 daily AS (SELECT pattern, TIMESTAMP '2024-01-01' + to_days(CAST(d AS INTEGER)) AS since, max(verdict) AS verdict FROM entry GROUP BY 1, 2),
 held AS (SELECT *, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM daily),
 asked AS (
-  SELECT page_id, fetched_at, unnest(range(1, least(len(l), 8) + 1)) AS rank, array_to_string(l[len(l) - rank + 1:], '.') AS pattern FROM s WHERE host IS NOT NULL
+  SELECT page_id, fetched_at, unnest(range(1, len(l) + 1)) AS rank, array_to_string(l[len(l) - rank + 1:], '.') AS pattern FROM s WHERE host IS NOT NULL
   UNION ALL
   SELECT page_id, fetched_at, 100 + k, host || '/' || array_to_string(seg[:k], '/')
-  FROM (SELECT *, unnest(range(1, least(len(seg), 8) + 1)) AS k FROM s WHERE host IS NOT NULL)),
+  FROM (SELECT *, unnest(range(1, len(seg) + 1)) AS k FROM s WHERE host IS NOT NULL)),
 ranked AS (
   SELECT page_id, verdict, a.pattern, since, row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, verdict DESC) AS r
   FROM asked a JOIN held h ON a.pattern = h.pattern AND since <= fetched_at AND (until IS NULL OR fetched_at < until)
