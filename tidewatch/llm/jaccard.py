@@ -365,7 +365,7 @@ def _row_groups(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     hung = keyed.select("set_no", "n_shingles", F.explode("keys").alias("key"))
     shared = staged(hung.groupBy("key").agg(F.min("set_no").alias("leader"), F.max("set_no").alias("last"))
                     .where("leader < last").select("key", "leader"))
-    nodes = staged(hung.join(shared, "key").select("key", "set_no", "n_shingles", "leader").distinct())
+    nodes = staged(hung.join(_small(shared), "key").select("key", "set_no", "n_shingles", "leader").distinct())
     discard(shared)
     classes = keyed.groupBy("set_no").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
     needed = staged(nodes.select("set_no").distinct().join(classes, "set_no").select("set_no", "first_id"))
