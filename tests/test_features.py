@@ -1,6 +1,7 @@
 import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,10 +167,10 @@ def moving_grid(times, width, stride):
     return starts
 
 
-@pytest.mark.parametrize("cells,phases", [(65_536, 1_024), (4, 1_024), (65_536, 1)])
-def test_gap_events_move_the_grid(spark, monkeypatch, cells, phases):
+@pytest.mark.parametrize("cells,strides", [(65_536, 4), (4, 0), (1, 2)])
+def test_gap_events_move_the_grid(spark, monkeypatch, cells, strides):
     monkeypatch.setattr(regrid, "CELLS", cells)
-    monkeypatch.setattr(regrid, "PHASES", phases)
+    monkeypatch.setattr(regrid, "STRIDES", strides)
     rng = random.Random(3)
     series = {"a": [0, 6, 11, 14, 20], None: sorted(rng.randrange(0, 900) for _ in range(150))}
     e = events(spark, [(k, float(t), 1) for k, ts in series.items() for t in ts], "k string, ts double, bytes int", keys=["k"])
@@ -183,6 +184,34 @@ def test_gap_events_move_the_grid(spark, monkeypatch, cells, phases):
         assert got == sorted((k, s, n) for (k, s), n in want.items())
 
 
+@pytest.mark.parametrize("width,stride", [(5_001, 8_000), (1, 7), (4, 12), (9, 9), (997, 1_000)])
+def test_maps_of_a_chunk_equal_steps_from_every_phase(width, stride):
+    rng = random.Random(width)
+    cells = sorted({rng.randrange(60 * stride) for _ in range(200)})
+    runs, last = (np.zeros(1, np.int64),) * 2, cells[0]
+    for cell in cells:
+        runs, last = regrid.moved(*runs, cell - last, width, stride), cell
+    starts, values = runs
+    assert len(starts) <= width
+    phases = np.arange(stride)
+    place = (cells[0] - phases) % stride % width
+    run = np.searchsorted(starts, place, "right") - 1
+    for cell in cells:
+        phases = regrid.next_phase(phases, cell, width, stride)
+    assert ((last - (values[run] + place - starts[run])) % stride == phases).all()
+
+
+def test_long_strides_move_the_grid_in_many_tasks(spark):
+    rng = random.Random(8)
+    times = sorted({rng.randrange(0, 4_000_000) for _ in range(300)})  # milliseconds, so 8,000 phases
+    e = events(spark, [("a", t / 1000.0, 1) for t in times], "k string, ts double, bytes int", keys=["k"])
+    got = {r["s"]: r["event_count"] for r in regrid_features(e, 5.001, 8, ["k"]).withColumn("s", F.unix_millis("win_start")).collect()}
+    want = {}
+    for s in moving_grid(times, 5_001, 8_000):
+        want[s] = want.get(s, 0) + 1
+    assert got == want
+
+
 def test_times_are_read_from_text_numbers_and_timestamps(spark):
     df = spark.createDataFrame([("1.5",), ("2024-01-01 00:00:00",), ("never",)], "time string")
     e = canonical_events(df)

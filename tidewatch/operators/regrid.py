@@ -4,8 +4,9 @@ Windows are `width` long and start every `stride` >= width. An event that falls
 windows opens one at the end of the window before it, and the grid goes on from there. Where a
 window starts thus depends on every earlier gap event, but only through the grid's phase: with
 both lengths measured in their greatest common divisor there are stride / gcd phases. Events are
-first reduced to cells of that size; each chunk of cells is then turned into a table "phase on
-entry -> phase on exit", the tables are chained per series, and every chunk is resolved on its own.
+first reduced to cells of that size; each chunk of cells is then turned into a map "place of its first
+event in the window -> place of its last one", kept as runs of neighbouring places that move together. The
+maps are chained per series, and every chunk is resolved on its own.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from tidewatch.operators.features import (
 from tidewatch.operators.windows import to_micros, with_anchor
 from tidewatch.schema import ONLINE, FeatureOptions
 
-CELLS = 65_536
-PHASES = 1_024
+CELLS = 65_536  # cells of a chunk at least
+STRIDES = 4  # strides of a chunk at least, so that long strides don't make a chunk of every event
 
 
 def next_phase(phase, cell, width: int, stride: int):
@@ -60,49 +61,69 @@ def _walk(width: int, stride: int):
 STARTS = "series string, cell long, start long"
 
 
+def moved(starts: np.ndarray, values: np.ndarray, gap: int, width: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """A map of places in the window, carried on to an event `gap` cells later.
+
+    A map is made of runs: places from starts[k] up to the next run go to values[k], values[k] + 1 and so on. An event at place x
+    is followed by one at ((x + gap) % stride) % width, so a run breaks only at the window's end and at the stride's;
+    there are never more runs than places.
+    """
+    shift = gap % stride
+    if not shift:
+        return starts, values
+    at = values + shift
+    window_end = (shift // width + 1) * width
+    for end in {window_end, stride}:
+        if shift < end < shift + width and end <= stride:
+            cut = np.flatnonzero((at < end) & (end < at + np.diff(starts, append=width)))
+            starts, at = np.insert(starts, cut + 1, starts[cut] + end - at[cut]), np.insert(at, cut + 1, end)
+    values = (at % stride) % width
+    new = np.append(True, np.diff(values) != np.diff(starts))
+    return starts[new], values[new]
+
+
 def grid_starts(cells: DataFrame, width: int, stride: int) -> DataFrame:
     """Window start (in cells) of every distinct (series, cell); both lengths in cells.
 
-    Every step below streams through sorted partitions: no group is ever held as a whole.
+    Every step below streams through sorted partitions: no group is ever held as a whole, whatever the lengths.
     """
-    if stride > PHASES:
-        # Too many phases for tables: walk each series' cells in order, holding one number.
-        whole = cells.withColumns({"chunk": F.lit(0).cast("long"), "entry": F.lit(0)})
-        return whole.repartition("series").sortWithinPartitions("series", "cell").mapInPandas(_walk(width, stride), STARTS)
-    chunked = cells.withColumn("chunk", int_div(F.col("cell"), CELLS))
-    start = np.arange(stride)
-
-    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, phases = None, start
+    chunked = cells.withColumn("chunk", int_div(F.col("cell"), max(CELLS, STRIDES * stride)))
+    whole = np.zeros(1, np.int64)
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, first, last, runs = None, 0, 0, (whole, whole)
+        names = ["series", "chunk", "first", "last", "starts", "values"]
         for batch in batches:
             done = []
             for series, chunk, cell in zip(batch["series"].tolist(), batch["chunk"].tolist(), batch["cell"].tolist()):
                 if (series, chunk) != at:
                     if at is not None:
-                        done.append((*at, phases.tolist()))
-                    at, phases = (series, chunk), start
-                phases = next_phase(phases, cell, width, stride)
-            yield pd.DataFrame(done, columns=["series", "chunk", "exits"])
+                        done.append((*at, first, last, *runs))
+                    at, first, last, runs = (series, chunk), cell, cell, (whole, whole)
+                runs, last = moved(*runs, cell - last, width, stride), cell
+            yield pd.DataFrame(done, columns=names)
         if at is not None:
-            yield pd.DataFrame([(*at, phases.tolist())], columns=["series", "chunk", "exits"])
+            yield pd.DataFrame([(*at, first, last, *runs)], columns=names)
 
     by_chunk = chunked.repartition("series", "chunk")
     tables = by_chunk.sortWithinPartitions("series", "chunk", "cell") \
-        .mapInPandas(exits, "series string, chunk long, exits array<int>")
+        .mapInPandas(maps, "series string, chunk long, first long, last long, starts array<long>, values array<long>")
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, phase = None, 0
         for batch in batches:
             entries = []
-            for series, table in zip(batch["series"], batch["exits"]):
+            for series, first, last, starts, values in zip(*(batch[c] for c in ("series", "first", "last", "starts", "values"))):
                 if series != at:
                     at, phase = series, 0
                 entries.append(phase)
-                phase = int(table[phase])
+                place = (first - phase) % stride % width
+                run = int(np.searchsorted(starts, place, "right")) - 1
+                phase = int(last - values[run] - place + starts[run]) % stride
             yield pd.DataFrame({"series": batch["series"], "chunk": batch["chunk"], "entry": entries})
 
     entries = tables.repartition("series").sortWithinPartitions("series", "chunk") \
-        .mapInPandas(chain, "series string, chunk long, entry int")
+        .mapInPandas(chain, "series string, chunk long, entry long")
     return by_chunk.join(entries, ["series", "chunk"]).repartition("series", "chunk") \
         .sortWithinPartitions("series", "chunk", "cell").mapInPandas(_walk(width, stride), STARTS)
 
