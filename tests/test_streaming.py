@@ -1,9 +1,11 @@
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidewatch.operators.canonical import canonical_events
 from tidewatch.operators.windows import tumbling_features
 from tidewatch.sources.streams import stream_flows
+from tidewatch.streaming.late import late_events
 from tidewatch.streaming.regrid import stream_regrid
 from tidewatch.streaming.sample import stream_sample
 from tidewatch.streaming.windows import stream_sliding, stream_tumbling
@@ -50,6 +52,30 @@ def test_late_events_are_dropped(spark, tmp_path):
     assert got.agg(F.sum("event_count")).first()[0] == 61
 
 
+def overlapping(spark, tmp_path):
+    """The watermark is 30 s when the second file comes and 50 s when the third one does."""
+    files = [[("a", 5.0, 1.0, 80), ("a", 30.0, None, None)], [("a", 29.0, 1.0, 80), (None, 12.0, 2.0, 443), ("a", 50.0, 1.0, 80)],
+             [("b", 49.0, 1.0, 80), ("b", 50.0, 3.0, 80), ("b", 500.0, 1.0, 80)]]
+    return feed(spark, tmp_path, *files)
+
+
+@pytest.mark.parametrize("how", ["tumbling", "sliding"])
+def test_events_older_than_the_watermark_are_left_out_and_told(spark, tmp_path, how):
+    rows = overlapping(spark, tmp_path)
+    stream = stream_tumbling(rows, 60, keys=["k"], late="drop") if how == "tumbling" else stream_sliding(rows, 60, 30, keys=["k"], late="drop")
+    got = {(r["k"], r["s"]): r["event_count"] for r in drain(spark, stream, tmp_path, f"gate_{how}").withColumn("s", F.unix_seconds("win_start")).collect()}
+    assert {g: n for g, n in got.items() if g[1] == 0} == {("a", 0): 3, ("b", 0): 1}
+    late = drain(spark, late_events(rows, keep=["k"]), tmp_path, f"told_{how}")
+    assert sorted((r["ts_us"] // 1_000_000, r["k"]) for r in late.collect()) == [(12, None), (29, "a"), (49, "b")]
+
+
+def test_events_older_than_the_watermark_end_a_strict_stream(spark, tmp_path):
+    with pytest.raises(StreamingQueryException, match="older than the watermark"):
+        drain(spark, stream_tumbling(overlapping(spark, tmp_path), 60, keys=["k"], late="error"), tmp_path, "strict")
+    with pytest.raises(ValueError):
+        stream_tumbling(overlapping(spark, tmp_path), 60, late="maybe")
+
+
 @pytest.mark.parametrize("late", ["drop", "error"])
 def test_moving_grid_keeps_its_state_between_triggers(spark, tmp_path, late):
     rows = [("a", float(t), 1.0, 80) for t in (0, 6, 11, 14, 20)]
@@ -66,9 +92,10 @@ def test_overlapping_files_move_the_grid_as_sorted_ones_do(spark, tmp_path):
     assert rows == [(0, 0), (6, 5), (11, 10), (14, 10), (19, 18), (20, 18), (30, 26)]
 
 
-def test_samples_stay_bounded_over_triggers(spark, tmp_path):
+@pytest.mark.parametrize("slices", [1, 5])
+def test_samples_stay_bounded_over_triggers(spark, tmp_path, slices):
     rows = feed(spark, tmp_path, ROWS[:25], ROWS[25:], [("a", 200.0, 1.0, 80)])
-    got = drain(spark, stream_sample(rows, 20, 2, keys=["k"], keep=["bytes"]), tmp_path, "sample")
+    got = drain(spark, stream_sample(rows, 20, 2, keys=["k"], keep=["bytes"], slices=slices), tmp_path, f"sample_{slices}")
     kept = {}
     for r in got.collect():
         kept.setdefault((r["series"], r["win_start_us"]), []).append(r["ts_us"] // 1_000_000)

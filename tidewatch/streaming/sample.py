@@ -13,10 +13,11 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tidewatch.operators.windows import to_micros
 
 STREAM_KEYS = ("series", "win_start_us")
+SLICES = 16  # tasks that a window's events of one trigger are spread over
 
 
 class LatestEvents(StatefulProcessor):
-    """Holds at most `size` events of one open window and hands them out when the window closes."""
+    """Holds at most `size` events of a slice of one open window and hands them out when the window closes."""
 
     def __init__(self, size: int, width: int, columns: list[str], schema: str) -> None:
         self.size, self.width, self.columns, self.schema = size, width, columns, schema
@@ -52,11 +53,28 @@ class LatestEvents(StatefulProcessor):
         pass
 
 
+class LatestOfSlices(StatefulProcessor):
+    """The last `size` of the events that a window's slices hand out; all of them do so in the trigger that closes the window."""
+
+    def __init__(self, size: int, columns: list[str]) -> None:
+        self.size, self.columns = size, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield pd.concat(list(rows)).sort_values(self.columns, ascending=False).head(self.size)[[*STREAM_KEYS, *self.columns]]
+
+    def close(self) -> None:
+        pass
+
+
 def stream_sample(events: DataFrame, width: float, size: int, delay: str = "0 seconds", keys: Sequence[str] = (),
-                  keep: Sequence[str] = (), anchor: int = 0) -> DataFrame:
+                  keep: Sequence[str] = (), anchor: int = 0, slices: int = SLICES) -> DataFrame:
     """Rows of the last `size` events of every window, emitted when the watermark passes its end.
 
-    A window's state never holds more than `size` events; ties in time are broken by `keep`.
+    A window's events are spread over `slices` by a hash, each with a state of `size` events at most; when the window closes,
+    the slices' events meet, `size` times `slices` at most. Ties in time are broken by `keep`.
     """
     if size < 1:
         raise ValueError("sample size must be positive")
@@ -65,9 +83,12 @@ def stream_sample(events: DataFrame, width: float, size: int, delay: str = "0 se
     columns = ["ts_us", *keep]
     start = F.col("ts_us") - F.pmod(F.col("ts_us") - F.lit(anchor), F.lit(step))
     rows = events.where("ts_us is not null").withColumn("event_time", F.timestamp_micros("ts_us")) \
-        .withWatermark("event_time", delay).select(series.alias("series"), start.alias("win_start_us"), "event_time", *columns)
+        .withWatermark("event_time", delay).select(series.alias("series"), start.alias("win_start_us"),
+                                                   F.pmod(F.xxhash64(*columns), F.lit(slices)).alias("slice"), "event_time", *columns)
     held = T.StructType([rows.schema[c] for c in columns])
     out = T.StructType([rows.schema[c] for c in (*STREAM_KEYS, *columns)])
-    return rows.groupBy(*STREAM_KEYS).transformWithStateInPandas(
+    by_slice = rows.groupBy(*STREAM_KEYS, "slice").transformWithStateInPandas(
         LatestEvents(size, step, columns, held.simpleString()[len("struct<"):-1].replace(":", " ")), out,
         outputMode="append", timeMode="EventTime")
+    return by_slice.groupBy(*STREAM_KEYS).transformWithStateInPandas(
+        LatestOfSlices(size, columns), out, outputMode="append", timeMode="None")
