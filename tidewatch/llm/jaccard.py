@@ -310,19 +310,17 @@ PAIR = ("key", "block", "other")
 # --- the join -----------------------------------------------------------------------------------
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets overlap enough: the exact check."""
-    pairs, written = staged(pairs), []
+    """The pairs (a, b) whose sets overlap enough: the exact check.
 
-    def side(name: str) -> DataFrame:
-        """The sets that this side of the pairs needs, and no others."""
-        ids = staged(pairs.select(F.col(name).alias("set_no")).distinct())
-        written.append(ids)
-        return sets.join(_small(ids), "set_no", "left_semi").select(F.col("set_no").alias(name), F.col("shingles").alias(f"_{name}"))
-
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    Pairs are numbers and go to the sets of their `a`; only those sets move, once, to the sets of `b`.
+    """
+    pairs = staged(pairs)
+    ids = staged(pairs.select(F.col("b").alias("set_no")).distinct())
+    left = sets.select(F.col("set_no").alias("a"), F.col("shingles").alias("_a")).join(_small(pairs), "a")
+    right = sets.join(_small(ids), "set_no", "left_semi").select(F.col("set_no").alias("b"), F.col("shingles").alias("_b"))
     shared = F.size(F.array_intersect("_a", "_b"))
-    found = staged(both.where(shared * (den + num) >= (F.size("_a") + F.size("_b")) * num).select("a", "b"))
-    discard(pairs, *written)
+    found = staged(left.join(right, "b").where(shared * (den + num) >= (F.size("_a") + F.size("_b")) * num).select("a", "b"))
+    discard(pairs, ids)
     return found
 
 
