@@ -164,3 +164,20 @@ def test_components(spark, links):
             top[max(a, b)] = min(a, b)
     df = spark.createDataFrame(links, "a long, b long")
     assert {(r.node, r.component) for r in components(df).collect()} == {(i, find(i)) for i in list(top)}
+
+
+@pytest.mark.parametrize("cut, bucket", [(1 << 22, 1 << 20), (7, 5)])
+def test_shared_keys_are_those_of_several_rows(spark, monkeypatch, cut, bucket):
+    monkeypatch.setattr(J, "CUT_KEYS", cut)
+    monkeypatch.setattr(J, "BUCKET_KEYS", bucket)
+    rng = np.random.default_rng(8)
+    rows = [((k % 3) << 40 | k * 9_000, [7, *map(int, rng.choice(np.arange(-300, 300), 6, replace=False))]) for k in range(60)]
+    rows += [(999_999, []), (999_998, [-(2 ** 63), 2 ** 63 - 1])]
+    holders = {}
+    for row, keys in rows:
+        for key in set(keys):
+            holders.setdefault(key, set()).add(row)
+    want = {(key, row) for key, held in holders.items() if len(held) > 1 for row in held}
+    found = J._shared_keys(spark.createDataFrame(rows, "row long, keys array<long>").repartition(3)).collect()
+    assert {(r["key"], r["row"]) for r in found if len(holders[r["key"]]) > 1} == want
+    assert J._shared_keys(spark.createDataFrame([], "row long, keys array<long>")).collect() == []

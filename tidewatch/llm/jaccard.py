@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ BLOCK = 512  # documents of a block of one tree, about; larger trees are many bl
 BLOCK_SHINGLES = 1 << 19  # 8 bytes each; so many more make another block
 TWIG = 16  # documents under a lowest inner node
 BROADCAST_IDS = 500_000  # so many ids (8 bytes each) are sent to all tasks at most
+CUT_KEYS = 1 << 22  # keys of upper nodes that a task deals out at a time
+BUCKET_KEYS = 1 << 20  # keys that meet in one task, about
 _MIN_BITS = 512
 FINE, ROUGH = 4, 2  # bits per shingle of the bitmaps that decide and of those that only rank
 
@@ -87,19 +90,91 @@ def _document_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 
 def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(row, doc_id, n_shingles, set_no, keys): `row` numbers the rows; it holds once the table is written."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             sizes, numbers, keys = [], [], []
             for s in _document_sets(batch.column(1), n):
                 sizes.append(len(s))
                 numbers.append(class_number(s) if len(s) else None)
                 keys.append(routes(s, num, den, size_bands(num, den, 2 * len(s) + 2)).astype(np.int64) if len(s) else None)
+            rows = np.arange(row, row + batch.num_rows)
+            row += batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_no", "keys"])
+                [pa.array(rows), batch.column(0), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["row", "doc_id", "n_shingles", "set_no", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_shingles long, set_no long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(work, f"row long, doc_id {kind}, n_shingles long, set_no long, keys array<long>")
+
+
+def deal(keys: np.ndarray, rows: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bool, bytes, bytes]]:
+    """(bucket, upper part of the row numbers, known, keys, lower 16 bits of the row numbers), ten bytes per key.
+
+    Keys that occur twice here are known to be shared and only pass through; one of each still meets those of other tasks, so that no
+    key fills its bucket.
+    """
+    order = np.argsort(keys, kind="stable")
+    keys, rows = keys[order], rows[order]
+    new = np.append(True, keys[1:] != keys[:-1])
+    twice = ~new | np.append(~new[1:], False)
+    chunk = rows >> 16
+    for known, chosen in ((False, new), (True, twice)):
+        k, r, c = keys[chosen], rows[chosen], chunk[chosen]
+        # Known ones need no meeting and are dealt by their rows.
+        bucket = ((mix((c if known else k).astype(np.int64).view(np.uint64)) >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((c, bucket))
+        k, r, c, bucket = k[order], r[order], c[order], bucket[order]
+        starts = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (c[1:] != c[:-1]))) if len(k) else []
+        for a, b in zip(starts, np.append(starts[1:], len(k))):
+            yield int(bucket[a]), int(c[a]), known, k[a:b].tobytes(), (r[a:b] & 0xFFFF).astype(np.uint16).tobytes()
+
+
+def _shared_keys(signatures: DataFrame) -> DataFrame:
+    """(key, row) of the keys that several rows of `signatures` (row, keys) have; repeated at most by what one task found twice."""
+    entries = signatures.agg(F.sum(F.size("keys"))).first()[0] or 0
+    buckets = entries // BUCKET_KEYS + 1
+    schema = "bucket long, chunk long, known boolean, keys binary, places binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            dealt = list(deal(*map(np.concatenate, zip(*held)), buckets)) if held else []
+            held.clear()
+            for k in range(0, len(dealt), 4096):
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*dealt[k:k + 4096]), kinds)],
+                                                 names=["bucket", "chunk", "known", "keys", "places"])
+
+        for batch in batches:
+            lists = batch.column(1)
+            n = lists.value_lengths().to_numpy(zero_copy_only=False)
+            held.append((lists.flatten().to_numpy(zero_copy_only=False), np.repeat(batch.column(0).to_numpy(), n)))
+            if sum(len(k) for k, _ in held) >= CUT_KEYS:
+                yield from out()
+        yield from out()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for chunk, known, found, places in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                k, r = np.frombuffer(found, np.int64), (chunk << 16) + np.frombuffer(places, np.uint16).astype(np.int64)
+                if known:
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(r)], names=["key", "row"])
+                else:
+                    keys.append(k)
+                    rows.append(r)
+        key, row = np.concatenate(keys), np.concatenate(rows)
+        order = np.argsort(key, kind="stable")
+        key, row = key[order], row[order]
+        same = key[1:] == key[:-1]
+        shared = np.append(same, False) | np.append(False, same) if len(key) else np.zeros(0, bool)
+        yield pa.RecordBatch.from_arrays([pa.array(key[shared]), pa.array(row[shared])], names=["key", "row"])
+
+    dealt = signatures.select("row", "keys").mapInArrow(cut, schema).repartition(buckets, "bucket")
+    return dealt.mapInArrow(meet, "key long, row long")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -358,12 +433,15 @@ def _blocks(nodes: DataFrame, grouped: DataFrame, sets: DataFrame, bits: str) ->
 
 def _row_groups(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Signatures per row (doc_id, n_shingles, set_no), and per class (set_no, first_id, rows, component)."""
-    signatures = staged(_signatures(docs, n, num, den))
+    full = staged(_signatures(docs, n, num, den))
+    signatures = staged(full.drop("keys"))
     keyed = signatures.where(F.col("set_no").isNotNull())
-    hung = keyed.select("set_no", "n_shingles", F.explode("keys").alias("key"))
-    shared = staged(hung.groupBy("key").agg(F.min("set_no").alias("leader"), F.max("set_no").alias("last"))
-                    .where("leader < last").select("key", "leader"))
-    nodes = staged(hung.join(_small(shared), "key").select("key", "set_no", "n_shingles", "leader").distinct())
+    # One row stands for its class.
+    first = keyed.groupBy("set_no").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("set_no", "first")
+    copies = staged(keyed.join(first, "set_no").where("row <> first").select("row"))
+    shared = staged(_shared_keys(full.where(F.col("set_no").isNotNull()).join(_small(copies), "row", "left_anti")))
+    discard(full, copies)
+    nodes = staged(shared.join(keyed.select("row", "set_no", "n_shingles"), "row").select("key", "set_no", "n_shingles").distinct())
     discard(shared)
     classes = keyed.groupBy("set_no").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
     needed = staged(nodes.select("set_no").distinct().join(classes, "set_no").select("set_no", "first_id"))
@@ -376,7 +454,8 @@ def _row_groups(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     sets = staged(sets)
     discard(needed, ids)
 
-    often = nodes.where(F.col("set_no") != F.col("leader")).groupBy("set_no", "leader").count()
+    leaders = nodes.groupBy("key").agg(F.min("set_no").alias("leader"))
+    often = nodes.join(leaders, "key").where(F.col("set_no") != F.col("leader")).groupBy("set_no", "leader").count()
     tried = often.groupBy("set_no").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
     links = _linked(tried.select(F.col("set_no").alias("a"), F.col("leader").alias("b")), sets, num, den)
     for whole in (False, True):
@@ -404,8 +483,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     0), links with nothing and is its own component. A row without doc_id keeps its size, names no component but may
     join one; rows repeating an id are documents of their own. Other columns are not read.
 
-    Equal sets are one class from the start. Sums over keys of upper nodes (least and largest class) have
-    map-side partials and drop the nodes that hold one class only, which are nearly all. Each remaining class is
+    Equal sets are one class from the start, and one row of each brings its keys of upper nodes. Keys are dealt out by their hash, ten
+    bytes each, and those that only one class has, nearly all, end where they meet. Each remaining class is
     tried against the class that leads most of its nodes; from then on only nodes that still hold several
     components matter, so large groups of near copies don't meet pairwise. Those nodes' trees are walked twice: first
     each class's most promising pair is checked, then, in nodes that still hold several components, each pair of
