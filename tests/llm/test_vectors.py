@@ -61,6 +61,19 @@ def test_one_hot_group_in_many_blocks(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_widths_that_share_strips_are_kept_apart(spark, monkeypatch):
+    rows = planted(np.random.default_rng(9), 3, 4, 0.012) + [(500, [1.0, 2.0], 1), (501, [2.0, 4.0], 1)]
+    numbered = V._numbered
+
+    def colliding(classes, least):  # the short vectors lie in the strips of a long one
+        found = numbered(classes, least).join(classes.selectExpr("class_id", "size(vector) AS width"), "class_id")
+        one = found.where("width = 64").selectExpr("min_by(strips, class_id) AS other")
+        return found.crossJoin(one).selectExpr("class_id", "CASE WHEN width = 2 THEN other ELSE strips END AS strips")
+
+    monkeypatch.setattr(V, "_numbered", colliding)
+    assert run(spark, rows) == brute(rows)
+
+
 def test_recall_at_the_threshold(spark):
     rng = np.random.default_rng(5)
     rows = []

@@ -19,6 +19,7 @@ PROJECTIONS = 48  # projections whose windows are counted
 SIGMAS = 2.0  # half a window, in deviations of a projected difference at the least similarity
 STRIP = 5.0  # width of a strip, in the same unit
 BLOCK = 512
+STRIP_KEY = ("label", "table", "strip")
 _SLACK = 1e-9
 
 
@@ -208,17 +209,21 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     grouped = valid.groupBy("at").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("rows"))
     # Equal vectors share a class; its number must be unique and the same in every attempt.
     classes = staged(grouped.select(F.xxhash64("at").alias("class_id"), "at.label", "at.vector", "first_id", "rows"))
-    numbers = staged(_numbered(classes, least).join(classes.select("class_id", "label"), "class_id"))
+    # Only vectors of one label and one width meet.
+    kind = F.struct("label", F.size("vector").alias("width")).alias("label")
+    numbers = staged(_numbered(classes, least).join(classes.select("class_id", kind), "class_id"))
     strips = numbers.select("class_id", "label", F.posexplode("strips").alias("table", "strip"))
-    busy = staged(strips.groupBy("label", "table", "strip").agg(F.count("*").alias("n")).where("n > 1").select(
-        "label", "table", "strip", F.ceil(F.col("n") / float(BLOCK)).cast("long").alias("blocks")))
-    met = strips.join(busy, ["label", "table", "strip"]).join(classes.select("class_id", "vector", "rows"), "class_id")
-    trees = staged(met.groupBy("label", "table", "strip", "blocks", F.pmod(F.xxhash64("class_id"), F.col("blocks")).alias("block")).agg(
+    busy = staged(strips.groupBy(*STRIP_KEY).agg(F.count("*").alias("n")).where("n > 1").select(
+        *STRIP_KEY, F.ceil(F.col("n") / float(BLOCK)).cast("long").alias("blocks")))
+    met = strips.join(busy, [*STRIP_KEY]).join(classes.select("class_id", "vector", "rows"), "class_id")
+    trees = staged(met.groupBy(*STRIP_KEY, "blocks", F.pmod(F.xxhash64("class_id"), F.col("blocks")).alias("block")).agg(
         F.collect_list(F.struct("class_id", "rows", "vector")).alias("left")))
     alone = trees.select("table", "left", F.lit(None).cast(trees.schema["left"].dataType).alias("right"))
     many = trees.where("blocks > 1")
-    other = many.select("label", "table", "strip", F.col("block").alias("o"), F.col("left").alias("right"))
-    across = many.join(other, ["label", "table", "strip"]).where("block < o").select("table", "left", "right")
+    # Pairs of blocks are a table of numbers, to which each block is joined on its own.
+    pairs = many.select(*STRIP_KEY, "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).where("block < other")
+    right = many.select(*STRIP_KEY, F.col("block").alias("other"), F.col("left").alias("right"))
+    across = pairs.join(many.drop("blocks"), [*STRIP_KEY, "block"]).join(right, [*STRIP_KEY, "other"]).select("table", "left", "right")
     found = staged(_compared(alone.unionByName(across), least))
 
     links = found.where(F.col("links").isNotNull()).groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links"))
