@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -127,3 +128,18 @@ def test_digests(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"abc")
     row = file_digests(spark, str(tmp_path)).first()
     assert row["sha256"] == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad" and row["bytes"] == 3
+
+
+def test_digests_of_files_of_any_size_and_name(spark, tmp_path):
+    contents = {"a b%20#é.bin": b"x", "empty": b"", "deep/y.bin": bytes(range(256)) * 40_000}
+    for name, content in contents.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    with open(tmp_path / "sparse", "wb") as file:
+        file.truncate(3 << 30)
+    digest, zeros = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(3 << 10):
+        digest.update(zeros)
+    rows = file_digests(spark, str(tmp_path)).collect()
+    assert sorted((r["bytes"], r["sha256"]) for r in rows) == sorted(
+        [(len(c), hashlib.sha256(c).hexdigest()) for c in contents.values() if c] + [(3 << 30, digest.hexdigest())])
