@@ -103,6 +103,27 @@ def test_samples_stay_bounded_over_triggers(spark, tmp_path, slices):
         {('{"k":"a"}', 0): [17, 19], ('{"k":"a"}', 20_000_000): [37, 38], ('{"k":"a"}', 40_000_000): [58, 59]}
 
 
+def test_samples_of_many_windows_share_few_groups(spark, tmp_path):
+    rows = [(f"s{i % 40}", float(1 + i % 97 + 20 * (i // 200)), None if i % 7 == 0 else float(i % 5), None if i % 3 else 2**53 + i) for i in range(600)]
+    schema, path = "k string, ts double, bytes double, n long", str(tmp_path / "in")
+    for at in range(0, 600, 200):
+        spark.createDataFrame(rows[at:at + 200] + ([("end", 900.0, 1.0, None)] if at == 400 else []), schema).coalesce(1).write.mode("append").parquet(path)
+    events = canonical_events(stream_flows(spark, path, schema, files_per_trigger=1), keys=["k"], keep=["n"])
+    stream = stream_sample(events, 20, 3, "500 seconds", ["k"], ["n"], slices=3, buckets=5)
+    query = stream.writeStream.format("memory").queryName("few_groups").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = {}
+    for k, ts, _, n in rows:
+        want.setdefault((f'{{"k":"{k}"}}', int(ts) // 20 * 20_000_000), []).append((int(ts) * 1_000_000, n))
+    want = {w: sorted(v, key=lambda e: (e[0], e[1] is not None, e[1] or 0), reverse=True)[:3] for w, v in want.items() if w[1] + 20_000_000 <= 400_000_000}
+    got = {}
+    for r in spark.table("few_groups").collect():
+        got.setdefault((r["series"], r["win_start_us"]), []).append((r["ts_us"], r["n"]))
+    assert len(want) > 100 and {w: sorted(v, key=str) for w, v in got.items()} == {w: sorted(v, key=str) for w, v in want.items()}
+    # State rows (parts, book, timers) follow the groups, not the windows.
+    assert max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]) <= 5 * 12
+
+
 def test_stream_arguments(spark, tmp_path):
     with pytest.raises(ValueError):
         stream_flows(spark, str(tmp_path), SCHEMA, "xml")
