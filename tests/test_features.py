@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import tidewatch.operators.regrid as regrid
 from tidewatch.operators.canonical import canonical_events, unreadable_times
-from tidewatch.operators.features import features_array
+from tidewatch.operators.features import features_array, port_masks, with_port_rows
 from tidewatch.operators.regrid import regrid_features
 from tidewatch.operators.scaling import (
     Scaler, collect_scaler, fit_scaler, rescale, scale, scaler_from_json, scaler_to_json, unscale,
@@ -240,3 +240,31 @@ def test_one_busy_series_beyond_the_broadcast_limit(spark, monkeypatch):
     e = events(spark, [("hot", float(i)) for i in range(300)] + [(None, 7.0), ("cold", 1.0)], "k string, ts double", keys=["k"])
     got = {r["k"]: r["n"] for r in tumbling_features(e, 1000, ["k"]).groupBy("k").agg(F.sum("event_count").alias("n")).collect()}
     assert got == {"hot": 300, None: 1, "cold": 1}
+
+
+def test_groups_are_gathered_before_their_sums_open(spark):
+    rows = [(None if i % 50 == 0 else "a", float(i % 40), float(i), 80 + i) for i in range(4_000)]
+    events = canonical_events(spark.createDataFrame(rows, "k string, ts double, bytes double, dst_port int").repartition(4), keys=["k"])
+    windows = tumbling_features(events, 10, ["k"])
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(advisory)
+    spark.conf.set(advisory, "2k")  # the windows of "a" are cut into parts
+    try:
+        got = {(r["k"], r["win_idx"]): (r["event_count"], r["flow_bytes"], r["port_diversity"]) for r in windows.collect()}
+    finally:
+        spark.conf.set(advisory, before)
+    want = {}
+    for k, ts, size, port in rows:
+        want.setdefault((k, int(ts) // 10), []).append((size, port))
+    assert got == {w: (len(v), sum(s for s, _ in v), len({p for _, p in v})) for w, v in want.items()}
+
+    def plan(table):
+        return table._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan(windows) and "REBALANCE" not in plan(tumbling_features(events, 10))
+
+
+def test_port_blocks_meet_the_wide_sums_as_one_row_per_group(spark):
+    events = spark.createDataFrame([("a", [1, 2, 100, 700]), ("a", [2, 5_000]), (None, [7])], "k string, ports array<bigint>")
+    rows = with_port_rows(spark.createDataFrame([("a",), (None,)], "k string"), port_masks(events, ["k"]), ["k"])
+    ported = sorted((str(r["k"]), r["_ports"], r["_pairs"]) for r in rows.where("_ports IS NOT NULL").collect())
+    assert rows.count() == 4 and ported == [("None", 1, 0), ("a", 5, 1)]

@@ -154,17 +154,41 @@ def finish(table: DataFrame, by: Sequence[str], options: FeatureOptions) -> Data
 
 
 def with_port_rows(rows: DataFrame, masks: DataFrame | None, by: Sequence[str]) -> DataFrame:
-    """Append one row per group and port block that carries only port counts."""
-    return rows if masks is None else rows.unionByName(mask_counts(masks, by), allowMissingColumns=True)
+    """Append rows that carry only port counts: one per group, in a stream one per group and port block.
+
+    Blocks are added up by narrow rows first: a block's row would else open a group of all the sums in its task.
+    """
+    if masks is None:
+        return rows
+    counts = mask_counts(masks, by)
+    if not counts.isStreaming:
+        counts = counts.groupBy(*by).agg(*_aggregates(dict.fromkeys(PORT_SUMS, "sum")))
+    return rows.unionByName(counts, allowMissingColumns=True)
+
+
+PARTS = 200  # up to this many parts Spark writes a shuffle's files without holding rows
+
+
+def gathered(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows dealt out by group, in parts of the session's advisory size, so that a task's partial sums are those of few groups.
+
+    A group's partial sums are many times as wide as a record in its file: where a scan task meets about as many groups as records,
+    they would fill its memory. Parts are cut by size, so a busy group has many. A stream's rows stay where they are.
+    """
+    if rows.isStreaming:
+        return rows
+    return rows.withColumn("_group", F.xxhash64(*by)).hint("rebalance", PARTS, "_group").drop("_group")
 
 
-def window_features(events: DataFrame, by: Sequence[str], options: FeatureOptions = ONLINE) -> DataFrame:
+def window_features(events: DataFrame, by: Sequence[str], options: FeatureOptions = ONLINE, many: bool = False) -> DataFrame:
     """24 features, event count, highest stage and highest risk of every group.
 
     Port bits are reduced on their own and appended to the records as extra rows that carry
-    nothing else, so one grouped aggregate finishes both without a join.
+    nothing else, so one grouped aggregate finishes both without a join. With `many` groups their records are gathered first.
     """
     rows = moment_inputs(events, options).select(*by, *SUMS, "duration", *MOMENTS, "stage", "risk", "_n")
+    if many:
+        rows = gathered(rows, by)
     ported = "ports" in events.columns
     rows = with_port_rows(rows, port_masks(events, by) if ported else None, by)
     moments = [F.expr(f"{call}({name}) AS {name}_{part}") for name in MOMENTS

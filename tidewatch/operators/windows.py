@@ -87,7 +87,7 @@ def tumbling_features(events: DataFrame, width: float, keys: Sequence[str] = (),
                       options: FeatureOptions = ONLINE) -> DataFrame:
     """Features of back-to-back windows; windows without events are absent."""
     by = [*keys, "win_idx", "win_start_us"]
-    return _with_bounds(window_features(assign_windows(events, width, keys, anchor), by, options), keys,
+    return _with_bounds(window_features(assign_windows(events, width, keys, anchor), by, options, bool(keys)), keys,
                         to_micros(width))
 
 
@@ -102,7 +102,7 @@ def sliding_features(events: DataFrame, width: float, stride: float, keys: Seque
     by = [*keys, "win_idx", "win_start_us"]
     if step >= size:
         rows = assign_sliding(events, width, stride, keys, anchor)
-        return _with_bounds(window_features(rows, by, options), keys, size)
+        return _with_bounds(window_features(rows, by, options, bool(keys)), keys, size)
     pane = math.gcd(size, step)
     anchored = with_anchor(events, keys, anchor)
     anchored = anchored.withColumn("_pane", F.col("_anchor") + F.lit(pane) *
