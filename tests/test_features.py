@@ -260,7 +260,8 @@ def test_groups_are_gathered_before_their_sums_open(spark):
 
     def plan(table):
         return table._jdf.queryExecution().executedPlan().toString()
-    assert "REBALANCE_PARTITIONS_BY_COL" in plan(windows) and "REBALANCE" not in plan(tumbling_features(events, 10))
+    # Records and their ports, each on their way to sums.
+    assert plan(windows).split("Initial Plan")[1].count("REBALANCE_PARTITIONS_BY_COL") == 2 and "REBALANCE" not in plan(tumbling_features(events, 10))
 
 
 def test_port_blocks_meet_the_wide_sums_as_one_row_per_group(spark):

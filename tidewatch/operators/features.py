@@ -187,10 +187,11 @@ def window_features(events: DataFrame, by: Sequence[str], options: FeatureOption
     nothing else, so one grouped aggregate finishes both without a join. With `many` groups their records are gathered first.
     """
     rows = moment_inputs(events, options).select(*by, *SUMS, "duration", *MOMENTS, "stage", "risk", "_n")
-    if many:
-        rows = gathered(rows, by)
     ported = "ports" in events.columns
-    rows = with_port_rows(rows, port_masks(events, by) if ported else None, by)
+    members = events.select(*by, "ports") if ported else None
+    if many:
+        rows, members = gathered(rows, by), gathered(members, by) if ported else None
+    rows = with_port_rows(rows, port_masks(members, by) if ported else None, by)
     moments = [F.expr(f"{call}({name}) AS {name}_{part}") for name in MOMENTS
                for call, part in (("avg", "a"), ("var_pop", "v"), ("max", "x"))]
     return finish(rows.groupBy(*by).agg(*_plain_aggregates(ported), *moments), by, options)
