@@ -69,6 +69,18 @@ def test_events_older_than_the_watermark_are_left_out_and_told(spark, tmp_path,
     assert sorted((r["ts_us"] // 1_000_000, r["k"]) for r in late.collect()) == [(12, None), (29, "a"), (49, "b")]
 
 
+def test_late_events_pass_in_batches_and_keep_their_types(spark, tmp_path):
+    schema, path = "k string, ts double, n long, l array<bigint>", str(tmp_path / "in")
+    late = [("a", 1.0, 2**53 + 1, [1, None, 2**60 + 1]), (None, 2.0, None, None), ("b", 3.0, None, [])]
+    for rows in ([("a", 100.0, 1, [1])], late, [("a", 200.0, None, None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    events = canonical_events(stream_flows(spark, path, schema, files_per_trigger=1), keys=["k"], keep=["n", "l"])
+    told = late_events(events, keep=["k", "n", "l"])
+    assert "MapInArrow" in told._jdf.queryExecution().logical().toString()
+    got = drain(spark, told, tmp_path, "typed").collect()
+    assert sorted(((r["k"], r["ts_us"] / 1e6, r["n"], r["l"]) for r in got), key=lambda r: r[1]) == late
+
+
 def test_events_older_than_the_watermark_end_a_strict_stream(spark, tmp_path):
     with pytest.raises(StreamingQueryException, match="older than the watermark"):
         drain(spark, stream_tumbling(overlapping(spark, tmp_path), 60, keys=["k"], late="error"), tmp_path, "strict")

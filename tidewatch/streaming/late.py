@@ -38,13 +38,18 @@ class Gate(StatefulProcessor):
                 if through.num_rows:
                     moment = pa.timestamp("us", tz="UTC")
                     time = pa.nulls(through.num_rows, moment) if self.late == "only" else through["ts_us"].cast(moment)
-                    # Arrow's own types, so that numbers, nulls and lists stay what they are.
-                    yield through.append_column("event_time", time).to_pandas(types_mapper=pd.ArrowDtype)
+                    yield _frame(through.append_column("event_time", time))
 
     def close(self) -> None:
         pass
 
 
+def _frame(events: pa.Table) -> pd.DataFrame:
+    """Columns under Arrow's own types, nested ones as Python values, so that numbers, nulls and lists stay what they are."""
+    return pd.DataFrame({name: pd.Series(column.to_pylist(), dtype=object) if pa.types.is_nested(column.type)
+                         else pd.Series(pd.arrays.ArrowExtensionArray(column)) for name, column in zip(events.column_names, events.columns)})
+
+
 def _packer(slices: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
