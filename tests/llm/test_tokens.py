@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -79,3 +80,39 @@ def test_the_library_decodes_it(spark):
     for r in L.round_trip(df).collect():
         assert r.same and library.decode(list(r.ids)) == ("" if r.doc_id is None else "Ein Satz, der 日本 kennt.")
     assert L.round_trip(df.limit(0)).count() == 0
+
+
+LONG = ["".join(random.Random(n).choice("etaoin日é𠮷") for _ in range(n)) for n in (15, 16, 17, 19, 20, 21, 36, 40_000)] + ["inter" * 9, "the cat", "the cat", None, ""]
+
+
+def best_paths(texts):
+    table = piece_table(bundled_model())
+    scores = L.piece_scores(table)
+    score = dict(zip(scores["piece"], scores["piece_score"].astype(int)))
+    return [viterbi(t or "", table, score) for t in texts]
+
+
+def test_texts_are_encoded_and_decoded_without_a_shuffle(spark):
+    df = spark.createDataFrame([(None if k == 3 else 1, t) for k, t in enumerate(LONG)], "doc_id int, text string")
+    found = L.round_trip(df)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    assert all(r.same and r.n_tokens == len(r.ids) for r in rows)
+    assert sorted(list(r.ids) for r in rows) == sorted(best_paths(LONG))
+
+
+@pytest.mark.parametrize("chars", [16, 20, 1 << 15])
+def test_stretches_of_long_words_lead_to_the_same_path(monkeypatch, chars):
+    monkeypatch.setattr(L, "CHARS", chars)
+    monkeypatch.setattr(L, "IDS", 3)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(LONG, pa.string())})
+    coded = list(L._encoder(("text",), bundled_model(), 5)(iter([batch.slice(0, 4), batch.slice(4)])))
+    assert [i for c in coded for i in c.column(1).to_pylist()] == best_paths(LONG)
+    assert [t for c in L._decoder((), bundled_model())(iter([c.select(["ids"]) for c in coded])) for t in c.column(0).to_pylist()] == [t or "" for t in LONG]
+
+
+def test_decode_takes_null_lists_and_ids_outside_the_vocabulary(spark):
+    rows = [(1, None), (2, []), (3, [5, -3, 10 ** 9, None]), (4, sentencepiece.SentencePieceProcessor(model_file=bundled_model()).encode("a é日"))]
+    df = spark.createDataFrame(rows, "doc_id int, ids array<int>")
+    byte = {b: i for i, b in enumerate(piece_table(bundled_model()).bytes)}.get(5)
+    assert {r.doc_id: r.decoded for r in L.decode(df, "doc_id").collect()} == {1: "", 2: "", 3: bytes([byte]).decode() if byte is not None else "", 4: "a é日"}

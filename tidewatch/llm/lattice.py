@@ -1,24 +1,25 @@
-"""SentencePiece encoding by a relational lattice, and decoding."""
+"""SentencePiece encoding by lattices of words, and decoding."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.pieces import MARK, PieceTable, bundled_model, piece_table, pre_tokens, spaced
-from tidewatch.llm.text import span_hashes, utf8_slices
-from tidewatch.session import discard, staged
+from tidewatch.llm.text import row_bounds, span_hashes, utf8_slices
 
-FREQUENT = 1_000_000  # encoded words that all tasks get at most (40 MB or so); rarer ones come by a join
-SEGMENT = 512  # characters of a word whose substrings are taken together
+FREQUENT = 200_000  # solved words that a task keeps for its later texts at most (about 30 bytes each)
+CHARS = 1 << 15  # characters whose edges are held at a time (200 bytes or so each)
+IDS = 1 << 18  # ids that are decoded at a time
 BYTE_SCORE = -12_000_000
-WORDS_PER_TASK = 8_192  # about 25 edges each, grouped in memory
+_NONE = -(1 << 61)  # no edge; two of them still fit
 
 
 def piece_scores(table: PieceTable) -> pd.DataFrame:
@@ -27,101 +28,181 @@ def piece_scores(table: PieceTable) -> pd.DataFrame:
                          "piece_score": [-round(float(np.log(table.rank[p] + 2.0)) * 1e6) for p in table.pieces]})
 
 
-# --- words -----------------------------------------------------------------------------------------
-
-def _parts(texts: pa.Array, alone) -> Iterator[tuple]:
-    for row, end, data, offsets in utf8_slices(texts):
-        data, offsets = spaced(data, offsets)
-        rows, starts, ends = pre_tokens(data, offsets, alone)
-        yield row, end, data, rows, starts, ends, span_hashes(data, starts, ends)
-
-
-def distinct_words(docs: DataFrame, model: str) -> DataFrame:
-    """(word, n): all parts that pieces don't cross, spaces written as marks, and how often they occur."""
-    alone = piece_table(model).alone
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, _, starts, ends, hashes in _parts(batch.column(0), alone):
-                _, first, n = np.unique(hashes, return_index=True, return_counts=True)
-                raw = data.tobytes()
-                words = [raw[a:b].decode("utf-8", "replace").replace(" ", MARK) for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n.astype(np.int64))], names=["word", "n"])
-
-    return docs.select("text").mapInArrow(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
 # --- the lattice ---------------------------------------------------------------------------------------
 
-def _viterbi(edges: Column) -> Column:
-    """Ids of the best path through edges (end, start, score, id), ordered by end and start.
+@dataclass(frozen=True)
+class _Begun:
+    """All beginnings of pieces, numbered so that `steps`, node * len(chars) + place of the next character, are ordered: step k leads to node k + 1."""
+    chars: np.ndarray
+    steps: np.ndarray
+    ids: np.ndarray  # of the piece that a node spells, or -1
+    scores: np.ndarray
+    longest: int
 
-    Folds position by position: `recent` has the best scores of the last positions an edge can come from, `back` for
-    each finished position the start and id of its best edge. Of equal scores the edge with the earlier start stays.
-    """
-    def step(s, e):
-        moved = s["at"] != e["end"]
-        recent = F.when(moved & (s["at"] > 0), F.slice(F.concat(s["recent"], F.array(s["score"])), F.greatest(F.size(s["recent"]) - 14, F.lit(1)), F.lit(16))).otherwise(s["recent"])
-        back = F.when(moved & (s["at"] > 0), F.concat(s["back"], F.array(s["best"]))).otherwise(s["back"])
-        score = F.element_at(recent, e["start"] - e["end"]) + e["score"]
-        better = moved | (score > s["score"])
-        return F.struct(e["end"].alias("at"), recent.alias("recent"), back.alias("back"), F.when(better, score).otherwise(s["score"]).alias("score"),
-                        F.when(better, F.struct(e["start"].alias("start"), e["id"].alias("id"))).otherwise(s["best"]).alias("best"))
-
-    none = F.struct(F.lit(0).alias("start"), F.lit(0).alias("id"))
-    start = F.struct(F.lit(0).alias("at"), F.array(F.lit(0).cast("long")).alias("recent"), F.slice(F.array(none), 1, 0).alias("back"),
-                     F.lit(0).cast("long").alias("score"), none.alias("best"))
-    back = F.aggregate(edges, start, step, lambda s: F.concat(s["back"], F.array(s["best"])))
-
-    def walk(b):
-        def up(s, k):
-            edge = F.element_at(b, k)
-            return F.when(k == s["at"], F.struct(edge["start"].alias("at"), F.concat(F.array(edge["id"]), s["ids"]).alias("ids"))).otherwise(s)
-
-        return F.aggregate(F.sequence(F.size(b), F.lit(1), F.lit(-1)),
-                           F.struct(F.size(b).alias("at"), F.slice(F.array(F.lit(0)), 1, 0).alias("ids")), up, lambda s: s["ids"])
-
-    # A one-element list binds the path, so that it is folded once.
-    return F.element_at(F.transform(F.array(back), walk), 1)
-
-
-def encode_words(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, n, ids): the pieces of the best-scoring path of each distinct word.
-
-    Substrings of up to `longest` characters are exploded and joined with the piece table (piece, id, piece_score), a
-    broadcast of a table of fixed size; a character in no piece is an edge of its bytes. `words` must be dealt by
-    word, as the edges are grouped by it: they then stay where they are.
-    """
-    length = F.length("word")
-    by_segment = words.select("word", "n", F.explode(F.sequence(F.lit(0), F.floor((length - 1) / SEGMENT).cast("int"))).alias("k"))
-    part = by_segment.select("word", "n", (F.col("k") * SEGMENT).alias("base"),
-                             F.substring(F.col("word"), F.col("k") * SEGMENT + 1, F.lit(SEGMENT + longest - 1)).alias("part"))
-    begun = part.select("word", "n", "base", "part", F.explode(F.sequence(F.lit(1), F.least(F.length("part"), F.lit(SEGMENT)))).alias("i"))
-    sub = begun.select("word", "n", (F.col("base") + F.col("i") - 1).alias("start"), F.col("part"), F.col("i"),
-                       F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("part") - F.col("i") + 1))).alias("l"))
-    sub = sub.select("word", "n", "start", (F.col("start") + F.col("l")).alias("end"), F.substring(F.col("part"), F.col("i"), F.col("l")).alias("piece"))
-    joined = sub.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
-    edge = F.struct("end", "start", F.coalesce("piece_score", F.octet_length("piece").cast("long") * F.lit(BYTE_SCORE)).alias("score"),
-                    F.coalesce("id", -1 - F.ascii("piece")).alias("id"))
-    lattice = joined.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
-    return lattice.select("word", "n", _viterbi(F.col("edges")).alias("ids"))
+    @staticmethod
+    def of(table: PieceTable) -> _Begun:
+        scores = piece_scores(table)
+        known = dict(zip(scores["piece"], zip(scores["id"], scores["piece_score"])))
+        chars = sorted(set("".join(table.pieces)))
+        place = {c: k for k, c in enumerate(chars)}
+        longest = max(map(len, table.pieces))
+        nodes, level, steps = [""], {"": 0}, []
+        for n in range(1, longest + 1):
+            found = sorted((level[b[:-1]] * len(chars) + place[b[-1]], b) for b in {p[:n] for p in table.pieces if len(p) >= n})
+            level = {b: len(nodes) + k for k, (_, b) in enumerate(found)}
+            nodes += [b for _, b in found]
+            steps += [s for s, _ in found]
+        spelled = [known.get(b, (-1, _NONE)) for b in nodes]
+        return _Begun(np.array([ord(c) for c in chars]), np.array([*steps, np.iinfo(np.int64).max]), np.array([i for i, _ in spelled], np.int32),
+                      np.array([s for _, s in spelled], np.int64), longest)
+
+    def edges(self, chars: np.ndarray, limit: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(score, id) of the edges of up to `most` characters that end with each one, longest first; a character in no piece is an edge of its
+        bytes, id -1 - character.
+
+        `limit` is the end of each character's word.
+        """
+        scores, ids = np.full((len(chars), most), _NONE), np.zeros((len(chars), most), np.int32)
+        place = np.minimum(np.searchsorted(self.chars, chars), len(self.chars) - 1)
+        place = np.where(self.chars[place] == chars, place, -1)
+        start, node = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        for length in range(1, most + 1):
+            inside = start + length <= limit[start]
+            start, node = start[inside], node[inside]
+            nxt = place[start + length - 1]
+            step = node * len(self.chars) + nxt
+            at = np.searchsorted(self.steps, step)
+            found = (self.steps[at] == step) & (nxt >= 0)
+            start, node = start[found], at[found] + 1
+            piece = self.ids[node] >= 0
+            last = start[piece] + length - 1
+            scores[last, most - length], ids[last, most - length] = self.scores[node[piece]], self.ids[node[piece]]
+        odd = np.flatnonzero(scores[:, -1] == _NONE)
+        size = 1 + (chars[odd] > 0x7F).astype(np.int64) + (chars[odd] > 0x7FF) + (chars[odd] > 0xFFFF)
+        scores[odd, -1], ids[odd, -1] = size * BYTE_SCORE, -1 - chars[odd]
+        return scores, ids
+
+    def forward(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(length, id) of the best edge that ends with each character, and the last best scores of each word, as the next `entry`.
+
+        Words [starts, ends) of `chars`, longest first, take one step together at each place. `entry` has the scores of the last places
+        before each. Of equal scores the edge with the earlier start stays.
+        """
+        most = entry.shape[1]
+        scores, ids = self.edges(chars, limit, most)
+        lengths = ends - starts
+        first = starts + np.arange(len(starts)) * most
+        best = np.full(len(chars) + len(starts) * most, _NONE)
+        best[first[:, None] + np.arange(most)] = entry
+        windows = np.lib.stride_tricks.sliding_window_view(best, most)  # sees what is put into `best`
+        back, chosen = np.ones(len(chars), np.int64), np.zeros(len(chars), np.int32)
+        going = np.searchsorted(-lengths, -np.arange(lengths[0] + 1), "right")
+        for p in range(int(lengths[0])):
+            n = going[p + 1]
+            at, row = first[:n] + p, starts[:n] + p
+            reached = windows[at]
+            reached += scores[row]
+            k = reached.argmax(1)
+            best[at + most] = reached[np.arange(n), k]
+            back[row], chosen[row] = most - k, ids[row, k]
+        return back, chosen, windows[first + lengths]
+
+    def paths(self, chars: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each word) of the best paths through words, one after another in `chars`, longest first.
+
+        A word beyond CHARS goes through in stretches of so many, each entered with the scores that the last one left.
+        """
+        out, counts, ends = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], np.cumsum(lengths)
+        word = 0
+        while word < len(lengths):
+            begin = int(ends[word] - lengths[word])
+            last = max(word + 1, int(np.searchsorted(ends, begin + CHARS, "right")))
+            end = int(ends[last - 1])
+            stops = ends[word:last] - begin
+            starts = stops - lengths[word:last]
+            if end - begin <= CHARS:
+                most = min(self.longest, int(lengths[word]))
+                back, ids, _ = self.forward(chars[begin:end], starts, stops, _origin(last - word, most), np.repeat(stops, lengths[word:last]))
+            else:
+                entry, stretches = _origin(1, self.longest), []
+                for a in range(begin, end, CHARS):
+                    b, before = min(a + CHARS, end), min(self.longest - 1, a - begin)
+                    part = chars[a - before:b]
+                    *found, entry = self.forward(part, np.array([before]), np.array([len(part)]), entry, np.full(len(part), len(part)))
+                    stretches.append([f[before:] for f in found])
+                back, ids = map(np.concatenate, zip(*stretches))
+            on_path = np.zeros(end - begin, bool)
+            at, origin = stops - 1, starts
+            while len(at):
+                on_path[at] = True
+                at = at - back[at]
+                inside = at >= origin
+                at, origin = at[inside], origin[inside]
+            out.append(ids[on_path])
+            counts.append(np.add.reduceat(on_path, starts, dtype=np.int64))
+            word = last
+        return np.concatenate(out), np.concatenate(counts)
+
+
+def _origin(words: int, most: int) -> np.ndarray:
+    entry = np.full((words, most), _NONE)
+    entry[:, -1] = 0
+    return entry
+
+
+@lru_cache(2)
+def _begun(model: str) -> _Begun:
+    return _Begun.of(piece_table(model))
+
+
+def _with_bytes(ids: np.ndarray, counts: np.ndarray, byte_ids: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts with characters in no piece as their bytes' pieces."""
+    odd = ids < 0
+    if not odd.any():
+        return ids, counts
+    chars = -1 - ids[odd].astype(np.int64)
+    size = np.ones(len(ids), np.int64)
+    size[odd] += (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF)
+    out, place = np.repeat(ids, size), np.repeat(odd, size)
+    raw = "".join(map(chr, chars.tolist())).encode()
+    out[place] = np.array(byte_ids, np.int32)[np.frombuffer(raw, np.uint8)]
+    total = np.concatenate([[0], np.cumsum(size)])
+    ends = np.cumsum(counts)
+    return out, total[ends] - total[ends - counts]
+
+
+def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places [start, start + length) one after another."""
+    total = np.cumsum(lengths)
+    return np.repeat(starts - total + lengths, lengths) + np.arange(total[-1] if len(total) else 0)
+
+
+def encode_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, start, count of each word in them): best paths of the words [starts, ends) of UTF-8 `data`, spaces standing for marks."""
+    seen = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    lengths = seen[ends] - seen[starts]
+    order = np.argsort(-lengths, kind="stable")
+    raw = data[_gather(starts[order], (ends - starts)[order])].tobytes().decode().replace(" ", MARK)
+    chars = np.frombuffer(raw.encode("utf-32-le"), np.uint32).astype(np.int64)
+    ids, counts = _with_bytes(*_begun(model).paths(chars, lengths[order]), piece_table(model).bytes)
+    first, n = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    first[order], n[order] = np.cumsum(counts) - counts, counts
+    return ids, first, n
 
 
 # --- documents -----------------------------------------------------------------------------------------
 
 @dataclass(frozen=True)
 class _Words:
-    """Ordered hashes of encoded words and their ids, one after another."""
+    """Ordered hashes of solved words, and where their ids stand."""
     hashes: np.ndarray
     starts: np.ndarray
+    counts: np.ndarray
     ids: np.ndarray
 
     @staticmethod
-    def of(hashes: pa.Array, ids: pa.ListArray) -> _Words:
-        keys, first = np.unique(hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), return_index=True)
-        ids = ids.take(pa.array(first))
-        lengths = ids.value_lengths().to_numpy(zero_copy_only=False)
-        return _Words(keys, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+    def none() -> _Words:
+        return _Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Where each hash is, or -1."""
@@ -130,105 +211,95 @@ class _Words:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at, -1)
 
+    def joined(self, hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> _Words:
+        """With further words, whose starts are places in `ids`."""
+        own = ids[_gather(starts, counts)]
+        every = np.concatenate([self.hashes, hashes])
+        order = np.argsort(every)
+        starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        return _Words(every[order], starts[order], np.concatenate([self.counts, counts])[order], np.concatenate([self.ids, own]))
+
+
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
-def _hashed(encoded: DataFrame, byte_ids: tuple[int, ...]) -> DataFrame:
-    """(hash, n, ids) of encoded words: the hash that texts are cut with; characters in no piece become their bytes."""
+
+def _encoder(keep: tuple[str, ...], path: str, frequent: int) -> Batches:
+    """Batches of (keep..., and last the text) to such of (keep..., ids), a megabyte or one text at a time."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone, known = piece_table(path).alone, _Words.none()
         for batch in batches:
-            words = [w.replace(MARK, " ").encode() for w in batch.column(0).to_pylist()]
-            ends = np.cumsum([len(w) for w in words]).astype(np.int64)
-            hashes = span_hashes(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if words else np.zeros(0, np.uint64)
-            lists, flat = batch.column(2), batch.column(2).flatten()
-            if len(flat) and (flat.to_numpy(zero_copy_only=False) < 0).any():
-                lists = pa.array([[b for i in ids for b in ([i] if i >= 0 else [byte_ids[o] for o in chr(-1 - i).encode("utf-8", "surrogatepass")])]
-                                  for ids in lists.to_pylist()], pa.list_(pa.int32()))
-            else:
-                cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cuts), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), batch.column(1), lists], names=["hash", "n", "ids"])
+            for row, end, data, offsets in utf8_slices(batch.column(batch.num_columns - 1)):
+                data, offsets = spaced(data, offsets)
+                rows, starts, ends = pre_tokens(data, offsets, alone)
+                hashes, first, word = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+                at = known.find(hashes)
+                new, old = np.flatnonzero(at < 0), at >= 0
+                ids, begins, counts = encode_words(data, starts[first[new]], ends[first[new]], path)
+                begin, count = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+                begin[old], count[old] = known.starts[at[old]], known.counts[at[old]]
+                begin[new], count[new] = len(known.ids) + begins, counts
+                lists = np.concatenate([known.ids, ids])[_gather(begin[word], count[word])]
+                total = np.concatenate([[0], np.cumsum(count[word])])
+                cuts = pa.array(total[row_bounds(rows, end - row)].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, end - row) for c in range(len(keep))),
+                                                  pa.ListArray.from_arrays(cuts, pa.array(lists))], names=[*keep, "ids"])
+                some = new[:max(0, frequent - len(known.hashes))]
+                if len(some):
+                    known = known.joined(hashes[some], begins[:len(some)], counts[:len(some)], ids)
+
+    return work
+
+
+def _decoder(keep: tuple[str, ...], path: str) -> Batches:
+    """Batches of (keep..., and last the ids) to such of (keep..., decoded), about IDS ids at a time."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = piece_table(path)
+        spelled = [b""] * (max(*table.ids, *table.bytes) + 2)  # the last one is for ids of no piece
+        for i, piece in zip(table.ids, table.pieces):
+            spelled[i] = piece.replace(MARK, " ").encode()
+        for b, i in enumerate(table.bytes):
+            spelled[i] = bytes([b])
+        sizes, letters = np.array([len(s) for s in spelled]), np.frombuffer(b"".join(spelled), np.uint8)
+        begins = np.cumsum(sizes) - sizes
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = np.where((ids >= 0) & (ids < len(sizes)), ids, len(sizes) - 1)
+            bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            row = 0
+            while row < batch.num_rows:
+                end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + IDS, "right")) - 1)
+                own = ids[bounds[row]:bounds[end]]
+                raw = letters[_gather(begins[own], sizes[own])].tobytes()
+                cuts = np.concatenate([[0], np.cumsum(sizes[own])])[bounds[row:end + 1] - bounds[row]].tolist()
+                texts = [raw[a + (raw[a:min(a + 1, b)] == b" "):b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, end - row) for c in range(len(keep))), pa.array(texts, pa.string())],
+                                                 names=[*keep, "decoded"])
+                row = end
 
-    return encoded.select("word", "n", "ids").mapInArrow(work, "hash long, n long, ids array<int>")
+    return work
 
 
-def _frequent_from(words: DataFrame, most: int) -> int:
-    """The least bucket of log2(n) such that the words from it on are `most` at most."""
-    buckets = words.groupBy(_bucket().alias("b")).count().orderBy(F.desc("b")).collect()  # 64 * 8 rows at most
-    total, least = 0, 1 << 20
-    for row in buckets:
-        total += row["count"]
-        if total > most:
-            break
-        least = row["b"]
-    return least
+def _kinds(df: DataFrame, keep: tuple[str, ...]) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema)
 
 
-def _bucket() -> Column:
-    return F.floor(F.log2("n") * 8).cast("int")
+def _with_text(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """(keep..., text), the text once if `keep` ends with it."""
+    return docs.select(*keep, *([] if keep[-1:] == ("text",) else [F.col("text").alias("_text")]))
 
 
 def encode(docs: DataFrame, *keep: str, model: str | None = None, frequent: int = FREQUENT) -> DataFrame:
     """(keep..., ids): every whole text of `docs` (text) as piece ids of the best-scoring path, byte pieces where no piece fits.
 
-    The library's texts: a space before, spaces as marks. Each distinct word is a lattice of its piece-like substrings
-    (see `encode_words`) and solved once. Documents then take their words' ids: the `frequent` most frequent
-    words are a broadcast of fixed size, which also keeps hot words out of joins; the others are looked up by
-    a join on the word's 64-bit hash and brought to their documents by a hash of the text, so neither null nor
-    repeated ids matter and copies share one lookup. A null or empty text has an empty list. `model` is the
+    The library's texts: a space before, spaces as marks. Texts are cut where no piece can reach across. The different words of a
+    megabyte of texts are solved together: all their substrings that are pieces are edges of lattices, found along the pieces'
+    beginnings, and one step takes all words on by a character. A task keeps up to `frequent` solved words for its later
+    texts, told by their 64-bit hashes. Neither texts nor words leave their task, so neither null nor repeated ids,
+    copies or hot words matter. A null or empty text has an empty list. `model` is the
     vocabulary's path, the public 32,000 pieces by default, at the same place on all executors.
     """
-    spark, path = docs.sparkSession, model or bundled_model()
-    table = piece_table(path)
-    alone, byte_ids = table.alone, table.bytes
-    pieces = spark.createDataFrame(piece_scores(table), "piece string, id int, piece_score long")
-    counted = staged(distinct_words(docs, path))
-    dealt = counted.repartition(max(1, -(-counted.count() // WORDS_PER_TASK)), "word")
-    words = staged(_hashed(encode_words(dealt, pieces, max(map(len, table.pieces))), byte_ids))
-    discard(counted)
-    least = _frequent_from(words, frequent)
-    hot = words.where(_bucket() >= least).select("hash", "ids").toArrow()
-    shared = spark.sparkContext.broadcast(_Words.of(hot["hash"].combine_chunks(), _list(hot["ids"])))
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for row, end, _, rows, _, _, hashes in _parts(batch.column(1), alone):
-                new = shared.value.find(hashes) < 0
-                pairs = np.unique(np.stack([keys[row:end][rows[new]], hashes[new].astype(np.int64)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["_key", "hash"])
-
-    keyed = docs.select(*keep, F.xxhash64("text").alias("_key"), F.col("text").alias("_text"))
-    wanted = keyed.select("_key", "_text").mapInArrow(rare, "_key long, hash long").distinct()
-    found = wanted.join(words.where(_bucket() < least).select("hash", "ids"), "hash")
-    lookup = found.groupBy("_key").agg(F.collect_list(F.struct("hash", "ids")).alias("_rare"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
-        for batch in batches:
-            for row, end, _, rows, _, _, hashes in _parts(batch.column(batch.num_columns - 2), alone):
-                own = batch.column(batch.num_columns - 1).slice(row, end - row).flatten()
-                few = _Words.of(own.field("hash"), own.field("ids"))
-                at, other = hot.find(hashes), few.find(hashes)
-                if ((at < 0) & (other < 0)).any():
-                    raise ValueError("a word has no encoding")
-                starts = np.where(at >= 0, hot.starts[at], few.starts[other] + len(hot.ids) if len(few.hashes) else 0)
-                ends = np.where(at >= 0, hot.starts[at + 1], few.starts[other + 1] + len(hot.ids) if len(few.hashes) else 0)
-                lengths = ends - starts
-                total = np.concatenate([[0], np.cumsum(lengths)])
-                source = np.repeat(starts - total[:-1], lengths) + np.arange(total[-1])
-                first = source < len(hot.ids)
-                out = np.empty(len(source), np.int32)
-                out[first] = hot.ids[source[first]]
-                out[~first] = few.ids[source[~first] - len(hot.ids)]
-                cuts = total[np.searchsorted(rows, np.arange(end - row + 1))].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(out))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, end - row) for c in range(len(keep))), lists], names=[*keep, "ids"])
-
-    return keyed.join(lookup, "_key", "left").select(*keep, "_text", "_rare").mapInArrow(work, f"{kinds}, ids array<int>")
-
-
-def _list(column: pa.ChunkedArray) -> pa.ListArray:
-    return column.combine_chunks()
+    return _with_text(docs, keep).mapInArrow(_encoder(keep, model or bundled_model(), frequent), f"{_kinds(docs, keep)}ids array<int>")
 
 
 def decode(rows: DataFrame, *keep: str, model: str | None = None) -> DataFrame:
@@ -237,27 +308,17 @@ def decode(rows: DataFrame, *keep: str, model: str | None = None) -> DataFrame:
     Marks become spaces, byte pieces their bytes, and the space before the text goes. Ids of control pieces and ids outside the
     vocabulary decode to nothing; bytes that aren't UTF-8 become U+FFFD.
     """
-    path = model or bundled_model()
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = piece_table(path)
-        spelled = dict(zip(table.ids, (p.replace(MARK, " ").encode() for p in table.pieces)))
-        spelled |= {i: bytes([b]) for b, i in enumerate(table.bytes)}
-        for batch in batches:
-            texts = []
-            for ids in batch.column(batch.num_columns - 1):
-                numbers = ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []
-                text = b"".join([spelled.get(i, b"") for i in numbers]).decode("utf-8", "replace")
-                texts.append(text[1:] if text.startswith(" ") else text)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, "decoded"])
-
-    return rows.select(*keep, "ids").mapInArrow(work, f"{kinds}, decoded string")
+    ids = [] if keep[-1:] == ("ids",) else [F.col("ids").alias("_ids")]
+    return rows.select(*keep, *ids).mapInArrow(_decoder(keep, model or bundled_model()), f"{_kinds(rows, keep)}decoded string")
 
 
 def round_trip(docs: DataFrame, *keep: str, model: str | None = None) -> DataFrame:
-    """(doc_id, keep..., n_tokens, ids, same): each text's ids, and whether they decode to it (a mark comes back as a space)."""
-    encoded = encode(docs, "doc_id", *keep, "text", model=model)
-    decoded = decode(encoded, "doc_id", *keep, "text", "ids", model=model)
+    """(doc_id, keep..., n_tokens, ids, same): each text's ids, and whether they decode to it (a mark comes back as a space).
+
+    Encoded batches are decoded by the same Python process, so texts and ids cross to Python and back once.
+    """
+    path, kept = model or bundled_model(), ("doc_id", *keep, "text")
+    encoder, decoder = _encoder(kept, path, FREQUENT), _decoder((*kept, "ids"), path)
+    decoded = _with_text(docs, kept).mapInArrow(lambda batches: decoder(encoder(batches)), f"{_kinds(docs, kept)}ids array<int>, decoded string")
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), MARK, " ")
     return decoded.select("doc_id", *keep, F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == plain).alias("same"))
