@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewatch.llm import jaccard as J
@@ -181,3 +182,30 @@ def test_shared_keys_are_those_of_several_rows(spark, monkeypatch, cut, bucket):
     found = J._shared_keys(spark.createDataFrame(rows, "row long, keys array<long>").repartition(3)).collect()
     assert {(r["key"], r["row"]) for r in found if len(holders[r["key"]]) > 1} == want
     assert J._shared_keys(spark.createDataFrame([], "row long, keys array<long>")).collect() == []
+
+
+def test_parities_leave_every_linked_pair_and_few_others():
+    rng = np.random.default_rng(6)
+    members, sets = [], []
+    for k in range(90):
+        base = sets[k - 1] if k % 3 == 1 else np.unique(mix(rng.integers(0, 1 << 62, int(rng.integers(200, 420))).astype(np.uint64)))
+        s = np.unique(np.concatenate([base[rng.random(len(base)) > 0.06], mix(rng.integers(0, 1 << 62, int(rng.integers(0, 8))).astype(np.uint64))]))
+        sets.append(s)
+        members.append({"set_no": k, "component": 0 if k in (3, 4) else k + 1, "n_shingles": len(s), "bits": J.parity(s)})
+    for left, right in ((members, None), (members[::2], members[1::2])):
+        want = {x["set_no"] for a in left for b in (right or left) if a["component"] != b["component"] and 180 * len(np.intersect1d(
+            sets[a["set_no"]], sets[b["set_no"]])) >= 80 * (a["n_shingles"] + b["n_shingles"]) for x in (a, b)}
+        found = J.partnered(left, right, 80, 100)
+        assert len(want) > 20 and want <= found and not {3, 4} & want and len(found - want) < 20
+
+
+def test_bitmaps_go_only_where_a_partner_may_be(spark, words):
+    texts = [(k, words(160, [f"{k}x{j}" for j in range(500)])) for k in range(30)]
+    texts.append((30, texts[7][1] + " more"))
+    sets = J._sets(spark.createDataFrame(texts, "doc_id long, text string"), 3).cache()
+    size = {r.set_no: r.n for r in sets.selectExpr("set_no", "size(shingles) AS n").collect()}
+    near = {J.class_number(s) for s in J._document_sets(pa.array([texts[7][1], texts[30][1]]), 3)}
+    nodes = spark.createDataFrame([(key, n, size[n]) for key in (1, 2) for n in size if key == 1 or n not in near], "key long, set_no long, n_shingles long")
+    blocks, _ = J._blocks(nodes, spark.createDataFrame([], "node long, component long"), sets, "fine", 90, 100)
+    rows = blocks.collect()
+    assert [(r.key, {m.set_no for m in r.left}, r.right) for r in rows] == [(1, near, None)]

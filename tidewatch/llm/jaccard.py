@@ -75,6 +75,16 @@ def bitmap(shingles: np.ndarray, share: int = FINE) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """One bit per cell of the shingles' hashes, set if their number is odd; a power of two of cells, about one per shingle.
+
+    Cells that differ between two sets hold a shingle that only one of them has, so they bound how far the sets differ from below.
+    """
+    cells = max(64, 1 << (3 * len(shingles) // 4).bit_length())
+    odd = np.bincount((mix(shingles) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def class_number(shingles: np.ndarray) -> int:
     """A 64-bit number of the set: equal for equal sets, else different but for chance (2^-64 a pair)."""
     both = np.array([np.sum(mix(shingles)), np.bitwise_xor.reduce(mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)))], np.uint64)
@@ -184,10 +194,11 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([class_number(s) if len(s) else None for s in found], pa.int64()),
                  pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64())),
-                 *(pa.array([bitmap(s, share) if len(s) else None for s in found], pa.binary()) for share in (FINE, ROUGH))],
-                names=["set_no", "shingles", "fine", "rough"])
+                 *(pa.array([bitmap(s, share) if len(s) else None for s in found], pa.binary()) for share in (FINE, ROUGH)),
+                 pa.array([parity(s) if len(s) else None for s in found], pa.binary())],
+                names=["set_no", "shingles", "fine", "rough", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "set_no long, shingles array<long>, fine binary, rough binary")
+    return docs.select("doc_id", "text").mapInArrow(work, "set_no long, shingles array<long>, fine binary, rough binary, parity binary")
 
 
 # --- walking two trees ------------------------------------------------------------------------
@@ -254,6 +265,38 @@ def walk(left: list[dict], right: list[dict] | None, num: int, den: int) -> Iter
                 yield a, b, p + a.first[i], q + b.first[j], spare[p, q]
 
 
+def partnered(left: list[dict], right: list[dict] | None, num: int, den: int) -> set[int]:
+    """The members whose parities (`bits`) leave it open that they link to one of another component; of two blocks, or one with itself."""
+    def by_width(members: list[dict]) -> dict[int, tuple[np.ndarray, ...]]:
+        out: dict[int, list[dict]] = {}
+        for m in members:
+            out.setdefault(len(m["bits"]), []).append(m)
+        return {width: (*(np.array([m[c] for m in some], np.int64) for c in ("set_no", "component", "n_shingles")),
+                        np.stack([np.frombuffer(m["bits"], np.uint64) for m in some])) for width, some in out.items()}
+
+    def narrowed(cells: np.ndarray, words: int) -> np.ndarray:
+        while cells.shape[1] > words:
+            half = cells.shape[1] // 2
+            cells = cells[:, :half] ^ cells[:, half:]
+        return cells
+
+    out: set[int] = set()
+    ours = by_width(left)
+    theirs = by_width(right) if right is not None else ours
+    for wide, (ids, group, size, cells) in ours.items():
+        for other, (other_ids, other_group, other_size, other_cells) in theirs.items():
+            if right is None and other < wide:
+                continue
+            words = min(wide, other) // 8
+            a, b = narrowed(cells, words), narrowed(other_cells, words)
+            for k in range(0, len(ids), TWIG):
+                x = slice(k, k + TWIG)
+                differ = np.bitwise_count(a[x][:, None, :] ^ b[None, :, :]).sum(2, dtype=np.int64)
+                open_ = (differ * (den + num) <= (size[x][:, None] + other_size) * (den - num)) & (group[x][:, None] != other_group)
+                out.update(ids[x][open_.any(1)].tolist(), other_ids[open_.any(0)].tolist())
+    return out
+
+
 def promising(left: list[dict], right: list[dict] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each member's pair with most to spare, as (set, other, spare)."""
     kept = (np.zeros(0, np.int64),) * 3
@@ -404,31 +447,71 @@ def _small(written: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.count() <= BROADCAST_IDS else written
 
 
-def _blocks(nodes: DataFrame, grouped: DataFrame, sets: DataFrame, bits: str) -> tuple[DataFrame, list[DataFrame]]:
-    """(key, block, other, left, right): the trees of all upper nodes that hold several components, as blocks to be walked together; and
-    what was written for it.
-
-    A block holds about BLOCK members and BLOCK_SHINGLES shingles at most. Pairs of blocks are a table of numbers, to which each block is
-    joined on its own, so no key stands for more than one block.
-    """
-    placed = staged(nodes.select("key", "set_no", "n_shingles").join(grouped.withColumnRenamed("node", "set_no"), "set_no", "left").select(
-        "key", "set_no", "n_shingles", F.coalesce("component", "set_no").alias("component")))
-    # Of nodes that hold the same classes one is enough; two sums of hashes tell.
-    held = [F.sum(F.xxhash64(F.lit(k), "set_no").cast("decimal(20,0)")).alias(f"h{k}") for k in (1, 2)]
+def _mixed(placed: DataFrame) -> DataFrame:
+    """(key, blocks) of the upper nodes in `placed` that hold several components, written; of nodes that hold the same classes one is enough."""
+    held = [F.sum(F.xxhash64(F.lit(k), "set_no").cast("decimal(20,0)")).alias(f"h{k}") for k in (1, 2)]  # two sums of hashes tell
     weight = F.count("*") / float(BLOCK) + F.sum("n_shingles") / float(BLOCK_SHINGLES)
     mixed = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("rows"),
                                       F.ceil(weight).cast("long").alias("blocks"), *held).where("p < q")
-    mixed = staged(mixed.groupBy("rows", "h1", "h2").agg(F.min("key").alias("key"), F.max("blocks").alias("blocks")).select("key", "blocks"))
-    members = placed.join(_small(mixed), "key").join(sets.select("set_no", F.col(bits).alias("bits")), "set_no").select(
-        "key", "blocks", F.pmod(F.xxhash64("set_no"), F.col("blocks")).alias("block"), F.struct("set_no", "component", "n_shingles", "bits").alias("m"))
-    trees = staged(members.groupBy("key", "blocks", "block").agg(
-        F.collect_list("m").alias("left"), F.min("m.component").alias("p"), F.max("m.component").alias("q")))
-    alone = trees.where("p < q").select("key", "block", F.col("block").alias("other"), "left", F.lit(None).cast(trees.schema["left"].dataType).alias("right"))
-    many = trees.where("blocks > 1")
+    return staged(mixed.groupBy("rows", "h1", "h2").agg(F.min("key").alias("key"), F.max("blocks").alias("blocks")).select("key", "blocks"))
+
+
+def _paired(placed: DataFrame, mixed: DataFrame, sets: DataFrame, bits: str) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, block, other, left, right): the members of `mixed` nodes with their `bits`, as blocks to be compared; and what was written for it.
+
+    A block holds about BLOCK members and BLOCK_SHINGLES shingles at most. Nodes of one block go straight to their comparison. Of others,
+    pairs of blocks are a table of numbers, to which each block is joined on its own, so no key stands for more than one block.
+    """
+    few = mixed.count() <= BROADCAST_IDS
+
+    def trees(chosen: DataFrame) -> DataFrame:
+        members = placed.join(F.broadcast(chosen) if few else chosen, "key").join(sets.select("set_no", F.col(bits).alias("bits")), "set_no").select(
+            "key", "blocks", F.pmod(F.xxhash64("set_no"), F.col("blocks")).alias("block"), F.struct("set_no", "component", "n_shingles", "bits").alias("m"))
+        return members.groupBy("key", "blocks", "block").agg(F.collect_list("m").alias("left"), F.min("m.component").alias("p"), F.max("m.component").alias("q"))
+
+    def alone(some: DataFrame) -> DataFrame:
+        return some.where("p < q").select("key", "block", F.col("block").alias("other"), "left", F.lit(None).cast(some.schema["left"].dataType).alias("right"))
+
+    single = alone(trees(mixed.where("blocks = 1")))
+    if mixed.where("blocks > 1").isEmpty():
+        return single, []
+    many = staged(trees(mixed.where("blocks > 1")))
     met = many.select("key", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).where("block < other")
     other = many.select("key", F.col("block").alias("other"), F.col("left").alias("right"), F.col("p").alias("op"), F.col("q").alias("oq"))
     across = met.join(many, ["key", "block"]).join(other, ["key", "other"]).where("NOT (p = q AND op = oq AND p = op)").select(*PAIR, "left", "right")
-    return alone.unionByName(across), [placed, mixed, trees]
+    return single.unionByName(alone(many)).unionByName(across), [many]
+
+
+def _partnered(blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, set_no) of the members that parities don't tell from all members of other components."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, numbers = [], []
+            for k in range(batch.num_rows):
+                found = partnered(_members(batch.column(1)[k]), _members(batch.column(2)[k]), num, den)
+                keys += [batch.column(0)[k].as_py()] * len(found)
+                numbers += found
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int64())], names=["key", "set_no"])
+
+    return blocks.select("key", "left", "right").mapInArrow(work, "key long, set_no long").distinct()
+
+
+def _blocks(nodes: DataFrame, grouped: DataFrame, sets: DataFrame, bits: str, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, block, other, left, right): the trees of all upper nodes that hold several components, as blocks to be walked together; and
+    what was written for it.
+
+    Each member is in many nodes, so its bitmap goes only to those where parities, a quarter of its size, leave it a partner.
+    """
+    placed = staged(nodes.select("key", "set_no", "n_shingles").join(grouped.withColumnRenamed("node", "set_no"), "set_no", "left").select(
+        "key", "set_no", "n_shingles", F.coalesce("component", "set_no").alias("component")))
+    mixed = _mixed(placed)
+    slim, written = _paired(placed, mixed, sets, "parity")
+    left = staged(_partnered(slim, num, den))
+    thin = staged(placed.join(left, ["key", "set_no"], "left_semi"))
+    discard(placed, mixed, left, *written)
+    mixed = _mixed(thin)
+    blocks, written = _paired(thin, mixed, sets, bits)
+    return blocks, [thin, mixed, *written]
 
 
 def _row_groups(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -460,7 +543,7 @@ def _row_groups(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     links = _linked(tried.select(F.col("set_no").alias("a"), F.col("leader").alias("b")), sets, num, den)
     for whole in (False, True):
         grouped = staged(components(links))
-        blocks, written = _blocks(nodes, grouped, sets, "fine" if whole else "rough")
+        blocks, written = _blocks(nodes, grouped, sets, "fine" if whole else "rough", num, den)
         if whole:
             forests, asked = _forests(blocks, sets, num, den)
             found = staged(forests)
