@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tidewatch.llm import graph
 from tidewatch.llm import jaccard as J
 from tidewatch.llm.graph import components
 from tidewatch.llm.text import mix
@@ -167,6 +168,39 @@ def test_components(spark, links):
     assert {(r.node, r.component) for r in components(df).collect()} == {(i, find(i)) for i in list(top)}
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_by_broadcast_and_by_shuffle(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", few)
+    links = [(k, 97 - k) for k in range(0, 97, 3)] + [(k, k + 200) for k in range(30)] + [(1, 2), (2, 1), (300, 301), (301, 302)]
+    near, want = {}, {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for start in sorted(near):
+        todo = [start]
+        while todo:
+            if (x := todo.pop()) not in want:
+                want[x] = start
+                todo += near[x]
+    assert dict(components(spark.createDataFrame(links, "a long, b long")).collect()) == want
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("a round")
+
+    links = [(9, 1), (8, 1), (1, 7), (30, 20), (31, 20)]
+    monkeypatch.setattr(graph, "_large_star", never)
+    assert dict(components(spark.createDataFrame(links, "a long, b long")).collect()) == {9: 1, 8: 1, 7: 1, 1: 1, 30: 20, 31: 20, 20: 20}
+
+
+def test_links_between_groups_go_from_least_to_least(spark):
+    grouped = spark.createDataFrame([(1, 1), (5, 1), (6, 1), (2, 2), (7, 2)], "node long, component long")
+    links = J._joined(grouped, spark.createDataFrame([(6, 7), (8, 5), (9, 10)], "a long, b long"))
+    assert {(r.a, r.b) for r in links.collect() if r.a != r.b} == {(1, 2), (8, 1), (9, 10), (5, 1), (6, 1), (7, 2)}
+    assert dict(components(links).collect()) == {1: 1, 2: 1, 5: 1, 6: 1, 7: 1, 8: 1, 9: 9, 10: 9}
+
+
 @pytest.mark.parametrize("cut, bucket", [(1 << 22, 1 << 20), (7, 5)])
 def test_shared_keys_are_those_of_several_rows(spark, monkeypatch, cut, bucket):
     monkeypatch.setattr(J, "CUT_KEYS", cut)

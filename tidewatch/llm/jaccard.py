@@ -414,7 +414,7 @@ def _forests(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[Da
 
     schema = ", ".join(f"{c} long" for c in (*PAIR, "side", "set_no", "component"))
     asked = staged(blocks.select(*PAIR, "left", "right").mapInArrow(ask, schema))
-    known = sets.join(_small(staged(asked.select("set_no").distinct())), "set_no", "left_semi").select("set_no", "shingles")
+    known = sets.join(_numbers(asked, "set_no"), "set_no", "left_semi").select("set_no", "shingles")
     member = F.struct("set_no", "component", F.size("shingles").cast("long").alias("n_shingles"), "shingles")
     sides = [F.collect_list(F.when(F.col("side") == k, member)).alias(name) for k, name in enumerate(("left", "right"))]
     pairs = asked.join(known, "set_no").groupBy(*PAIR).agg(*sides)
@@ -433,12 +433,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     Pairs are numbers and go to the sets of their `a`; only those sets move, once, to the sets of `b`.
     """
     pairs = staged(pairs)
-    ids = staged(pairs.select(F.col("b").alias("set_no")).distinct())
     left = sets.select(F.col("set_no").alias("a"), F.col("shingles").alias("_a")).join(_small(pairs), "a")
-    right = sets.join(_small(ids), "set_no", "left_semi").select(F.col("set_no").alias("b"), F.col("shingles").alias("_b"))
+    right = sets.join(_numbers(pairs, "b"), "set_no", "left_semi").select(F.col("set_no").alias("b"), F.col("shingles").alias("_b"))
     shared = F.size(F.array_intersect("_a", "_b"))
     found = staged(left.join(right, "b").where(shared * (den + num) >= (F.size("_a") + F.size("_b")) * num).select("a", "b"))
-    discard(pairs, ids)
+    discard(pairs)
     return found
 
 
@@ -447,6 +446,12 @@ def _small(written: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.count() <= BROADCAST_IDS else written
 
 
+def _numbers(written: DataFrame, column: str) -> DataFrame:
+    """(set_no) of a column of a written table, to be broadcast if there are at most BROADCAST_IDS; repeated if the table is as short."""
+    numbers = written.select(F.col(column).alias("set_no"))
+    return F.broadcast(numbers) if written.count() <= BROADCAST_IDS else _small(staged(numbers.distinct()))
+
+
 def _mixed(placed: DataFrame) -> DataFrame:
     """(key, blocks) of the upper nodes in `placed` that hold several components, written; of nodes that hold the same classes one is enough."""
     held = [F.sum(F.xxhash64(F.lit(k), "set_no").cast("decimal(20,0)")).alias(f"h{k}") for k in (1, 2)]  # two sums of hashes tell
@@ -483,7 +488,7 @@ def _paired(placed: DataFrame, mixed: DataFrame, sets: DataFrame, bits: str) ->
 
 
 def _partnered(blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, set_no) of the members that parities don't tell from all members of other components."""
+    """(key, set_no) of the members that parities don't tell from all members of other components; once for each pair of blocks."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, numbers = [], []
@@ -493,7 +498,7 @@ def _partnered(blocks: DataFrame, num: int, den: int) -> DataFrame:
                 numbers += found
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int64())], names=["key", "set_no"])
 
-    return blocks.select("key", "left", "right").mapInArrow(work, "key long, set_no long").distinct()
+    return blocks.select("key", "left", "right").mapInArrow(work, "key long, set_no long")
 
 
 def _blocks(nodes: DataFrame, grouped: DataFrame, sets: DataFrame, bits: str, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -502,18 +507,25 @@ def _blocks(nodes: DataFrame, grouped: DataFrame, sets: DataFrame, bits: str, nu
 
     Each member is in many nodes, so its bitmap goes only to those where parities, a quarter of its size, leave it a partner.
     """
-    placed = staged(nodes.select("key", "set_no", "n_shingles").join(grouped.withColumnRenamed("node", "set_no"), "set_no", "left").select(
+    placed = staged(nodes.select("key", "set_no", "n_shingles").join(_small(grouped).withColumnRenamed("node", "set_no"), "set_no", "left").select(
         "key", "set_no", "n_shingles", F.coalesce("component", "set_no").alias("component")))
     mixed = _mixed(placed)
     slim, written = _paired(placed, mixed, sets, "parity")
-    left = staged(_partnered(slim, num, den))
-    thin = staged(placed.join(left, ["key", "set_no"], "left_semi"))
-    discard(placed, mixed, left, *written)
+    thin = staged(placed.join(_partnered(slim, num, den), ["key", "set_no"], "left_semi"))
+    discard(placed, mixed, *written)
     mixed = _mixed(thin)
     blocks, written = _paired(thin, mixed, sets, bits)
     return blocks, [thin, mixed, *written]
 
 
+def _joined(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (a, b) that join the nodes of `grouped` (node, component) and whatever `links` (a, b) join further: few steps from any node to its least."""
+    groups = _small(grouped)
+    for end in ("a", "b"):
+        links = links.join(groups.select(F.col("node").alias(end), "component"), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    return links.select("a", "b").unionByName(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")))
+
+
 def _row_groups(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Signatures per row (doc_id, n_shingles, set_no), and per class (set_no, first_id, rows, component)."""
     full = staged(_signatures(docs, n, num, den))
@@ -541,8 +553,9 @@ def _row_groups(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     often = nodes.join(leaders, "key").where(F.col("set_no") != F.col("leader")).groupBy("set_no", "leader").count()
     tried = often.groupBy("set_no").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
     links = _linked(tried.select(F.col("set_no").alias("a"), F.col("leader").alias("b")), sets, num, den)
+    grouped = staged(components(links))
+    discard(links)
     for whole in (False, True):
-        grouped = staged(components(links))
         blocks, written = _blocks(nodes, grouped, sets, "fine" if whole else "rough", num, den)
         if whole:
             forests, asked = _forests(blocks, sets, num, den)
@@ -550,10 +563,10 @@ def _row_groups(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
             discard(asked)
         else:
             found = _linked(_promising(blocks, num, den), sets, num, den)
-        former, links = links, staged(links.unionByName(found))
-        discard(grouped, former, found, *written)
-    linked = staged(components(links).select(F.col("node").alias("set_no"), "component"))
-    discard(nodes, sets, links)
+        former, grouped = grouped, staged(components(_joined(grouped, found)))
+        discard(former, found, *written)
+    discard(nodes, sets)
+    linked = _small(grouped).withColumnRenamed("node", "set_no")
     return signatures, classes.join(linked, "set_no", "left").select("set_no", "first_id", "rows", "component")
 
 
