@@ -66,6 +66,19 @@ def ship(spark: SparkSession) -> None:
     context._tidewatch_shipped = True
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Let rows pass between Spark and Python in batches of `size`, unless the session has its own bound.
+
+    Spark's own bound of 10,000 rows lets a batch grow with the texts, and a task holds several copies of it on both sides. Only the
+    session can set this; it holds for what runs from then on.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, size)
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster; a local one only where none is set."""
     context = spark.sparkContext
