@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -218,6 +219,35 @@ def test_shared_keys_are_those_of_several_rows(spark, monkeypatch, cut, bucket):
     assert J._shared_keys(spark.createDataFrame([], "row long, keys array<long>")).collect() == []
 
 
+def test_keys_are_dealt_a_few_at_a_time_from_rows_of_any_length():
+    keys = np.random.default_rng(3).permutation(1 << 21)
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6]), pa.array([keys.tolist(), [1]], pa.list_(pa.int64()))], names=["row", "keys"])
+    sizes, held = [], 0
+    tracemalloc.start()
+    try:
+        for out in J.dealt(iter([batch]), 3, 1 << 16):
+            sizes.append(sum(len(k) for k in out.column(3).to_pylist()) // 8)
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) == len(keys) + 1 and max(sizes) <= 1 << 16
+    assert held < 48 << 20  # the row's own numbers are 16 MB; dealt at once they would take 200
+
+
+def test_texts_are_taken_in_runs_of_about_a_size():
+    texts = pa.array(["a" * n if n >= 0 else None for n in (10, 0, -1, 300, 40, 70, 5, 90, 20, 0)])
+    parts = list(J._parts(texts, 100))
+    assert pa.concat_arrays(parts).equals(texts) and len(parts) > 3
+    assert all(len(p) == 1 or sum(len(t or "") for t in p.to_pylist()[1:]) <= 100 for p in parts)
+    assert [len(p) for p in J._parts(pa.array([], pa.string()), 100)] == [0]
+
+
+def test_each_text_is_read_once_to_find_the_class_that_stays(spark, words):
+    docs = spark.createDataFrame([(k, words(30)) for k in range(20)], "doc_id long, text string")
+    plan = J.distinct_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # once for the rows with a class, once to find those without
+
+
 def test_parities_leave_every_linked_pair_and_few_others():
     rng = np.random.default_rng(6)
     members, sets = [], []

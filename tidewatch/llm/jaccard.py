@@ -11,9 +11,11 @@ down together as long as their largest possible overlap suffices.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +28,9 @@ BLOCK = 512  # documents of a block of one tree, about; larger trees are many bl
 BLOCK_SHINGLES = 1 << 19  # 8 bytes each; so many more make another block
 TWIG = 16  # documents under a lowest inner node
 BROADCAST_IDS = 500_000  # so many ids (8 bytes each) are sent to all tasks at most
-CUT_KEYS = 1 << 22  # keys of upper nodes that a task deals out at a time
-BUCKET_KEYS = 1 << 20  # keys that meet in one task, about
+CUT_KEYS = 1 << 18  # keys of upper nodes that a task deals out at a time; about 100 bytes each while it does
+BUCKET_KEYS = 1 << 19  # keys that meet in one task, about
+SET_BYTES = 1 << 20  # of texts whose sets a task holds at a time, about; a longer text is held alone
 _MIN_BITS = 512
 FINE, ROUGH = 4, 2  # bits per shingle of the bitmaps that decide and of those that only rank
 
@@ -99,6 +102,14 @@ def _document_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
             yield shingle_set(hashes[bounds[k]:bounds[k + 1]], n)
 
 
+def _parts(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """The texts in order, in runs of about `most` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.append(np.flatnonzero(np.diff(ends // most)) + 1, len(texts))
+    for start, end in zip(np.append(0, cuts[:-1]), cuts):
+        yield texts.slice(start, end - start)
+
+
 def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(row, doc_id, n_shingles, set_no, keys): `row` numbers the rows; it holds once the table is written."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +152,29 @@ def deal(keys: np.ndarray, rows: np.ndarray, buckets: int) -> Iterator[tuple[int
             yield int(bucket[a]), int(c[a]), known, k[a:b].tobytes(), (r[a:b] & 0xFFFF).astype(np.uint16).tobytes()
 
 
+def dealt(batches: Iterator[pa.RecordBatch], buckets: int, most: int) -> Iterator[pa.RecordBatch]:
+    """What `deal` makes of batches of (row, keys), about `most` keys at a time, however many a row has."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+
+    def out() -> Iterator[pa.RecordBatch]:
+        pieces = deal(*map(np.concatenate, zip(*held)), buckets) if held else iter(())
+        held.clear()
+        while some := list(islice(pieces, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), kinds)],
+                                             names=["bucket", "chunk", "known", "keys", "places"])
+
+    for batch in batches:
+        lists = batch.column(1)
+        n = lists.value_lengths().to_numpy(zero_copy_only=False)
+        keys, rows = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(batch.column(0).to_numpy(), n)
+        for k in range(0, len(keys), most):
+            held.append((keys[k:k + most], rows[k:k + most]))
+            if sum(len(some) for some, _ in held) >= most:
+                yield from out()
+    yield from out()
+
+
 def _shared_keys(signatures: DataFrame) -> DataFrame:
     """(key, row) of the keys that several rows of `signatures` (row, keys) have; repeated at most by what one task found twice."""
     entries = signatures.agg(F.sum(F.size("keys"))).first()[0] or 0
@@ -148,23 +182,7 @@ def _shared_keys(signatures: DataFrame) -> DataFrame:
     schema = "bucket long, chunk long, known boolean, keys binary, places binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            dealt = list(deal(*map(np.concatenate, zip(*held)), buckets)) if held else []
-            held.clear()
-            for k in range(0, len(dealt), 4096):
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*dealt[k:k + 4096]), kinds)],
-                                                 names=["bucket", "chunk", "known", "keys", "places"])
-
-        for batch in batches:
-            lists = batch.column(1)
-            n = lists.value_lengths().to_numpy(zero_copy_only=False)
-            held.append((lists.flatten().to_numpy(zero_copy_only=False), np.repeat(batch.column(0).to_numpy(), n)))
-            if sum(len(k) for k, _ in held) >= CUT_KEYS:
-                yield from out()
-        yield from out()
+        return dealt(batches, buckets, CUT_KEYS)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -183,14 +201,14 @@ def _shared_keys(signatures: DataFrame) -> DataFrame:
         shared = np.append(same, False) | np.append(False, same) if len(key) else np.zeros(0, bool)
         yield pa.RecordBatch.from_arrays([pa.array(key[shared]), pa.array(row[shared])], names=["key", "row"])
 
-    dealt = signatures.select("row", "keys").mapInArrow(cut, schema).repartition(buckets, "bucket")
-    return dealt.mapInArrow(meet, "key long, row long")
+    pieces = signatures.select("row", "keys").mapInArrow(cut, schema).repartition(buckets, "bucket")
+    return pieces.mapInArrow(meet, "key long, row long")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(_document_sets(batch.column(1), n))
+        for texts in (part for batch in batches for part in _parts(batch.column(1), SET_BYTES)):
+            found = list(_document_sets(texts, n))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([class_number(s) if len(s) else None for s in found], pa.int64()),
                  pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64())),
@@ -614,7 +632,8 @@ def distinct_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     def class_of(texts: pa.Array) -> pa.Array:
         return pa.array([class_number(s) if len(s) else None for s in _document_sets(texts, n)], pa.int64())
 
-    named = docs.withColumn(number, class_of("text"))
+    # Called nondeterministic so that Spark asks it once a text: it would move a condition on its result to a call of its own.
+    named = docs.withColumn(number, class_of.asNondeterministic()("text"))
     chosen = staged(best.select(F.col("doc_id").alias(kept), F.col("set_no").alias(number)))
     same = (F.col("doc_id").eqNullSafe(F.col(kept))) & (named[number] == chosen[number])
     found = named.join(chosen, same, "left_semi").dropDuplicates(["doc_id", number])
