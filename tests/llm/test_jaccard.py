@@ -94,6 +94,14 @@ def test_pairs_near_enough_share_an_upper_node():
                 assert np.intersect1d(J.routes(a, num, 100, bands), J.routes(b, num, 100, bands)).size
 
 
+@pytest.mark.parametrize("num", [80, 90])
+def test_sets_that_share_nothing_share_no_upper_node(num):
+    rng = np.random.default_rng(4)
+    bands = J.size_bands(num, 100, 1 << 12)
+    nodes = [J.routes(np.unique(mix(rng.integers(0, 1 << 62, 300).astype(np.uint64))), num, 100, bands) for _ in range(40)]
+    assert len(np.unique(np.concatenate(nodes))) == sum(map(len, nodes))  # empty hash ranges brought them together
+
+
 def test_one_of_each_group_stays(spark, words):
     base = words(60, [f"w{k}" for k in range(300)])
     rows = [(5, base, "s", 1), (3, base + " more", "s", 2), (9, words(30, ["other", "text", "of", "its", "own"]), "s", 3), (None, base, "s", 4), (7, None, "s", 5)]

@@ -2,8 +2,8 @@
 
 A pair of sets of sizes a >= b with overlap of at least num/den of their union differs in at most
 2a(den-num)/(den+num) elements. Cut the space of shingle hashes into one range more than that: some range then
-holds the same elements in both. So the upper nodes of the forest are (size range, hash range, its
-content): two documents that share no such node can't overlap enough and never meet. Below, each node's
+holds the same elements in both; with a few ranges more, one that isn't empty. So the upper nodes of the forest are
+(size range, hash range, its content): two documents that share no such node can't overlap enough and never meet. Below, each node's
 documents form a signature tree of OR-combined bitmaps and size ranges, and pairs of tree nodes are walked
 down together as long as their largest possible overlap suffices.
 """
@@ -11,6 +11,7 @@ down together as long as their largest possible overlap suffices.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -52,8 +53,26 @@ def size_bands(num: int, den: int, most: int) -> np.ndarray:
     return np.array(edges, np.int64)
 
 
+@lru_cache(1024)
+def hash_ranges(low: int, high: int, num: int, den: int) -> tuple[int, int]:
+    """(ranges, spare) of the size range from `low` up to `high`: `spare` more ranges than needed, so partners agree on one more than that.
+
+    So many that few documents, the smaller partners included, have more empty ones.
+    """
+    needed, least = 2 * (high - 1) * (den - num) // (den + num) + 1, low * num / den
+    for spare in range(needed):
+        empty = (needed + spare) * np.exp(-least / (needed + spare))
+        if empty + 2.5 * np.sqrt(empty) <= spare + 0.5:
+            return needed + spare, spare
+    return needed, 0
+
+
 def routes(shingles: np.ndarray, num: int, den: int, bands: np.ndarray) -> np.ndarray:
-    """The upper nodes a document hangs under: in its own size range, and in the next as a smaller partner."""
+    """The upper nodes a document hangs under: in its own size range, and in the next as a smaller partner.
+
+    Partners agree on more hash ranges than `spare`, so if one of them has no more empty ones they agree on one that isn't. Only documents
+    with more hang under empty ranges, which hold whatever has nothing there.
+    """
     size = len(shingles)
     own = int(np.searchsorted(bands, size, "right")) - 1
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingles))])
@@ -61,12 +80,14 @@ def routes(shingles: np.ndarray, num: int, den: int, bands: np.ndarray) -> np.nd
     for band in (own, own + 1):
         if band > own and size * den // num < bands[band]:
             break
-        ranges = 2 * (int(bands[band + 1]) - 1) * (den - num) // (den + num) + 1
+        ranges, spare = hash_ranges(int(bands[band]), int(bands[band + 1]), num, den)
         starts = (np.arange(1, ranges, dtype=np.float64) * (2.0 ** 64 / ranges)).astype(np.uint64)
         cut = np.concatenate([[0], np.searchsorted(shingles, starts), [size]])
         content = total[cut[1:]] - total[cut[:-1]]
         place = np.arange(ranges, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((band + 1) * 0x51ED27)
-        out.append(mix(content + mix(place + np.diff(cut).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))))
+        nodes = mix(content + mix(place + np.diff(cut).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        full = np.diff(cut) > 0
+        out.append(nodes[full] if ranges - full.sum() <= spare else nodes)
     return np.concatenate(out)
 
 
