@@ -245,3 +245,14 @@ def test_single_class_heads(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0], 0) for i in range(10)], "idx long, features array<double>, stage int")
     risk, stage = fit_heads(df, fit_transition(df), 2, 2)
     assert all(r.intercept < 0 for r in risk) and all(s.intercept[0] == 0.0 and s.intercept[1] < -100 for s in stage)
+
+
+def test_head_inputs_pool_where_they_predict(spark):
+    rows = [(1, i, [float(i), float(-i)], i % 2) for i in range(8)]
+    windows = spark.createDataFrame(rows, "k long, idx long, features array<double>, stage int")
+    transition = Transition(1, ((1.0, -1.0), (1.0, 0.0), (0.0, 2.0)))
+    found = head_inputs(supervised(windows, 2, 3, ["k"]), transition, 3, ["k"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "zip_with" not in plan  # no element by element work in the plan
+    got = {(r.origin_idx, r.step): list(r.x) for r in found.collect()}
+    assert len(got) == 12 and got[4, 1] == [5.0, -9.0] and got[4, 3] == [7.0, -9.0]

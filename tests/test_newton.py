@@ -71,3 +71,12 @@ def test_one_class_is_certain(spark, labels):
     assert risk[0].intercept == (heads.CERTAIN if labels[0] else -heads.CERTAIN) and stage[0].intercept[0] == 0.0
     with pytest.raises(ValueError):
         fit_scores(df.limit(0), "x", "y", "y_stage")
+
+
+def test_products_of_many_weights_are_summed_a_few_rows_at_a_time(monkeypatch):
+    monkeypatch.setattr(heads, "PRODUCT_ROWS", 7)
+    rng = np.random.default_rng(2)
+    z, weights = rng.normal(size=(40, 5)), rng.normal(size=(40, 3))
+    for some in (weights, weights[:, :1], weights[:0]):
+        want = np.einsum("rk,ri,rj->kij", some, z[:len(some)], z[:len(some)])
+        assert np.allclose(heads._weighted_products(z[:len(some)], some), want, atol=1e-12)

@@ -85,20 +85,21 @@ def supervised(windows: DataFrame, length: int, horizon: int, keys: Sequence[str
 def head_inputs(pairs: DataFrame, transition: Transition, horizon: int, keys: Sequence[str] = (),
                 semantics: str = "stage_id") -> DataFrame:
     """One row per origin and step: elementwise maximum of the first k predicted windows, label at step k."""
-    rolled = rollout(pairs, transition, horizon)
-    pooled = F.array(*[F.struct(F.lit(k).alias("step"), _pooled(k).alias("x"), F.col("labels")[k - 1].alias("label"))
+    size = transition.size
+
+    @F.arrow_udf("array<array<double>>")
+    def so_far(states: pa.Array) -> pa.Array:
+        return _lists(np.maximum.accumulate(list_values(states.flatten(), size).reshape(-1, horizon, size), axis=1))
+
+    # Both functions share one trip of the Arrow batches through Python.
+    rolled = rollout(pairs, transition, horizon).withColumn("_pooled", so_far("states"))
+    pooled = F.array(*[F.struct(F.lit(k).alias("step"), F.col("_pooled")[k - 1].alias("x"), F.col("labels")[k - 1].alias("label"))
                        for k in range(1, horizon + 1)])
     rows = rolled.select(*keys, "origin_idx", F.inline(pooled))
     return rows.withColumns({"y": risk_target(F.col("label"), semantics),
                              "y_stage": stage_target(F.col("label"), semantics)})
 
 
-def _pooled(k: int) -> Column:
-    prefix = F.slice("states", 1, k)
-    return F.aggregate(F.slice(prefix, 2, k), prefix[0],
-                       lambda best, state: F.zip_with(best, state, lambda a, b: F.greatest(a, b)))
-
-
 def fit_heads(windows: DataFrame, transition: Transition, length: int, horizon: int, keys: Sequence[str] = (),
               semantics: str = "stage_id", max_iter: int = 100) -> tuple[tuple[LinearScore, ...], tuple[StageScore, ...]]:
     """Scores of every step, each trained with the labels of its own step, all in the same passes."""

@@ -19,6 +19,7 @@ from tidewatch.schema import STAGES
 
 CERTAIN = 30.0  # log-odds standing in for an infinite intercept
 NEVER = -700.0  # log-weight of a class that never occurred in training
+PRODUCT_ROWS = 512  # rows whose products of features are held at a time
 
 
 @dataclass(frozen=True)
@@ -170,6 +171,24 @@ def _upper(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n)
 
 
+def _weighted_products(z: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sum of weight·z·zᵀ over the rows for every column of `weights`: (columns, width, width).
+
+    Products of the columns of z are made once for all weights, of a few rows at a time, half of them as they are symmetric.
+    """
+    width, columns = z.shape[1], weights.shape[1]
+    if columns == 1:
+        return ((z * weights).T @ z)[None]
+    sums = np.zeros((columns, width * (width + 1) // 2))
+    for k in range(0, len(z), PRODUCT_ROWS):
+        part = z[k:k + PRODUCT_ROWS]
+        sums += weights[k:k + PRODUCT_ROWS].T @ np.concatenate([part[:, i:i + 1] * part[:, i:] for i in range(width)], axis=1)
+    out = np.empty((columns, width, width))
+    rows, others = _upper(width)
+    out[:, rows, others] = out[:, others, rows] = sums
+    return out
+
+
 def _terms(z: np.ndarray, label: np.ndarray, problem: Problem, theta: np.ndarray) -> np.ndarray:
     """Loss, gradient and upper Hessian of some rows, in one list; theta is (classes, 1 + size)."""
     known = ~np.isnan(label)
@@ -187,10 +206,9 @@ def _terms(z: np.ndarray, label: np.ndarray, problem: Problem, theta: np.ndarray
     gradient = ((share - own) * weight[:, None]).T @ z
     count, width = theta.shape
     hessian = np.empty((count, width, count, width))
-    for c in range(count):
-        for d in range(c, count):
-            block = (z * (weight * share[:, c] * ((c == d) - share[:, d]))[:, None]).T @ z
-            hessian[c, :, d, :], hessian[d, :, c, :] = block, block.T
+    first, second = _upper(count)
+    for c, d, block in zip(first, second, _weighted_products(z, weight[:, None] * share[:, first] * ((first == second) - share[:, second]))):
+        hessian[c, :, d, :] = hessian[d, :, c, :] = block
     return np.concatenate([[loss], gradient.ravel(), hessian.reshape(count * width, -1)[_upper(count * width)]])
 
 
